@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from evidra.llm import decontaminate, langid, quality, sharding, url_filter
-from evidra.llm._common import table
 from pyspark.sql import functions as F
 
+from evidra.llm import ann, decontaminate, langid, quality, records, sharding, simhash, url_filter
+from evidra.llm._common import table
+
 #: Pages on hosts with one of these labels make up the list of URLs to block.
 LISTED_LABELS = ("adult-x", "casino-win", "free-bets", "spam-farm")
 
 
+def tokenizer_file(name):
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -22,6 +30,10 @@ def op5_language(spark, sf_dir):
     return langid.predict_language(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark, sf_dir):
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     labels = F.split(url_filter.host_of(F.col("url")), "[.]")
@@ -33,8 +45,17 @@ def op8_sharding(spark, sf_dir):
     return sharding.bounded_ring_shards(table(spark, sf_dir, "documents"))
 
 
+def op9_permutation_index(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op10_token_records(spark, sf_dir):
+    return records.write_and_read_back(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_decontamination, op3_quality, op5_language, op7_url_filter, op8_sharding)}
+    ops = (op1_decontamination, op3_quality, op5_language, op6_simhash, op7_url_filter, op8_sharding, op9_permutation_index, op10_token_records)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql():
