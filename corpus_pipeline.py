@@ -1,10 +1,58 @@
-"""The corpus pipeline: language ID, near-duplicates, decontamination, secrets, BPE."""
+"""The corpus pipeline: language ID, near-duplicates, decontamination, secrets, BPE.
+
+Each stage is a function (spark, docs, sf_dir) -> DataFrame over all that its predecessor kept.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from evidra.llm import bpe, decontaminate, langid, secrets, simhash
+from evidra.llm._common import materialize, table
+from evidra.llm.queries import BPE_FILE, bpe_pattern, tokenizer_file
+from evidra.session import ship
+
+
+def identify_language(spark, docs, sf_dir):
+    """Documents whose language is rejected go."""
+    ship(spark)
+    return langid.keep_identified(docs)
+
+
+def drop_near_duplicates(spark, docs, sf_dir):
+    """One document of each group of near-duplicates stays, the one with the smallest id."""
+    ship(spark)
+    return simhash.keep_one_per_component(docs)
+
+
+def drop_contaminated(spark, docs, sf_dir):
+    """Documents that cover a benchmark item go."""
+    ship(spark)
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark, docs, sf_dir):
+    """Credentials in the texts are replaced; all documents stay."""
+    return secrets.redact_secrets(docs)
+
+
+def encode_tokens(spark, docs, sf_dir):
+    """doc_id, n_tokens and digests of the token ids and of the bytes decoded from them."""
+    ship(spark)
+    return bpe.token_digests(docs, tokenizer_file(BPE_FILE), bpe_pattern())
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("near-duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", redact_secrets),
+    ("BPE", encode_tokens),
+]
+#: The stages are models, hashes and tilings that SQL can't express; tests compare each with brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return docs

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidra.llm import ann, decontaminate, langid, quality, records, sharding, simhash, url_filter
+from evidra.llm import ann, bpe, decontaminate, langid, quality, records, secrets, sharding, simhash, url_filter
 from evidra.llm._common import table
 
 #: Pages on hosts with one of these labels make up the list of URLs to block.
 LISTED_LABELS = ("adult-x", "casino-win", "free-bets", "spam-farm")
+BPE_FILE = "byte_bpe_50k.tiktoken"
 
 
 def tokenizer_file(name):
@@ -18,14 +19,30 @@ def tokenizer_file(name):
     return public_tokenizers.path(name)
 
 
+def bpe_pattern():
+    """How a text is cut into words before the merges of BPE_FILE."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def op1_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_byte_bpe(spark, sf_dir):
+    return bpe.token_digests(table(spark, sf_dir, "documents"), tokenizer_file(BPE_FILE), bpe_pattern())
+
+
 def op3_quality(spark, sf_dir):
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_secrets(spark, sf_dir):
+    """A source is an owner; its texts in one language are a repository."""
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"), repo=F.concat_ws("/", "source", "lang"))
+
+
 def op5_language(spark, sf_dir):
     return langid.predict_language(table(spark, sf_dir, "documents"))
 
@@ -54,7 +71,7 @@ def op10_token_records(spark, sf_dir):
 
 
 def queries():
-    ops = (op1_decontamination, op3_quality, op5_language, op6_simhash, op7_url_filter, op8_sharding, op9_permutation_index, op10_token_records)
+    ops = (op1_decontamination, op2_byte_bpe, op3_quality, op4_secrets, op5_language, op6_simhash, op7_url_filter, op8_sharding, op9_permutation_index, op10_token_records)
     return {f.__name__: f for f in ops}
 
 
