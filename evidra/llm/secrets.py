@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 
 from evidra.llm._common import materialize
 
-#: Kind, what to gate texts by, pattern, group of the value, its least length.
+#: Kind, what to gate texts by, pattern, group of the value, its least length. Where
+#: runs that are too short can't hide a longer one, the pattern has the least length itself.
 BASE_KINDS = (
     ("assign", r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]""", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
-    ("access", r"AKIA[A-Z0-9]{14}", r"AKIA[A-Z0-9]+", 0, 18),
-    ("hex", r"[0-9a-f]{16}", r"[0-9a-f]+", 0, 16),
+    ("access", r"AKIA[A-Z0-9]{14}", r"AKIA[A-Z0-9]{14,}", 0, 18),
+    ("hex", r"[0-9a-f]{16}", r"[0-9a-f]{16,}", 0, 16),
 )
 OPAQUE = ("opaque", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24}", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}", 0, 24)
 KINDS = (*BASE_KINDS, OPAQUE)
@@ -52,7 +53,9 @@ def _spans(text: Column, ord: int) -> Column:
     none = F.array().cast("array<struct<start:bigint,ord:int,end:bigint,value:string>>")
     pairs = F.filter(F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match"))), lambda p: p["match"].isNotNull())
     placed = F.aggregate(pairs, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("spans")), place).spans
-    return F.when(text.rlike(gate), F.filter(placed, lambda s: F.length(s.value) >= least)).otherwise(none)
+    # Before the slower gate: assignments need one of these characters.
+    cheap = text.contains(":") | text.contains("=") if kind == "assign" else F.lit(True)
+    return F.when(cheap & text.rlike(gate), F.filter(placed, lambda s: F.length(s.value) >= least)).otherwise(none)
 
 
 def candidates(text: Column) -> Column:
