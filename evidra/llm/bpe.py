@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidra.llm._common import discard, materialize
+
 SAMPLE_DOCS = 4096
 DICTIONARY_WORDS = 50_000
 #: The dictionary takes words of at most so many bytes.
@@ -79,13 +81,13 @@ class RankMap:
         last = at = 0
         for left, pairs in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
             rights = np.array([p[0] for p in pairs])
-            at = at if len(pairs) == last or len(pairs) > 3 else 0
+            at = at if len(pairs) == last or len(pairs) > 40 else 0
             last = len(pairs)
-            while True:  # the first of 256 places where all cells are free
-                fits = np.flatnonzero(~taken[(at + np.arange(256))[:, None] + rights].any(1))
+            while True:  # the first of 2048 places where all cells are free
+                fits = np.flatnonzero(~taken[(at + np.arange(2048))[:, None] + rights].any(1))
                 if len(fits):
                     break
-                at += 256
+                at += 2048
             at += int(fits[0])
             taken[at + rights] = True
             base[left] = at
@@ -185,8 +187,11 @@ def dictionary(docs: DataFrame, tables: RankMap, pattern: str, text: str = "text
     found = drawn.select(F.explode(F.regexp_extract_all(text, F.lit(_java(pattern)), F.lit(0))).alias("w"))
     counted = found.where(F.octet_length("w") <= DICTIONARY_BYTES).groupBy("w").count()
     common = counted.orderBy(F.desc("count"), "w").limit(most).select("w")
-    folded = common.repartition(F.col("w")).select("w", fold_word(F.col("w"), tables).alias("ids"))
-    return {r["w"]: np.array(r["ids"], "<u2").tobytes() for r in folded.toLocalIterator()}
+    # Written first, so that no plan but one scan carries the literal tables.
+    written = materialize(common)
+    folded = written.select("w", fold_word(F.col("w"), tables).alias("ids")).collect()
+    discard(written)
+    return {r["w"]: np.array(r["ids"], "<u2").tobytes() for r in folded}
 
 
 class Encoder:
