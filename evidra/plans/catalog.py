@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from evidra.plans import standard
+
+QUERIES: dict = standard.QUERIES
+ORACLES: dict = standard.ORACLES
