@@ -88,8 +88,10 @@ def valid_vectors(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 def choose_pivots(vectors: DataFrame, n: int) -> np.ndarray:
     """At most n distinct vectors of the most common length, drawn by a hash of the vector itself."""
     rows = vectors.select("v").distinct().orderBy(F.xxhash64("v")).limit(4 * n).collect()
+    if not rows:
+        return np.zeros((0, 0))
     sizes = [len(r["v"]) for r in rows]
-    dims = max(sorted(set(sizes)), key=sizes.count) if sizes else 0
+    dims = max(sorted(set(sizes)), key=sizes.count)
     return np.array([r["v"] for r in rows if len(r["v"]) == dims][:n], dtype=np.float64).reshape(-1, dims)
 
 
