@@ -260,7 +260,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     """
     field = T.StructField(into, T.ArrayType(T.IntegerType()))
     rest = docs.select([c for c in docs.columns if c != into or c == text])
-    return _mapped(rest, ranks_path, pattern, text, lambda ids, _: ids.astype(np.int32), [(field, pa.list_(pa.int32()))])
+    return _mapped(rest, ranks_path, pattern, text, lambda ids, _: (ids.astype(np.int32),), [(field, pa.list_(pa.int32()))])
 
 
 def decode_ids(ids: Column, ranks_path: str) -> Column:

@@ -82,7 +82,7 @@ class Model:
 def fit(x: np.ndarray, y: np.ndarray, steps: int = 400, ridge: float = 1e-3, seed: int = 7) -> Model:
     """Fit on rows x with labels y; where a class is missing all scores are equal and pass the cut."""
     if not len(y) or y.min() == y.max():
-        width = x.shape[1] if x.ndim == 2 and x.shape[1] else len(features(""))
+        width = x.shape[1]
         return Model(np.zeros(width), np.ones(width), np.zeros(width), -2.0)
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.clip((x - mean) / scale, -8, 8)
@@ -115,7 +115,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, doc:
 
     texts = docs.select(F.col(doc).alias("k"), F.col(text).alias("t"))
     rows = texts.join(F.broadcast(chosen), "k").select("k", "y", features_of("t").alias("x")).orderBy("k", "y").limit(2 * max_labels).toPandas()
-    return fit(np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), -1), rows["y"].to_numpy())
+    width = len(features(""))
+    return fit(np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), width), rows["y"].to_numpy())
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, doc: str = "doc_id", text: str = "text", folds: int = 5) -> DataFrame:
@@ -130,8 +131,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABE
 
     @F.pandas_udf("double")
     def score_of(texts: pd.Series) -> pd.Series:
-        x = np.array([features(t) for t in texts], dtype=float).reshape(len(texts), -1)
-        return pd.Series(model.score(x) if len(texts) else np.empty(0))
+        x = np.array([features(t) for t in texts], dtype=float).reshape(len(texts), model.weights.size)
+        return pd.Series(model.score(x))
 
     rows = docs.select(F.col(doc), (fold(F.col(doc), folds) == 0).alias("held_out"), score_of(F.col(text)).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= CUT).cast("int"))

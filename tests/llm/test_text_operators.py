@@ -193,7 +193,7 @@ def test_ownership_separates_examples_from_credentials(spark):
     got = {r["doc_id"]: r for r in secrets.scan_secrets(docs).collect()}
     assert all(got[n]["n_examples"] == 1 and got[n]["n_credentials"] == 0 for n in range(6))
     assert got[0]["secrets"][0]["n_owners"] == 6
-    assert got[10]["n_credentials"] == 3 and got[10]["spans"].endswith("opaque:52:76")
+    assert got[10]["n_credentials"] == 3 and got[10]["spans"].endswith("opaque:47:71")
     assert got[11]["n_assign"] == 1 and got[11]["n_credentials"] == 0
     clean = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(docs).collect()}
     assert clean[10] == "<secret>' and <secret>." and clean[0] == rows[0][1] and clean[11] == rows[7][1]
@@ -221,11 +221,13 @@ def test_language_on_held_out_documents(spark):
 
 
 def test_language_cases(spark, odd_docs, no_docs):
+    more = spark.createDataFrame([(n, "some words to learn from", "en", "s", "x", "u") for n in range(20, 40)], DOCS)
+    odd_docs = odd_docs.unionByName(more)
     got = {r["doc_id"]: r for r in langid.predict_language(odd_docs).collect()}
     assert got[1]["lang_pred"] == got[2]["lang_pred"] == "und" and got[1]["rejected"]
     assert got[3]["lang_pred"] == "en"
     assert langid.predict_language(no_docs).count() == 0
-    assert langid.keep_identified(odd_docs).count() == 4
+    assert langid.keep_identified(odd_docs).count() == 24
     digits = langid.predict_language(odd_docs.withColumn("text", F.lit("123 !?")))
     assert digits.where("lang_pred != 'und'").count() == 0
 
