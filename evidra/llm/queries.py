@@ -75,5 +75,20 @@ def queries():
     return {f.__name__: f for f in ops}
 
 
+_SUBDOMAIN = "(host = '{0}' OR host LIKE '%.{0}') AND starts_with(path, '{1}')"
+_RULES = sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2]))
+
+#: op7 in DuckDB. The other queries are models, hashes or tilings without an SQL form; tests compare them with brute force.
+URL_FILTER_SQL = rf"""WITH h AS (
+      SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    c AS (SELECT *, regexp_replace(host, '^(?:www|m|blog)\.|:(?:80|443)$', '', 'g') || regexp_replace(regexp_replace(path, '(?:/index)?\.html?$', ''), '/+$', '') AS canonical_url,
+        CASE {" ".join(f"WHEN {_SUBDOMAIN.format(h, p)} THEN '{h + p}'" for _, h, p in _RULES)} END AS rule FROM h),
+    l AS (SELECT DISTINCT canonical_url FROM c WHERE canonical_url <> '' AND list_has_any(string_split(host, '.'), [{", ".join(f"'{x}'" for x in LISTED_LABELS)}])),
+    r AS (SELECT *, canonical_url IN (SELECT canonical_url FROM l) AS listed FROM c)
+    SELECT page_id, host, path, rule, canonical_url, listed,
+      CASE {" ".join(f"WHEN rule = '{h + p}' THEN '{k}'" for k, h, p in _RULES)} WHEN listed THEN 'block' ELSE 'allow' END AS verdict FROM r"""
+
+
 def oracle_sql():
-    return {}
+    return {"op7_url_filter": URL_FILTER_SQL}
