@@ -224,7 +224,7 @@ def test_stream_counts_and_limits(spark, tmp_path):
     spark.createDataFrame([("a", t0), ("a", t0 + dt.timedelta(seconds=1)), ("a", t0 + dt.timedelta(seconds=2)), ("b", t0)], "k string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("k string, ts timestamp").parquet(str(tmp_path / "in"))
     limited = limits.stream_fixed_windows(stream, "k", "ts", 2, 60)
-    run = limited.writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    run = limited.writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).trigger(once=True).start()
     run.awaitTermination(120)
     assert sorted((r["key"], r["limited"]) for r in spark.table("limited").collect()) == [("a", False), ("a", False), ("a", True), ("b", False)]
     counts = limits.window_counts(stream, "ts", "k", "1 hour", "1 minute")
