@@ -147,10 +147,10 @@ class Encoder:
         Up to U+017F, normalising keeps a chunk's number of bytes. Where the ids' bytes don't end with
         each chunk's, as may be for U+0130, and for all other chunks, each is encoded on its own.
         """
-        simple = [c for c in new if max(c) < "\u0180"]
+        simple = [c for c in new if c.isascii() or max(c) < "\u0180"]
         if simple:
             ids = np.array(self.tokenizer.encode(" ".join(simple), add_special_tokens=False).ids, self.dtype)
-            sizes, want = self.lengths[ids], np.cumsum([len(c.encode()) for c in simple])
+            sizes, want = self.lengths[ids], np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in simple])
             ends = np.cumsum(sizes)
             if len(ids) and ends[-1] == want[-1] and (sizes > 0).all():
                 at = np.searchsorted(ends, want)
