@@ -5,7 +5,8 @@ vectors in inverted files, one per pivot, with the pivot's place in the vector's
 adds up, over the inverted files of its own pivots, how far the places agree: with pivots outside
 a prefix at place `prefix`, the footrule distance is a constant less twice the sum of
 prefix - max(place in query, place in vector) over shared pivots. The vectors of a slice with the
-least footrule distance are reranked by exact Euclidean distance on the original components.
+least footrule distance, `candidates` and `share` of its rows at least, are reranked by exact
+Euclidean distance on the original components.
 
 Pivots are a bounded sample of distinct vectors; every row is posted. Queries are the stated query
 set and are broadcast in blocks of at most `block` rows. Slices are Arrow batches, so a task holds
@@ -14,6 +15,7 @@ one slice and its best `k` per query, and equal vectors of a slice are one candi
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -21,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PIVOTS = 128
-PREFIX = 16
-CANDIDATES = 400
+PIVOTS = 512
+PREFIX = 64
+#: Reranked per slice and query: this many, and this share of a larger slice.
+CANDIDATES = 1000
+SHARE = 0.1
 BLOCK = 4096
 
 
@@ -95,7 +99,7 @@ def choose_pivots(vectors: DataFrame, n: int) -> np.ndarray:
     return np.array([r["v"] for r in rows if len(r["v"]) == dims][:n], dtype=np.float64).reshape(-1, dims)
 
 
-def search(df: DataFrame, every: int = 100, k: int = 10, pivots: int = PIVOTS, prefix: int = PREFIX, candidates: int = CANDIDATES, block: int = BLOCK, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def search(df: DataFrame, every: int = 100, k: int = 10, pivots: int = PIVOTS, prefix: int = PREFIX, candidates: int = CANDIDATES, share: float = SHARE, block: int = BLOCK, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for every query (id divisible by `every`) its k nearest found.
 
     Null, empty or zero vectors, vectors with null or non-finite components and vectors of an
@@ -121,8 +125,9 @@ def search(df: DataFrame, every: int = 100, k: int = 10, pivots: int = PIVOTS, p
                     continue
                 flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
                 part = Slice(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), flat.reshape(b.num_rows, dims), centres, width)
+                rerank = max(candidates, math.ceil(share * len(part.x)))
                 for n in range(len(ids)):
-                    found = part.search(int(ids[n]), xs[n], perms[n], candidates, k)
+                    found = part.search(int(ids[n]), xs[n], perms[n], rerank, k)
                     if n in best:
                         i, d = (np.concatenate(z) for z in zip(best[n], found))
                         top = np.lexsort((i, d))[:k]

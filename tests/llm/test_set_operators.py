@@ -154,6 +154,34 @@ def test_recall_of_the_permutation_index(spark):
     assert hits / total >= 0.9
 
 
+def recall(ids, x, got, asked):
+    """Share of the true ten nearest that were found."""
+    hits = total = 0
+    for q in asked:
+        d = ((x - x[ids == q]) ** 2).sum(1)
+        best = [i for i in ids[np.lexsort((ids, d))] if i != q][:10]
+        hits, total = hits + len(set(best) & set(got[got["query_id"] == q]["vec_id"])), total + len(best)
+    return hits / total
+
+
+def test_recall_on_larger_tables(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding", "label").toPandas()
+    ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"]).astype(float)
+    got = queries.op9_permutation_index(spark, "/root/testdata/sf0.1").toPandas()
+    assert recall(ids, x, got, ids[ids % 100 == 0]) >= 0.9
+    # Three full slices of vectors spread like these around the means of their labels.
+    rng, full = np.random.default_rng(9), 30_000
+    _, group = np.unique(rows["label"], return_inverse=True)
+    means = np.stack([x[group == g].mean(0) for g in range(group.max() + 1)])
+    spread = np.linalg.cholesky(np.cov((x - means[group]).T) + 1e-9 * np.eye(x.shape[1]))
+    x = means[rng.integers(0, len(means), full)] + rng.normal(size=(full, x.shape[1])) @ spread.T
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(full)
+    table = spark.createDataFrame(list(zip(ids.tolist(), x.tolist())), "vec_id long, embedding array<double>").coalesce(1)
+    got = ann.search(table, every=500).toPandas()
+    assert recall(ids, x, got, ids[ids % 500 == 0]) >= 0.9
+
+
 def test_neighbour_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [0.0, 1.0], "a"), (1, None, "a"), (2, [0.0, 0.0], "a"), (3, [nan, 1.0], "a"), (4, [inf, 1.0], "a"), (5, [None, 1.0], "a"), (6, [1.0, 1.0], "a"), (7, [1.0, 1.0], "a"), (None, [1.0, 1.0], "a"), (8, [], "a")]
