@@ -5,7 +5,7 @@ Each stage is a function (spark, docs, sf_dir) -> DataFrame over all that its pr
 
 from __future__ import annotations
 
-from evidra.llm import bpe, decontaminate, langid, secrets, simhash
+from evidra.llm import bpe, decontaminate, langid, near_copies, secrets
 from evidra.llm._common import materialize, table
 from evidra.llm.queries import BPE_FILE, bpe_pattern, tokenizer_file
 from evidra.session import ship
@@ -18,9 +18,9 @@ def identify_language(spark, docs, sf_dir):
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    """One document of each group of near-duplicates stays, the one with the smallest id."""
+    """One document of each group of near-duplicates (five-word shingles, Jaccard similarity 0.8) stays, the one with the smallest id."""
     ship(spark)
-    return simhash.keep_one_per_component(docs)
+    return near_copies.keep_one_per_component(docs)
 
 
 def drop_contaminated(spark, docs, sf_dir):

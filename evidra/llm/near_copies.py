@@ -1,0 +1,143 @@
+"""Near copies by exact Jaccard similarity of five-word shingles: a prefix-filter join.
+
+A text is the set of 64-bit hashes of its shingles; equal sets are one node. Two sets of similarity
+s share one of the first n - ceil(s n) + 1 hashes of each at least, in any order that holds for
+all, so only those are joined and no link is lost. The order puts hashes that are common in a
+sample last, rarest first, which keeps the groups of a hash small.
+
+Groups of a shared hash are first linked to one member each, in rounds with different members.
+What these links connect needs no further pair, so that a large group of near copies costs no
+square; then all pairs between different components are compared. Links are verified on whole sets.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from evidra.llm._common import materialize
+from evidra.llm.components import components
+
+WORDS_PER_SHINGLE = 5
+SIMILARITY = 0.8
+SEED = 42
+#: Documents to learn common hashes from, and the most hashes to learn; they only set the order.
+SAMPLE = 4096
+MAX_COMMON = 50_000
+ROUNDS = 2
+
+
+def shingle_hashes(text: str | None, size: int = WORDS_PER_SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of word shingles; a shorter text is one shingle, one without words none."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    digest = xxhash.xxh64_intdigest
+    raw, at, ends = b" ".join(words), 0, []
+    for w in words:
+        at += len(w)
+        ends.append(at)
+        at += 1
+    if len(words) <= size:
+        hashes = [digest(raw, SEED)] if words else []
+    else:
+        hashes = [digest(raw[a:b], SEED) for a, b in zip([0, *(e + 1 for e in ends)], ends[size - 1 :])]
+    return np.unique(np.array(hashes, np.uint64).view(np.int64))
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The hashes to join by. common: sorted hashes that go last, the rarest of them by counts first."""
+    n = len(hashes)
+    keep = n - math.ceil(n * similarity - 1e-9) + 1 if n else 0
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        hashes = hashes[np.argsort(np.where(common[at] == hashes, counts[at], 0), kind="stable")]
+    return hashes[:keep]
+
+
+def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    @F.pandas_udf("array<long>")
+    def hashes_of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: shingle_hashes(t, size))
+
+    every = docs.count() // SAMPLE + 1
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(every)) == 0)
+    counted = sample.select(F.explode(hashes_of("text")).alias("h")).groupBy("h").count().where("count > 2")
+    rows = counted.orderBy(F.desc("count"), "h").limit(MAX_COMMON).orderBy("h").collect()
+    return np.array([r["h"] for r in rows], np.int64), np.array([r["count"] for r in rows], np.int64)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """u, v of the pairs a, b whose sets are similar enough."""
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def near_copy_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = WORDS_PER_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, component_id of each row: the smallest id that links of at least `similarity` lead to.
+
+    Rows with a null id take no part. Texts without words are equal to each other. Repeated
+    documents keep a row each. Empty tables give no rows. Other columns are not read.
+    """
+    docs = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    learned = docs.sparkSession.sparkContext.broadcast(_common(docs, size))
+
+    def key_of(hashes):
+        return np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).astype(np.int64)
+
+    @F.pandas_udf("key long, n int, first array<long>")
+    def mark(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            h = shingle_hashes(t, size)
+            rows.append((key_of(h), len(h), prefix(h, similarity, *learned.value)))
+        return pd.DataFrame(rows, columns=["key", "n", "first"])
+
+    @F.pandas_udf("key long, hashes array<long>")
+    def whole(texts: pd.Series) -> pd.DataFrame:
+        found = [shingle_hashes(t, size) for t in texts]
+        return pd.DataFrame({"key": [key_of(h) for h in found], "hashes": found})
+
+    marked = materialize(docs.select("doc_id", mark("text").alias("m")).select("doc_id", "m.*"))
+    least = materialize(marked.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")))
+    keyed = marked.select("key", F.explode("first").alias("h")).distinct()
+    often = keyed.groupBy("h").count().where("count > 1").select("h")
+    grouped = materialize(keyed.join(often, "h").join(least.select("key", "n"), "key"))
+    met = least.join(grouped.select("key").distinct(), "key").select("key", F.col("least").alias("doc_id"))
+    sets = docs.join(met.select("doc_id").distinct(), "doc_id", "left_semi").select(whole("text").alias("w")).select("w.*")
+    sets = materialize(sets.join(met.select("key"), "key", "left_semi").dropDuplicates(["key"]))
+    roots = edges = None
+    for turn in range(ROUNDS + 1):
+        now = grouped.withColumn("root", F.col("key")) if roots is None else grouped.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        if turn < ROUNDS:
+            other = now.groupBy("h").agg(F.min_by(F.struct("key", "n", "root"), F.xxhash64("key", F.lit(turn))).alias("o")).select("h", "o.*")
+        else:
+            mixed = now.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("h")
+            now = other = now.join(mixed, "h", "left_semi")
+        a, b = now.alias("a"), other.alias("b")
+        pairs = a.join(b, F.col("a.h") == F.col("b.h")).where("a.root != b.root").where(F.least("a.n", "b.n") >= F.floor(F.greatest("a.n", "b.n") * similarity))
+        pairs = pairs.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
+        found = materialize(_verified(pairs, sets, similarity))
+        edges = found if edges is None else edges.unionAll(found)
+        roots = components(edges).select(F.col("u").alias("key"), F.col("v").alias("root"))
+    rooted = least.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
+    return marked.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
+
+
+def keep_one_per_component(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = WORDS_PER_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """docs, all columns, with the smallest id of each component only; rows that repeat that id count as one.
+
+    Rows with a null id can't be told apart by it and stay.
+    """
+    found = near_copy_components(docs, doc, text, size, similarity)
+    copies = materialize(found.groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("copies")).where("copies != 1"))
+    out = docs.join(copies.select(F.col("doc_id").alias(doc)), doc, "left_anti")
+    if copies.where("copies > 1").limit(1).count():
+        more = copies.where("copies > 1").select(F.col("doc_id").alias(doc))
+        out = out.unionByName(docs.join(more, doc, "left_semi").dropDuplicates([doc]))
+    return out.select(docs.columns)

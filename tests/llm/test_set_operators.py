@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from evidra.llm import ann, components, queries, records, sharding, simhash
+from evidra.llm import ann, components, near_copies, queries, records, sharding, simhash
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, fp string, shard int"
@@ -272,6 +272,59 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def jaccard_components(texts):
+    """Smallest id that links of Jaccard similarity 0.8 lead to; all pairs with a common shingle are compared."""
+    sets, holders, parent = {}, {}, {d: d for d in texts}
+    for d, text in texts.items():
+        words = (text or "").encode().lower().split()
+        sets[d] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+        for s in sets[d]:
+            holders.setdefault(s, []).append(d)
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in {(a, b) for h in holders.values() for a in h for b in h if a < b}:
+        shared = len(sets[a] & sets[b])
+        if shared / (len(sets[a]) + len(sets[b]) - shared) >= 0.8:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    return {d: find(d) for d in texts}
+
+
+def test_near_duplicate_stage_against_brute_force(spark):
+    import corpus_pipeline as cp
+
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    texts = dict(docs.select("doc_id", "text").collect())
+    want = jaccard_components(texts)
+    assert want[2] == want[56] and not simhash.near_pairs(*(np.array([simhash.fingerprint(texts[k])], np.uint64) for k in (2, 56)))[0]
+    got = cp.drop_near_duplicates(spark, docs, d)
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(set(want.values()))
+
+
+def test_near_copies_of_made_texts(spark, odd_docs, no_docs):
+    rng = random.Random(10)
+    texts = {}
+    for _ in range(12):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([3, 9, 40, 120]))]
+        for _ in range(25):  # chains and stars of copies around the threshold
+            now = list(words)
+            for _ in range(rng.randrange(4)):
+                now[rng.randrange(len(now))] = f"w{rng.randrange(3000)}"
+            texts[len(texts)] = " ".join(now)
+            words = rng.choice([words, now])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert dict(near_copies.near_copy_components(docs).collect()) == jaccard_components(texts)
+    kept = near_copies.keep_one_per_component(odd_docs)
+    assert kept.columns == odd_docs.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "None"]
+    assert near_copies.keep_one_per_component(no_docs).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
