@@ -3,11 +3,15 @@
 A text becomes a vector of hashed byte 2- and 3-grams of its lower-cased letters, weighted by
 (1 + log tf) * idf and normalised. Per language, spherical k-means finds several centroids. A text
 gets the language of the centroid with the largest cosine, and is rejected where even that cosine
-stays under `min_cosine`, or where it has no letter.
+stays under the centroid's limit for texts of its length, under `min_cosine`, or where it has no
+letter. Limits are learned from cosines of the training sample, whole texts and their beginnings:
+SLACK times a low quantile. Length is the power of two of distinct n-grams, so that a word
+repeated is as short as the word. Under SHORT of them foreign and clean texts have the same
+cosines, and only `min_cosine` rejects.
 
 The centroids and idf are fitted on a bounded sample of labelled rows: at most `per_lang` expected
 rows a language and `max_rows` overall, drawn by a hash of the id. Only the sample's vectors reach
-the driver; every text is then scored where it is read.
+the driver, and the limits are aggregated where the sample is read; every text is then scored where it is read.
 """
 
 from __future__ import annotations
@@ -24,6 +28,13 @@ PER_LANG = 1000
 MAX_ROWS = 20_000
 CENTROIDS = 4
 MIN_COSINE = 0.05
+QUANTILE, SLACK = 0.01, 0.6
+SHORT = 64
+#: Sample texts that a limit is learned from at least; with fewer, the limit of all centroids holds.
+LEAST_TEXTS = 20
+#: Characters that beginnings of sample texts have.
+BEGINNINGS = tuple(64 << k for k in range(7))
+SIZES = DIMS.bit_length()
 #: ASCII bytes other than letters become spaces; bytes of other letters stay.
 FOLDED = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
 
@@ -63,19 +74,25 @@ def cluster(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
 class Centroids:
     def __init__(self, langs: list[str], idf: np.ndarray, matrix: np.ndarray):
         self.langs, self.idf, self.matrix = langs, idf.astype(np.float32), matrix.astype(np.float32)
+        self.limits = np.zeros((len(langs), SIZES))
 
-    def nearest(self, texts) -> tuple[list[str | None], np.ndarray]:
-        """Language and cosine of the nearest centroid; ties go to the first language by name."""
-        if not self.langs:
-            return [None] * len(texts), np.zeros(len(texts))
-        out, cos = [], []
+    def places(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nearest centroid, power of two of distinct n-grams and cosine of each text."""
+        best, size, cos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for k in range(0, len(texts), 256):
-            part = texts[k : k + 256]
-            sims = weigh(np.stack([counts(t) for t in part]), self.idf) @ self.matrix.T
-            best = sims.argmax(1)
-            out += [self.langs[b] for b in best]
-            cos.append(sims[np.arange(len(part)), best])
-        return out, np.clip(np.concatenate(cos) if cos else np.zeros(0), 0, 1).astype(float)
+            tf = np.stack([counts(t) for t in texts[k : k + 256]])
+            sims = weigh(tf, self.idf) @ self.matrix.T
+            best.append(sims.argmax(1))
+            size.append(np.log2(np.maximum((tf > 0).sum(1), 1)).astype(np.int64))
+            cos.append(sims[np.arange(len(tf)), best[-1]])
+        return np.concatenate(best), np.concatenate(size), np.clip(np.concatenate(cos), 0, 1).astype(float)
+
+    def nearest(self, texts) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+        """Language, cosine and limit of the nearest centroid; ties go to the first language by name."""
+        if not self.langs:
+            return [None] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        best, size, cos = self.places(texts)
+        return [self.langs[b] for b in best], cos, self.limits[best, size]
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, max_rows: int = MAX_ROWS, centroids: int = CENTROIDS, doc: str = "doc_id", text: str = "text", lang: str = "lang", held_out_fold: tuple[int, int] | None = (3, 1)) -> Centroids:
@@ -109,7 +126,31 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, max_rows: int = MAX_ROWS, c
         c = cluster(x[y == name], centroids, n)
         langs += [name] * len(c)
         found.append(c)
-    return Centroids(langs, idf, np.concatenate(found))
+    model = Centroids(langs, idf, np.concatenate(found))
+    model.limits = learn_limits(model, sample.select("t").limit(2 * max_rows))
+    return model
+
+
+def learn_limits(model: Centroids, sample: DataFrame) -> np.ndarray:
+    """The least cosine of each centroid and size. sample: t, texts of known languages.
+
+    A size without enough texts has the limit of the next smaller one.
+    """
+
+    @F.pandas_udf("array<struct<c:int,size:int,cos:double>>")
+    def cosines(texts: pd.Series) -> pd.Series:
+        cut = [[t] + [t[:n] for n in BEGINNINGS if n < len(t)] if letters(t) else [] for t in texts]
+        found = zip(*model.places([t for parts in cut for t in parts if letters(t)]))
+        return pd.Series([[dict(zip(("c", "size", "cos"), next(found))) for t in parts if letters(t)] for parts in cut])
+
+    each = sample.select(F.inline(cosines("t"))).where(F.col("size") >= SHORT.bit_length() - 1)
+    rows = each.rollup("size", "c").agg(F.count(F.lit(1)).alias("n"), F.percentile("cos", F.lit(QUANTILE)).alias("low")).where(F.col("size").isNotNull() & (F.col("n") >= LEAST_TEXTS)).collect()
+    low = {(r["size"], r["c"]): SLACK * r["low"] for r in rows}
+    limits, shared = np.zeros((len(model.langs), SIZES)), 0.0
+    for size in range(SIZES):
+        shared = low.get((size, None), shared)
+        limits[:, size] = [low.get((size, c), shared) for c in range(len(limits))]
+    return limits
 
 
 def identify(docs: DataFrame, model: Centroids, min_cosine: float = MIN_COSINE, text: str = "text"):
@@ -117,9 +158,9 @@ def identify(docs: DataFrame, model: Centroids, min_cosine: float = MIN_COSINE,
 
     @F.pandas_udf("lang string, score double, rejected boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        lang, score = model.nearest(texts.tolist())
+        lang, score, limit = model.nearest(texts.tolist())
         known = np.array([letters(t) for t in texts], dtype=bool) & np.array([x is not None for x in lang], dtype=bool)
-        return pd.DataFrame({"lang": [x if ok else "und" for x, ok in zip(lang, known)], "score": np.where(known, score, 0.0), "rejected": ~known | (score < min_cosine)})
+        return pd.DataFrame({"lang": [x if ok else "und" for x, ok in zip(lang, known)], "score": np.where(known, score, 0.0), "rejected": ~known | (score < np.maximum(limit, min_cosine))})
 
     return predict(F.col(text))
 
@@ -127,7 +168,8 @@ def identify(docs: DataFrame, model: Centroids, min_cosine: float = MIN_COSINE,
 def predict_language(docs: DataFrame, min_cosine: float = MIN_COSINE, doc: str = "doc_id", text: str = "text", lang: str = "lang", held_out_fold: tuple[int, int] = (3, 1)) -> DataFrame:
     """One row per document: id, held_out, lang_pred, score, rejected.
 
-    Null texts and texts without a letter are `und` with score 0 and rejected. Null languages are
+    Null texts and texts without a letter are `und` with score 0 and rejected; texts too far from
+    all that was learned are rejected with the nearest language as lang_pred. Null languages are
     not learned from; null ids hash as the empty text. Repeated documents keep a row each. With
     nothing to learn from, every text is `und`; an empty table gives no rows. Of docs only id,
     text and language are read.

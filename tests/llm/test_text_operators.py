@@ -220,6 +220,25 @@ def test_language_on_held_out_documents(spark):
     assert (held["lang_pred"] == held["lang"]).mean() >= 0.95
 
 
+def test_foreign_and_random_texts_are_rejected(spark):
+    rng, d = random.Random(11), "/root/testdata/sf0.01"
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    odd = [
+        "Съешь же ещё этих мягких французских булок да выпей чаю. Вчера мы долго гуляли по берегу реки. " * 5,
+        "今天天气很好我们一起去公园散步吧然后吃饭" * 5,
+        "Eilen kävelimme pitkään joen rannalla ja puhuimme säästä, mutta illalla alkoi sataa ja palasimme kotiin.",
+        letters(200), letters(5000), " ".join(letters(rng.randrange(2, 10)) for _ in range(1000)),
+        base64.b64encode(rng.randbytes(300)).decode(),
+    ]
+    clean = ["Good morning", "Guten Tag", "la casa de mi madre", "je ne sais pas", "The house is old", "Wir gehen nach Hause"]
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(-1 - n, t, None) for n, t in enumerate(odd + clean)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["rejected"] for r in langid.predict_language(docs.unionByName(more)).collect()}
+    assert [got.pop(-1 - n) for n in range(len(odd + clean))] == [True] * len(odd) + [False] * len(clean)
+    texts = dict(docs.select("doc_id", "text").collect())
+    assert not any(gone for d, gone in got.items() if langid.letters(texts[d]))
+
+
 def test_language_cases(spark, odd_docs, no_docs):
     more = spark.createDataFrame([(n, "some words to learn from", "en", "s", "x", "u") for n in range(20, 40)], DOCS)
     odd_docs = odd_docs.unionByName(more)
