@@ -5,8 +5,7 @@ s share one of the first n - ceil(s n) + 1 hashes of each at least, in any order
 all, so only those are joined and no link is lost. The order puts hashes that are common in a
 sample last, rarest first, which keeps the groups of a hash small.
 
-Groups of a shared hash are first linked to one member each, in rounds with different members.
-What these links connect needs no further pair, so that a large group of near copies costs no
+Groups of a shared hash are first linked to one member each. What these links connect needs no further pair, so that a large group of near copies costs no
 square; then all pairs between different components are compared. Links are verified on whole sets.
 """
 
@@ -29,7 +28,6 @@ SEED = 42
 #: Documents to learn common hashes from, and the most hashes to learn; they only set the order.
 SAMPLE = 4096
 MAX_COMMON = 50_000
-ROUNDS = 2
 
 
 def shingle_hashes(text: str | None, size: int = WORDS_PER_SHINGLE) -> np.ndarray:
@@ -89,42 +87,35 @@ def near_copy_components(docs: DataFrame, doc: str = "doc_id", text: str = "text
     def key_of(hashes):
         return np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).astype(np.int64)
 
-    @F.pandas_udf("key long, n int, first array<long>")
+    @F.pandas_udf("key long, n int, first array<long>, hashes array<long>")
     def mark(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             h = shingle_hashes(t, size)
-            rows.append((key_of(h), len(h), prefix(h, similarity, *learned.value)))
-        return pd.DataFrame(rows, columns=["key", "n", "first"])
-
-    @F.pandas_udf("key long, hashes array<long>")
-    def whole(texts: pd.Series) -> pd.DataFrame:
-        found = [shingle_hashes(t, size) for t in texts]
-        return pd.DataFrame({"key": [key_of(h) for h in found], "hashes": found})
+            rows.append((key_of(h), len(h), prefix(h, similarity, *learned.value), h))
+        return pd.DataFrame(rows, columns=["key", "n", "first", "hashes"])
 
     marked = materialize(docs.select("doc_id", mark("text").alias("m")).select("doc_id", "m.*"))
-    least = materialize(marked.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")))
-    keyed = marked.select("key", F.explode("first").alias("h")).distinct()
-    often = keyed.groupBy("h").count().where("count > 1").select("h")
-    grouped = materialize(keyed.join(often, "h").join(least.select("key", "n"), "key"))
-    met = least.join(grouped.select("key").distinct(), "key").select("key", F.col("least").alias("doc_id"))
-    sets = docs.join(met.select("doc_id").distinct(), "doc_id", "left_semi").select(whole("text").alias("w")).select("w.*")
-    sets = materialize(sets.join(met.select("key"), "key", "left_semi").dropDuplicates(["key"]))
-    roots = edges = None
-    for turn in range(ROUNDS + 1):
-        now = grouped.withColumn("root", F.col("key")) if roots is None else grouped.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        if turn < ROUNDS:
-            other = now.groupBy("h").agg(F.min_by(F.struct("key", "n", "root"), F.xxhash64("key", F.lit(turn))).alias("o")).select("h", "o.*")
-        else:
-            mixed = now.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("h")
-            now = other = now.join(mixed, "h", "left_semi")
-        a, b = now.alias("a"), other.alias("b")
-        pairs = a.join(b, F.col("a.h") == F.col("b.h")).where("a.root != b.root").where(F.least("a.n", "b.n") >= F.floor(F.greatest("a.n", "b.n") * similarity))
-        pairs = pairs.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
-        found = materialize(_verified(pairs, sets, similarity))
-        edges = found if edges is None else edges.unionAll(found)
-        roots = components(edges).select(F.col("u").alias("key"), F.col("v").alias("root"))
-    rooted = least.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    least = materialize(marked.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("first").alias("first")))
+    members = least.select(F.explode("first").alias("h"), F.struct("key", "n").alias("m")).groupBy("h").agg(F.collect_list("m").alias("m"))
+    grouped = materialize(members.where(F.size("m") > 1))
+    met = grouped.select(F.explode("m.key").alias("key")).distinct()
+    sets = materialize(marked.select("key", "hashes").join(met, "key", "left_semi").dropDuplicates(["key"]))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        near = F.least("a.n", "b.n") >= F.floor(F.greatest("a.n", "b.n") * similarity)
+        pairs = pairs.where(near & (F.col("a.key") != F.col("b.key")))
+        return materialize(_verified(pairs.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct(), sets, similarity))
+
+    centre = F.array_min(F.transform("m", lambda m: F.struct(F.xxhash64(m["key"]).alias("x"), m["key"].alias("key"), m["n"].alias("n"))))
+    edges = alike(grouped.select(centre.alias("a"), F.explode("m").alias("b")))
+    roots = components(edges).select(F.col("u").alias("key"), F.col("v").alias("root"))
+    now = grouped.select("h", F.explode("m").alias("m")).select("h", "m.*").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = now.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("h")
+    now = materialize(now.join(mixed, "h", "left_semi"))
+    edges = edges.unionAll(alike(now.alias("a").join(now.alias("b"), F.expr("a.h = b.h and a.key < b.key and a.root != b.root"))))
+    roots = components(edges).select(F.col("u").alias("key"), F.col("v").alias("root"))
+    rooted = least.select("key", "least").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
     return marked.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
 
