@@ -6,16 +6,19 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new path below the folder that driver and executors share.
 
-    The cluster names that folder in spark.checkpoint.dir. Where it is unset (tests on one
-    machine) a temporary folder takes its place.
+    The cluster names that folder in spark.checkpoint.dir. Where it is unset, a temporary folder
+    takes its place on a local master, as in tests; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="evidra-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/evidra-{uuid.uuid4().hex}"
@@ -41,3 +44,13 @@ def discard(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of fixed width that a join may broadcast.
+MOST_BROADCAST = 4_000_000
+
+
+def bounded(small: DataFrame, rows: int | None = None) -> DataFrame:
+    """The side of a join to broadcast if its counted rows are few enough, else to be sorted and merged."""
+    n = small.count() if rows is None else rows
+    return F.broadcast(small) if n <= MOST_BROADCAST else small.hint("merge")

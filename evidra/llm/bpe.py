@@ -3,14 +3,16 @@
 A text is cut into words by the tokenizer's pattern. The byte array of a word becomes an array of
 token ids, and a fold merges, again and again, the adjacent pair of the lowest rank.
 
-The commonest distinct words of a bounded sample of documents are folded by Spark's higher-order
-functions (fold_word). The rank map is a literal in the plan: pairs (left id, right id) that form a
-token lie in one array by row displacement, so a pair's rank is in the cell at base[left] + right
-if left owns that cell. These at most `dictionary_words` words and their ids are broadcast.
-
-Every whole text is then encoded where it is read: words outside of the dictionary go through the
-same fold in the task, each once per task. The dictionary changes no result. Nothing is shuffled
-but the sample's word counts. Decoding concatenates the ids' binary pieces.
+The fold is a Spark expression of higher-order functions (fold_word). The rank map is a literal in
+the plan: pairs (left id, right id) that form a token lie in one array by row displacement, so a
+pair's rank is in the cell at base[left] + right if left owns that cell.
+
+Three steps follow each other inside one task, without a shuffle. The first cuts texts into words
+and gives each distinct word of the task a number; it hands on new words, in arrays, and behind
+them the rows with their words' numbers. Spark folds the arrays of words. The last step looks the
+numbers up in the folded ids. Only words of over LONG bytes, where the fold's time grows with the
+square, merge all places of the lowest pair at once in the last step, with the same ids. Decoding
+concatenates the ids' binary pieces.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import hashlib
 from collections import defaultdict
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,19 +31,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidra.llm._common import discard, materialize
-
-SAMPLE_DOCS = 4096
-DICTIONARY_WORDS = 50_000
-#: The dictionary takes words of at most so many bytes.
-DICTIONARY_BYTES = 48
-#: Distinct words outside of the dictionary that a task keeps encoded, and their longest length.
-CACHE = 400_000
-CACHED_BYTES = 64
 #: Words of over so many bytes merge all places of the lowest pair at once.
 LONG = 96
 #: Ids have 16 bits in the rank map's cells.
 MOST_IDS = 1 << 16
+#: Words of an array to fold.
+WORDS_PER_ROW = 2048
+#: Characters of texts that are cut before their words are handed on.
+SLICE = 1 << 23
+#: Distinct words after which a task starts its numbers anew, and the bytes that they may take.
+MOST_WORDS, MOST_BYTES = 600_000, 1 << 26
 #: Texts are written out in batches of about so many tokens.
 BATCH_TOKENS = 1 << 20
 
@@ -56,33 +56,35 @@ class RankMap:
     """A vocabulary's tables: byte ids, pieces, and the rank of each pair that forms a token."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.top = max(ranks.values()) + 1
-        if self.top > MOST_IDS or any(bytes([b]) not in ranks for b in range(256)):
+        top = max(ranks.values()) + 1
+        if top > MOST_IDS or any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("a vocabulary with all single bytes and at most 65536 ids is needed")
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
-        self.pieces = [b""] * self.top
-        self.pairs: dict[int, int] = {}
+        pieces, pairs = [b""] * top, {}
         for token, rank in ranks.items():
-            self.pieces[rank] = token
+            pieces[rank] = token
             for k in range(1, len(token)):
                 left, right = ranks.get(token[:k]), ranks.get(token[k:])
                 if left is not None and right is not None:
-                    self.pairs[left << 16 | right] = rank
-        keys = np.array(sorted(self.pairs), np.int64)
-        self.keys, self.ranks = keys, np.array([self.pairs[k] for k in keys.tolist()], np.int64)
-
-    def displaced(self) -> tuple[list[int], list[int]]:
-        """base and cells, by next fit, largest rows first. A cell holds left << 16 | rank, or -1."""
-        rows = defaultdict(list)
-        for key, rank in self.pairs.items():
-            rows[key >> 16].append((key & 0xFFFF, rank))
-        size = 16 * self.top + 4 * len(self.pairs)
-        taken, base, cells = np.zeros(size, bool), [0] * self.top, np.full(size, -1, np.int64)
+                    pairs[left << 16 | right] = rank
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.ranks = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
+        self.lengths = np.array([len(p) for p in pieces], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def displaced(self) -> tuple[np.ndarray, np.ndarray]:
+        """base and cells, by next fit, largest rows first. A cell holds left << 16 | rank as 32 bits, or 0 for none."""
+        top, lefts = len(self.lengths), self.keys >> 16
+        names, first, counts = np.unique(lefts, return_index=True, return_counts=True)
+        size = 16 * top + 4 * len(self.keys)
+        taken, base, cells = np.zeros(size, bool), np.zeros(top, np.int64), np.zeros(size, np.int64)
         last = at = 0
-        for left, pairs in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
-            rights = np.array([p[0] for p in pairs])
-            at = at if len(pairs) == last or len(pairs) > 40 else 0
-            last = len(pairs)
+        for k in np.lexsort((names, -counts)).tolist():
+            left, n = int(names[k]), int(counts[k])
+            rights, ranks = (x[first[k] : first[k] + n] for x in (self.keys & 0xFFFF, self.ranks))
+            at = at if n == last or n > 40 else 0
+            last = n
             while True:  # the first of 2048 places where all cells are free
                 fits = np.flatnonzero(~taken[(at + np.arange(2048))[:, None] + rights].any(1))
                 if len(fits):
@@ -91,32 +93,17 @@ class RankMap:
             at += int(fits[0])
             taken[at + rights] = True
             base[left] = at
-            cells[at + rights] = [left << 16 | p[1] for p in pairs]
-        return base, cells[: max(base) + self.top].tolist()
+            # No pair forms rank 0, a single byte, so that an empty cell is owned by none.
+            cells[at + rights] = left << 16 | ranks
+        return base, cells[: int(base.max()) + top].astype(np.uint32).view(np.int32)
 
     def fold(self, word: bytes) -> list[int]:
-        """The ids of a word: the leftmost pair of the lowest rank is merged until none is left."""
-        ids = list(map(self.byte_ids.__getitem__, word))
-        if len(ids) > LONG:
-            return self.fold_long(np.array(ids, np.int64))
-        rank = self.pairs.get
-        found = [rank(a << 16 | b, MOST_IDS) for a, b in zip(ids, ids[1:])]
-        while found:
-            least = min(found)
-            if least == MOST_IDS:
-                break
-            p = found.index(least)
-            ids[p : p + 2] = [least]
-            del found[p]
-            if p:
-                found[p - 1] = rank(ids[p - 1] << 16 | least, MOST_IDS)
-            if p < len(found):
-                found[p] = rank(least << 16 | ids[p + 1], MOST_IDS)
-        return ids
-
-    def fold_long(self, ids: np.ndarray) -> list[int]:
-        """fold() with all places of the lowest pair at once: the same ids, in as many steps as there are different merges."""
-        while len(ids) > 1:
+        """The ids of a word: the leftmost pair of the lowest rank is merged until none is left.
+
+        All places of that pair are merged at once, in as many steps as there are different merges.
+        """
+        ids = np.array([self.byte_ids[b] for b in word], np.int64)
+        while len(ids) > 1 and len(self.keys):
             asked = ids[:-1] << 16 | ids[1:]
             at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
             found = np.where(self.keys[at] == asked, self.ranks[at], MOST_IDS)
@@ -138,9 +125,16 @@ def rank_map(path: str) -> RankMap:
     return RankMap(read_ranks(path))
 
 
-def _literal(values, kind: str = "int") -> Column:
-    """An array in the plan; the optimizer folds the parsing away."""
-    return F.split(F.lit(" ".join(map(str, values))), " ").cast(f"array<{kind}>")
+@lru_cache
+def _tables(path: str) -> tuple[str, str, str]:
+    """byte ids, base and cells as text for literals."""
+    tables = rank_map(path)
+    return tuple(" ".join(map(str, x)) for x in (tables.byte_ids, *(t.tolist() for t in tables.displaced())))
+
+
+def _literal(values: str) -> Column:
+    """An array of integers in the plan; the optimizer folds the parsing away."""
+    return F.split(F.lit(values), " ").cast("array<int>")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -148,107 +142,127 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold_word(word: Column, tables: RankMap) -> Column:
-    """RankMap.fold() as a Spark expression over a column of words that aren't empty: array<int>."""
-    base, cells = tables.displaced()
-    base, cells, byte_ids = _literal(base), _literal(cells, "bigint"), _literal(tables.byte_ids)
+def fold_word(word: Column, ranks_path: str) -> Column:
+    """RankMap.fold() as a Spark expression over a column of words that aren't empty: array<int>.
+
+    The state has the ids and the ranks of their pairs; a merge renews the ranks beside it.
+    """
+    byte_ids, base, cells = map(_literal, _tables(ranks_path))
     # The word's bytes as characters U+0000 to U+00FF.
     start = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(byte_ids, F.ascii(c)))
 
     def rank(left: Column, right: Column) -> Column:
-        owned = lambda cell: F.when(F.shiftright(cell, 16) == left, cell.bitwiseAND(F.lit(0xFFFF)).cast("int"))
+        owned = lambda cell: F.when((F.shiftrightunsigned(cell, 16) == left) & (cell != 0), cell.bitwiseAND(F.lit(0xFFFF)))
         return _let(F.get(cells, F.get(base, left) + right), owned)
 
-    def merge(ids: Column) -> Column:
-        def at(found: Column) -> Column:
-            least = F.array_min(found)
-            p = F.array_position(found, least).cast("int")
-            merged = F.concat(F.slice(ids, F.lit(1), p - 1), F.array(least), F.slice(ids, p + 2, F.size(ids)))
-            return F.when(least.isNull(), ids).otherwise(merged)
+    def ranks_of(ids: Column) -> Column:
+        return F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids)), rank)
 
-        return _let(F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), rank), at)
+    def merge(now: Column) -> Column:
+        ids, ranks = now["ids"], now["ranks"]
 
-    return _let(start, lambda ids: F.aggregate(F.slice(ids, F.lit(2), F.size(ids)), ids, lambda now, _: merge(now)))
+        def at(found: Column) -> Column:
+            least, p = found["least"], found["p"]
+            before = F.when(p > 1, F.array(rank(F.get(ids, p - 2), least))).otherwise(F.array().cast("array<int>"))
+            after = F.when(p < F.size(ranks), F.array(rank(least, F.get(ids, p + 1)))).otherwise(F.array().cast("array<int>"))
+            new_ids = F.concat(F.slice(ids, F.lit(1), p - 1), F.array(least), F.slice(ids, p + 2, F.size(ids)))
+            new_ranks = F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), before, after, F.slice(ranks, p + 2, F.size(ids)))
+            return F.struct(new_ids.alias("ids"), new_ranks.alias("ranks"))
 
+        found = _let(F.array_min(ranks), lambda least: F.struct(least.alias("least"), F.array_position(ranks, least).cast("int").alias("p")))
+        return F.when(F.array_min(ranks).isNull(), now).otherwise(_let(found, at))
 
-def _java(pattern: str) -> str:
-    """The pattern with white space as Unicode has it; Java's \\s is ASCII only."""
-    spaces = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-    return pattern.replace(r"[^\s", "[^" + spaces).replace(r"\S", f"[^{spaces}]").replace(r"\s", f"[{spaces}]")
+    def fold(ids: Column) -> Column:
+        state = F.struct(ids.alias("ids"), ranks_of(ids).alias("ranks"))
+        return F.aggregate(F.slice(ids, F.lit(2), F.size(ids)), state, lambda now, _: merge(now), lambda now: now["ids"])
 
+    return _let(start, fold)
 
-def dictionary(docs: DataFrame, tables: RankMap, pattern: str, text: str = "text", sample_docs: int = SAMPLE_DOCS, most: int = DICTIONARY_WORDS) -> dict[str, bytes]:
-    """The commonest words of about sample_docs documents, drawn by a hash of the text, with their ids as 16-bit integers.
 
-    Of rows that repeat a drawn text, at most 2 * sample_docs count.
-    """
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    drawn = docs.select(text).where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * sample_docs)
-    found = drawn.select(F.explode(F.regexp_extract_all(text, F.lit(_java(pattern)), F.lit(0))).alias("w"))
-    counted = found.where(F.octet_length("w") <= DICTIONARY_BYTES).groupBy("w").count()
-    common = counted.orderBy(F.desc("count"), "w").limit(most).select("w")
-    # Written first, so that no plan but one scan carries the literal tables.
-    written = materialize(common)
-    folded = written.select("w", fold_word(F.col("w"), tables).alias("ids")).collect()
-    discard(written)
-    return {r["w"]: np.array(r["ids"], "<u2").tobytes() for r in folded}
-
-
-class Encoder:
-    """Whole texts to ids. Words outside of the dictionary are folded once per task."""
-
-    def __init__(self, tables: RankMap, pattern: str, known: dict[str, bytes]):
-        self.tables, self.cut = tables, regex.compile(pattern).findall
-        self.common, self.known = known, dict(known)
-
-    def encode(self, text: str | None) -> np.ndarray:
-        words = self.cut(text or "")
-        try:
-            return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u2")
-        except KeyError:
-            pass
-        known, long = self.known, {}
-        for w in set(words).difference(known):
-            raw = w.encode()
-            (known if len(raw) <= CACHED_BYTES else long)[w] = np.array(self.tables.fold(raw), "<u2").tobytes()
-        if long:
-            ids = b"".join([long[w] if w in long else known[w] for w in words])
-        else:
-            ids = b"".join(map(known.__getitem__, words))
-        if len(known) > CACHE + len(self.common):
-            self.known = dict(self.common)
-        return np.frombuffer(ids, "<u2")
+def _runs(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Pieces of `flat` one behind the other: piece k has lengths[k] items from starts[k]."""
+    n = lengths[which]
+    ends = np.cumsum(n)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - ends + n, n)]
 
 
 def decode(ids: np.ndarray, tables: RankMap) -> bytes:
-    """The bytes that token ids stand for."""
-    return b"".join(map(tables.pieces.__getitem__, ids.tolist()))
+    """The bytes that token ids stand for: their binary pieces, concatenated."""
+    return _runs(tables.bytes, tables.starts, tables.lengths, ids).tobytes()
 
 
 def _mapped(docs: DataFrame, ranks_path: str, pattern: str, text: str, row, fields: list[tuple[T.StructField, pa.DataType]]) -> DataFrame:
     """docs without the text column, and the fields that row(ids, tables) gives for each text."""
-    tables = rank_map(ranks_path)
-    shared = docs.sparkSession.sparkContext.broadcast((tables, dictionary(docs, tables, pattern, text)))
+    shared = docs.sparkSession.sparkContext.broadcast(rank_map(ranks_path))
     names = [c for c in docs.columns if c != text]
-    schema = T.StructType([docs.schema[c] for c in names] + [f for f, _ in fields])
+    optional = [T.StructField(c, docs.schema[c].dataType) for c in names]
+    handed = [T.StructField("bpe_words", T.ArrayType(T.StringType())), T.StructField("bpe_anew", T.BooleanType()), T.StructField("bpe_places", T.BinaryType())]
 
-    def run(batches):
-        tables, known = shared.value
-        encoder = Encoder(tables, pattern, known)
+    def cut(batches):
+        find, places, size = regex.compile(pattern).findall, defaultdict(), 0
+        places.default_factory = places.__len__
+        kinds = None
         for b in batches:
-            texts, start = b.column(b.schema.get_field_index(text)), 0
+            texts, rest = b.column(b.schema.get_field_index(text)), [b.column(b.schema.get_field_index(c)) for c in names]
+            kinds = kinds or [c.type for c in rest]
+            start = 0
             while start < b.num_rows:
-                rows, n = [], 0
-                while n < BATCH_TOKENS and start + len(rows) < b.num_rows:
-                    ids = encoder.encode(texts[start + len(rows)].as_py())
-                    n += len(ids)
-                    rows.append(row(ids, tables))
-                own = [pa.array(c, kind) for c, (_, kind) in zip(zip(*rows), fields)]
-                kept = [b.column(b.schema.get_field_index(c)).slice(start, len(rows)) for c in names]
-                yield pa.RecordBatch.from_arrays(kept + own, schema.names)
-                start += len(rows)
-
-    return docs.mapInArrow(run, schema)
+                anew, known, rows, total = not places, len(places), [], 0
+                while start + len(rows) < b.num_rows and total < SLICE:
+                    t = texts[start + len(rows)].as_py() or ""
+                    words = find(t)
+                    rows.append(np.fromiter(map(places.__getitem__, words), np.uint32, len(words)).tobytes())
+                    total += len(t) + 64
+                new = list(islice(places, known, None))
+                for k in range(0, len(new), WORDS_PER_ROW):
+                    part = pa.array([new[k : k + WORDS_PER_ROW]], pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([part, pa.array([anew and not k]), pa.nulls(1, pa.binary()), *[pa.nulls(1, t) for t in kinds]], [f.name for f in handed] + names)
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.bool_()), pa.array(rows, pa.binary()), *[c.slice(start, n) for c in rest]], [f.name for f in handed] + names)
+                start += n
+                size += sum(map(len, new))
+                if len(places) > MOST_WORDS or size > MOST_BYTES:
+                    places.clear()
+                    size = 0
+
+    words = F.col("bpe_words")
+    folded = F.transform(words, lambda w: F.when(F.octet_length(w) <= LONG, fold_word(w, ranks_path)))
+    left = F.filter(words, lambda w: F.octet_length(w) > LONG)
+
+    def look_up(batches):
+        tables = shared.value
+        flat, starts, lengths, waiting = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        for b in batches:
+            is_row = np.asarray(b.column(3).is_valid())
+            bounds = [*np.flatnonzero(np.concatenate([[True], is_row[1:] != is_row[:-1]])).tolist(), b.num_rows] if b.num_rows else []
+            for s, e in zip(bounds, bounds[1:]):
+                if not is_row[s]:
+                    for k in range(s, e):
+                        if b.column(2)[k].as_py():
+                            flat, starts, lengths, waiting = flat[:0], starts[:0], lengths[:0], []
+                        ids, rest = b.column(0)[k].values, iter(b.column(1)[k].as_py())
+                        if ids.null_count:
+                            waiting += [np.array(x.as_py() if x.is_valid else tables.fold(next(rest).encode()), np.uint16) for x in ids]
+                        else:
+                            waiting.append((ids.flatten().to_numpy().astype(np.uint16), np.diff(np.asarray(ids.offsets))))
+                    continue
+                if waiting:
+                    parts = [x if isinstance(x, tuple) else (x, np.array([len(x)])) for x in waiting]
+                    flat, lengths, waiting = np.concatenate([flat, *(p[0] for p in parts)]), np.concatenate([lengths, *(p[1] for p in parts)]), []
+                    starts = np.cumsum(lengths) - lengths
+                while s < e:
+                    rows, n = [], 0
+                    while n < BATCH_TOKENS and s + len(rows) < e:
+                        ids = _runs(flat, starts, lengths, np.frombuffer(b.column(3)[s + len(rows)].as_py(), np.uint32))
+                        n += len(ids) + 64
+                        rows.append(row(ids, tables))
+                    own = [pa.array(c, kind) for c, (_, kind) in zip(zip(*rows), fields)]
+                    yield pa.RecordBatch.from_arrays([c.slice(s, len(rows)) for c in b.columns[4:]] + own, [f.name for f in schema])
+                    s += len(rows)
+
+    schema = T.StructType(optional + [f for f, _ in fields])
+    numbered = docs.mapInArrow(cut, T.StructType(handed + optional))
+    return numbered.select(folded.alias("bpe_ids"), left.alias("bpe_long"), "bpe_anew", "bpe_places", *[F.col(f"`{c}`") for c in names]).mapInArrow(look_up, schema)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", into: str = "token_ids") -> DataFrame:
@@ -265,7 +279,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
 
 def decode_ids(ids: Column, ranks_path: str) -> Column:
     """Token ids back to bytes, as a Spark expression: binary pieces concatenated. Null for null."""
-    pieces = F.split(F.lit(" ".join(p.hex() for p in rank_map(ranks_path).pieces)), " ")
+    tables = rank_map(ranks_path)
+    whole, ends = tables.bytes.tobytes().hex(), np.cumsum(tables.lengths).tolist()
+    pieces = F.split(F.lit(" ".join(whole[2 * a : 2 * b] for a, b in zip([0, *ends], ends))), " ")
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
 
 

@@ -5,7 +5,7 @@ access keys, long hexadecimal strings, and opaque tokens (long, with capitals, s
 digits) that overlap none of those. A candidate's value is hashed, and for each hash the distinct
 owners and repositories that hold it are counted over the whole corpus: pre-aggregated to one row
 per hash, owner and repository, then per hash and owner, then per hash. A value that over
-MAX_OWNERS owners hold is a widely copied example. A value that few hold and that looks live (many
+MAX_OWNERS owners or over MAX_REPOS repositories hold is a widely copied example. A value that few hold and that looks live (many
 different characters, no word such as "example") is an owner's credential.
 
 The first three kinds are always reported. Opaque tokens are added where they are credentials.
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm._common import materialize
+from evidra.llm._common import bounded, discard, materialize
 
 #: Kind, what to gate texts by, pattern, group of the value, its least length. Where
 #: runs that are too short can't hide a longer one, the pattern has the least length itself.
@@ -30,7 +30,7 @@ BASE_KINDS = (
 )
 OPAQUE = ("opaque", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24}", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}", 0, 24)
 KINDS = (*BASE_KINDS, OPAQUE)
-MAX_OWNERS = 3
+MAX_OWNERS, MAX_REPOS = 3, 12
 LEAST_CHARACTERS = 8
 PLACEHOLDERS = r"(?i)example|sample|placeholder|changeme|dummy|xxxx|your[_-]"
 #: What takes a credential's place in a cleaned text.
@@ -82,11 +82,11 @@ def ownership(values: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"))
 
 
-def _decided(scanned: DataFrame, max_owners: int) -> DataFrame:
+def _decided(scanned: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
     """row, spans: of each row with candidates, each with n_owners, n_repos and verdict. scanned: row, owner, repo, found."""
     each = scanned.select("row", "owner", "repo", F.inline("found"))
     counted = each.drop("owner", "repo").join(ownership(each), "hash")
-    verdict = F.when(F.col("n_owners") > max_owners, "example").when(F.col("live"), "credential").otherwise("unlikely")
+    verdict = F.when((F.col("n_owners") > max_owners) | (F.col("n_repos") > max_repos), "example").when(F.col("live"), "credential").otherwise("unlikely")
     span = F.struct("start", "ord", "end", "kind", verdict.alias("verdict"), "n_owners", "n_repos")
     spans = F.array_sort(F.collect_list(span))
     kept = F.filter("spans", lambda s: (s.kind != "opaque") | (s.verdict == "credential"))
@@ -97,7 +97,7 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
 
 
-def scan_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, doc: str = "doc_id", text: str = "text", owner: str | Column = "source", repo: str | Column = "source") -> DataFrame:
+def scan_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS, doc: str = "doc_id", text: str = "text", owner: str | Column = "source", repo: str | Column = "source") -> DataFrame:
     """One row per document: id, n_assign, n_access, n_hex, base_sha256, spans, n_credentials, n_examples, secrets.
 
     spans has kind:start:end of all spans, comma-joined; secrets the same as an array with verdict,
@@ -109,7 +109,7 @@ def scan_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, doc: str = "doc_
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc).alias("id"), owner.alias("owner"), repo.alias("repo"), candidates(F.col(text)).alias("found"))
     scanned = materialize(rows)
     some, none = scanned.where(F.size("found") > 0), scanned.where(F.size("found") == 0)
-    decided = some.select("row", "id").join(_decided(some, max_owners), "row").select("id", "spans")
+    decided = some.select("row", "id").join(_decided(some, max_owners, max_repos), "row").select("id", "spans")
     all_rows = decided.unionByName(none.select("id", F.lit(None).cast(decided.schema["spans"].dataType).alias("spans")))
     spans = F.coalesce("spans", F.array().cast(decided.schema["spans"].dataType))
     base = F.filter("spans", lambda s: s.kind != "opaque")
@@ -124,29 +124,37 @@ def scan_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, doc: str = "doc_
     )
 
 
-def redact_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, text: str = "text", owner: str | Column = "source", repo: str | Column = "source") -> DataFrame:
+def _digest(text: Column) -> Column:
+    """128 bits that name a text."""
+    return F.struct(F.xxhash64(text).alias("x"), F.xxhash64(F.lit("text"), text).alias("y"))
+
+
+def redact_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS, text: str = "text", owner: str | Column = "source", repo: str | Column = "source") -> DataFrame:
     """docs, all columns and rows, with REDACTED in place of each credential in the texts.
 
     Widely copied examples and unlikely values stay, and so do texts without candidates, null or
-    empty ones. Of credentials that overlap, the later is cut where the earlier ends.
+    empty ones. Of credentials that overlap, the later is cut where the earlier ends. Equal texts
+    have the same spans, so only a digest of the text and its credentials are written and joined;
+    the texts stay where they are read.
     """
     owner, repo = (F.col(c) if isinstance(c, str) else c for c in (owner, repo))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), owner.alias("owner"), repo.alias("repo"), candidates(F.col(text)).alias("found"), F.struct(*docs.columns).alias("doc"))
-    suspect = F.coalesce(F.col(text), F.lit("")).rlike("|".join(f"(?:{k[1]})" for k in KINDS))
-    scanned = materialize(rows.where(suspect))
-    decided = _decided(scanned.where(F.size("found") > 0), max_owners)
-    whole = F.col(f"doc.`{text}`")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), _digest(F.col(text)).alias("digest"), owner.alias("owner"), repo.alias("repo"), candidates(F.col(text)).alias("found"))
+    scanned = materialize(rows.where(F.size("found") > 0))
+    live = F.filter("spans", lambda s: s.verdict == "credential")
+    live = F.transform(live, lambda s: F.struct(s.start.cast("int").alias("start"), s.end.cast("int").alias("end")))
+    decided = _decided(scanned, max_owners, max_repos).select("row", live.alias("live")).where(F.size("live") > 0)
+    named = scanned.select("row", "digest").join(decided, "row").groupBy("digest").agg(F.first("live").alias("live"))
+    cuts = materialize(named)
+    discard(scanned)
+    spans = cuts.agg(F.coalesce(F.sum(F.size("live")), F.lit(0))).first()[0]
+    whole, at = F.col(text), "credentials_of_text"
 
     def cut(state: Column, s: Column) -> Column:
         start = F.greatest(s.start, state.at)
         out = F.concat(state.out, F.substring(whole, state.at + 1, F.greatest(F.lit(0), start - state.at)), F.lit(REDACTED))
         return F.when(s.end <= state.at, state).otherwise(F.struct(F.greatest(s.end, state.at).cast("int").alias("at"), out.alias("out")))
 
-    live = F.filter("spans", lambda s: s.verdict == "credential")
-    live = F.transform(live, lambda s: F.struct(s.start.cast("int").alias("start"), s.end.cast("int").alias("end")))
-    state = F.aggregate(live, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut)
-    cleaned = F.concat(state.out, F.substring(whole, state.at + 1, F.length(whole)))
-    cleaned = F.when(F.size(live) > 0, cleaned).otherwise(whole)
-    held = scanned.select("row", "doc").join(decided, "row", "left")
-    held = held.select(*[(cleaned if c == text else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
-    return docs.where(~suspect).unionByName(held)
+    state = F.aggregate(at, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut)
+    cleaned = F.when(F.col(at).isNull(), whole).otherwise(F.concat(state.out, F.substring(whole, state.at + 1, F.length(whole))))
+    joined = docs.join(bounded(cuts.select(F.col("digest").alias("digest_of_text"), F.col("live").alias(at)), spans), _digest(whole) == F.col("digest_of_text"), "left")
+    return joined.select(*[(cleaned if c == text else F.col(f"`{c}`")).alias(c) for c in docs.columns])

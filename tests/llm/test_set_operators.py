@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from evidra.llm import ann, components, near_copies, queries, records, sharding, simhash
+from evidra.llm import ann, components, queries, records, sharding, simhash
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, fp string, shard int"
@@ -86,7 +86,7 @@ def test_links_between_random_fingerprints(spark, monkeypatch):
             prints.add(base)
     monkeypatch.setattr(simhash, "BLOCK", 16)  # splits blocks into chunks
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
-    edges = simhash.links(spark.createDataFrame(signed, "fp long"))
+    edges = simhash.links(spark.createDataFrame(signed, "fp long").selectExpr("fp AS node", "fp"))
     roots = {r["u"]: r["v"] for r in components.components(edges).collect()}
     by_root = Counter(roots.get(p, p) for (p,) in signed)
     want = Counter(slow_components(dict(enumerate(sorted(prints)))).values())
@@ -318,11 +318,11 @@ def test_near_copies_of_made_texts(spark, odd_docs, no_docs):
             texts[len(texts)] = " ".join(now)
             words = rng.choice([words, now])
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert dict(near_copies.near_copy_components(docs).collect()) == jaccard_components(texts)
-    kept = near_copies.keep_one_per_component(odd_docs)
+    assert dict(simhash.near_copy_components(docs).collect()) == jaccard_components(texts)
+    kept = simhash.keep_one_per_component(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "None"]
-    assert near_copies.keep_one_per_component(no_docs).count() == 0
+    assert simhash.keep_one_per_component(no_docs).count() == 0
 
 
 def test_pipeline(spark):
@@ -334,8 +334,7 @@ def test_pipeline(spark):
         new = cp.materialize(stage(spark, kept, DATA))
         assert new.columns == docs.columns
         if name == "near-duplicates":
-            prints = {r["doc_id"]: slow_fingerprint(r["text"]) for r in kept.select("doc_id", "text").collect()}
-            assert {r["doc_id"] for r in new.collect()} == set(slow_components(prints).values())
+            assert {r["doc_id"] for r in new.collect()} == set(jaccard_components(dict(kept.select("doc_id", "text").collect())).values())
         if name == "secrets":
             assert new.count() == kept.count()
         assert new.select("doc_id").exceptAll(kept.select("doc_id")).count() == 0

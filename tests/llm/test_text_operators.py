@@ -95,22 +95,26 @@ def library(ranks_path):
     return tiktoken.Encoding("own", pat_str=queries.bpe_pattern(), mergeable_ranks=bpe.read_ranks(ranks_path), special_tokens={})
 
 
-def test_fold_matches_the_library(ranks_path, library):
-    rng, tables = random.Random(2), bpe.rank_map(ranks_path)
-    encoder = bpe.Encoder(tables, queries.bpe_pattern(), {})
-    for _ in range(150):
+def test_fold_matches_the_library(spark, ranks_path, library, monkeypatch):
+    monkeypatch.setattr(bpe, "WORDS_PER_ROW", 7)
+    monkeypatch.setattr(bpe, "SLICE", 3000)
+    monkeypatch.setattr(bpe, "MOST_WORDS", 60)  # numbers start anew several times
+    rng, texts = random.Random(2), {}
+    for n in range(150):
         text = "".join(rng.choice(rng.choice(["ab", "abcdefgh", "aàé", "日本", "  \n\x1c\x85", "0123", "<|endoftext|>"])) for _ in range(rng.randrange(600)))
-        text = rng.choice([text, "a" * rng.randrange(90, 3000), re.sub(r"\s", "", text)])
-        ids = encoder.encode(text)
-        assert ids.tolist() == library.encode_ordinary(text)
-        assert bpe.decode(ids, tables) == text.encode()
+        texts[n] = rng.choice([text, "a" * rng.randrange(90, 3000), re.sub(r"\s", "", text), ""])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(2)
+    got = {r["doc_id"]: list(r["token_ids"]) for r in bpe.encode(docs, ranks_path, queries.bpe_pattern()).collect()}
+    assert got == {n: library.encode_ordinary(t) for n, t in texts.items()}
+    tables = bpe.rank_map(ranks_path)
+    assert all(bpe.decode(np.array(got[n], np.int64), tables) == t.encode() for n, t in texts.items())
 
 
 def test_spark_fold_matches_the_task_fold(spark, ranks_path):
     tables = bpe.rank_map(ranks_path)
     words = [" hello", "abcabcabc", "aaaa", "é", "日本語", "x", " internationalization"]
     df = spark.createDataFrame([(w,) for w in words], "w string")
-    got = {r["w"]: list(r["ids"]) for r in df.select("w", bpe.fold_word(F.col("w"), tables).alias("ids")).collect()}
+    got = {r["w"]: list(r["ids"]) for r in df.select("w", bpe.fold_word(F.col("w"), ranks_path).alias("ids")).collect()}
     assert got == {w: tables.fold(w.encode()) for w in words}
 
 
