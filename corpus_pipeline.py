@@ -5,8 +5,10 @@ Each stage is a function (spark, docs, sf_dir) -> DataFrame over all that its pr
 
 from __future__ import annotations
 
-from evidra.llm import bpe, decontaminate, langid, near_copies, secrets
-from evidra.llm._common import materialize, table
+from pyspark.sql import functions as F
+
+from evidra.llm import bpe, decontaminate, langid, secrets, simhash
+from evidra.llm._common import discard, materialize, table
 from evidra.llm.queries import BPE_FILE, bpe_pattern, tokenizer_file
 from evidra.session import ship
 
@@ -20,7 +22,7 @@ def identify_language(spark, docs, sf_dir):
 def drop_near_duplicates(spark, docs, sf_dir):
     """One document of each group of near-duplicates (five-word shingles, Jaccard similarity 0.8) stays, the one with the smallest id."""
     ship(spark)
-    return near_copies.keep_one_per_component(docs)
+    return simhash.keep_one_per_component(docs)
 
 
 def drop_contaminated(spark, docs, sf_dir):
@@ -30,8 +32,8 @@ def drop_contaminated(spark, docs, sf_dir):
 
 
 def redact_secrets(spark, docs, sf_dir):
-    """Credentials in the texts are replaced; all documents stay."""
-    return secrets.redact_secrets(docs)
+    """Credentials in the texts are replaced; all documents stay. Owners and repositories are those of op4."""
+    return secrets.redact_secrets(docs, repo=F.concat_ws("/", "source", "lang"))
 
 
 def encode_tokens(spark, docs, sf_dir):
@@ -53,6 +55,8 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+    for n, (_, stage) in enumerate(STAGES):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        if n:
+            discard(before)
     return docs
