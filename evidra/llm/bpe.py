@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 
 #: Words of over so many bytes merge all places of the lowest pair at once.
 LONG = 96
-#: Ids have 16 bits in the rank map's cells.
-MOST_IDS = 1 << 16
+#: Ids have 16 bits in the rank map's cells; the last value is for empty ones.
+MOST_IDS = (1 << 16) - 1
 #: Words of an array to fold.
 WORDS_PER_ROW = 2048
 #: Characters of texts that are cut before their words are handed on.
@@ -58,7 +58,7 @@ class RankMap:
     def __init__(self, ranks: dict[bytes, int]):
         top = max(ranks.values()) + 1
         if top > MOST_IDS or any(bytes([b]) not in ranks for b in range(256)):
-            raise ValueError("a vocabulary with all single bytes and at most 65536 ids is needed")
+            raise ValueError("a vocabulary with all single bytes and at most 65535 ids is needed")
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
         pieces, pairs = [b""] * top, {}
         for token, rank in ranks.items():
@@ -74,11 +74,11 @@ class RankMap:
         self.starts = np.cumsum(self.lengths) - self.lengths
 
     def displaced(self) -> tuple[np.ndarray, np.ndarray]:
-        """base and cells, by next fit, largest rows first. A cell holds left << 16 | rank as 32 bits, or 0 for none."""
+        """base and cells, by next fit, largest rows first. A cell holds left << 16 | rank as 32 bits, or -1."""
         top, lefts = len(self.lengths), self.keys >> 16
         names, first, counts = np.unique(lefts, return_index=True, return_counts=True)
         size = 16 * top + 4 * len(self.keys)
-        taken, base, cells = np.zeros(size, bool), np.zeros(top, np.int64), np.zeros(size, np.int64)
+        taken, base, cells = np.zeros(size, bool), np.zeros(top, np.int64), np.full(size, -1, np.int64)
         last = at = 0
         for k in np.lexsort((names, -counts)).tolist():
             left, n = int(names[k]), int(counts[k])
@@ -93,7 +93,6 @@ class RankMap:
             at += int(fits[0])
             taken[at + rights] = True
             base[left] = at
-            # No pair forms rank 0, a single byte, so that an empty cell is owned by none.
             cells[at + rights] = left << 16 | ranks
         return base, cells[: int(base.max()) + top].astype(np.uint32).view(np.int32)
 
@@ -143,40 +142,25 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def fold_word(word: Column, ranks_path: str) -> Column:
-    """RankMap.fold() as a Spark expression over a column of words that aren't empty: array<int>.
-
-    The state has the ids and the ranks of their pairs; a merge renews the ranks beside it.
-    """
+    """RankMap.fold() as a Spark expression over a column of words that aren't empty: array<int>."""
     byte_ids, base, cells = map(_literal, _tables(ranks_path))
     # The word's bytes as characters U+0000 to U+00FF.
     start = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(byte_ids, F.ascii(c)))
 
     def rank(left: Column, right: Column) -> Column:
-        owned = lambda cell: F.when((F.shiftrightunsigned(cell, 16) == left) & (cell != 0), cell.bitwiseAND(F.lit(0xFFFF)))
-        return _let(F.get(cells, F.get(base, left) + right), owned)
-
-    def ranks_of(ids: Column) -> Column:
-        return F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids)), rank)
-
-    def merge(now: Column) -> Column:
-        ids, ranks = now["ids"], now["ranks"]
+        cell = F.get(cells, F.get(base, left) + right)
+        return F.when(F.shiftrightunsigned(cell, 16) == left, cell.bitwiseAND(F.lit(0xFFFF)))
 
+    def merge(ids: Column) -> Column:
         def at(found: Column) -> Column:
-            least, p = found["least"], found["p"]
-            before = F.when(p > 1, F.array(rank(F.get(ids, p - 2), least))).otherwise(F.array().cast("array<int>"))
-            after = F.when(p < F.size(ranks), F.array(rank(least, F.get(ids, p + 1)))).otherwise(F.array().cast("array<int>"))
-            new_ids = F.concat(F.slice(ids, F.lit(1), p - 1), F.array(least), F.slice(ids, p + 2, F.size(ids)))
-            new_ranks = F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), before, after, F.slice(ranks, p + 2, F.size(ids)))
-            return F.struct(new_ids.alias("ids"), new_ranks.alias("ranks"))
-
-        found = _let(F.array_min(ranks), lambda least: F.struct(least.alias("least"), F.array_position(ranks, least).cast("int").alias("p")))
-        return F.when(F.array_min(ranks).isNull(), now).otherwise(_let(found, at))
+            least = F.array_min(found)
+            p = F.array_position(found, least).cast("int")
+            merged = F.concat(F.slice(ids, F.lit(1), p - 1), F.array(least), F.slice(ids, p + 2, F.size(ids)))
+            return F.when(least.isNull(), ids).otherwise(merged)
 
-    def fold(ids: Column) -> Column:
-        state = F.struct(ids.alias("ids"), ranks_of(ids).alias("ranks"))
-        return F.aggregate(F.slice(ids, F.lit(2), F.size(ids)), state, lambda now, _: merge(now), lambda now: now["ids"])
+        return _let(F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), rank), at)
 
-    return _let(start, fold)
+    return _let(start, lambda ids: F.aggregate(F.slice(ids, F.lit(2), F.size(ids)), ids, lambda now, _: merge(now)))
 
 
 def _runs(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
