@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.llm._common import materialize
+
 #: Each arc's rows are ranked in this many parts, so that no task sorts a whole arc.
 PARTS = 64
 
@@ -70,9 +72,9 @@ def bounded_ring_shards(df: DataFrame, n_shards: int = 8, vnodes: int = 64, slac
 
     size is the text's UTF-8 bytes (null: none) plus 1. Null keys are one more key. Equal keys
     share an arc but are ranked in parts drawn from the row's place in the input, so a key with
-    a third of all rows doesn't meet in one task; repeated rows get a slot each. grown_shard is
-    null, as bounded loads move rows between old shards when one is added. An empty table gives
-    no rows.
+    a third of all rows doesn't meet in one task; repeated rows get a slot each. Equal texts are
+    not kept together. grown_shard is null, as bounded loads move rows between old shards when one
+    is added. An empty table gives no rows.
     """
     spark = df.sparkSession
     points, owners = ring(n_shards, vnodes)
@@ -83,8 +85,12 @@ def bounded_ring_shards(df: DataFrame, n_shards: int = 8, vnodes: int = 64, slac
 
     h, body = F.xxhash64(F.lit("ring"), F.col(key)), F.coalesce(F.col(text), F.lit(""))
     part = F.pmod(F.xxhash64(F.col(key), F.monotonically_increasing_id() % 16), F.lit(PARTS)).cast("int")
-    placed = df.select(F.col(key).alias("k"), h.alias("h"), part.alias("part"))
-    cells = placed.select(arc_of("h").alias("arc"), "part").groupBy("arc", "part").count().collect()
+    # Written first, so that counts and ranks see each row in the same part.
+    rows = materialize(df.select(
+        F.col(key).alias("k"), h.alias("h"), part.alias("part"), arc_of(h).alias("arc"),
+        (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("crc"),
+    ))
+    cells = rows.groupBy("arc", "part").count().collect()
     sizes: dict[int, dict[int, int]] = defaultdict(dict)
     for arc, p, n in cells:
         sizes[arc][p] = n
@@ -94,11 +100,6 @@ def bounded_ring_shards(df: DataFrame, n_shards: int = 8, vnodes: int = 64, slac
     # At most shards x vnodes x PARTS rows, and a few intervals per arc: small enough to broadcast.
     starts = F.broadcast(spark.createDataFrame(before, "arc int, part int, before long"))
     runs = F.broadcast(spark.createDataFrame(plan, "arc int, lo long, hi long, shard int, slot0 long"))
-
-    rows = df.select(
-        F.col(key).alias("k"), h.alias("h"), part.alias("part"),
-        (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("crc"),
-    ).withColumn("arc", arc_of("h"))
     w = Window.partitionBy("arc", "part").orderBy("h", "k", "crc", "size")
     return (
         rows.withColumn("rn", F.row_number().over(w).cast("long") - 1)
