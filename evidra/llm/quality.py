@@ -30,7 +30,8 @@ SYMBOLS = np.frombuffer(b"#$%&*+/<=>@[\\]^_`{|}~!", np.uint8)
 def _local(words: list[str], size: int = 24) -> tuple[float, float, float]:
     """The worst windows of `size` words: most words with symbols, in capitals, repeated."""
     worst = [0.0, 0.0, 0.0]
-    for k in range(0, max(1, len(words) - size // 2), size):
+    last = max(0, len(words) - size)
+    for k in [*range(0, last, size), last]:  # the last window ends at the last word
         part = words[k : k + size]
         n = max(len(part), 8)
         worst[0] = max(worst[0], sum(not w.strip(".,;:?'\"()-").isalnum() for w in part) / n)
