@@ -10,7 +10,7 @@ repeated is as short as the word. Under SHORT of them foreign and clean texts ha
 cosines, and only `min_cosine` rejects.
 
 The centroids and idf are fitted on a bounded sample of labelled rows: at most `per_lang` expected
-rows a language and `max_rows` overall, drawn by a hash of the id. Only the sample's vectors reach
+rows a language and `max_rows` overall (but one per language at least), drawn by a hash of the id. Only the sample's vectors reach
 the driver, and the limits are aggregated where the sample is read; every text is then scored where it is read.
 """
 
@@ -100,34 +100,34 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, max_rows: int = MAX_ROWS, c
     rows = docs.select(F.col(doc).alias("k"), F.col(lang).alias("y"), F.col(text).alias("t")).where("y is not null")
     if held_out_fold:
         rows = rows.where(fold(F.col("k"), held_out_fold[0]) != held_out_fold[1])
-    # More languages than rows to learn from: the most frequent ones.
-    sizes = rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(max_rows // 20).collect()
+    place = F.pmod(F.xxhash64(F.coalesce(F.col("k").cast("string"), F.lit("")), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    sizes = rows.groupBy("y").agg(F.count(F.lit(1)).alias("count"), F.min(place).alias("least")).collect()
     if not sizes:
         return Centroids([], np.ones(DIMS), np.zeros((0, DIMS)))
-    want = min(per_lang, max(20, max_rows // len(sizes)))
-    share = docs.sparkSession.createDataFrame([(r["y"], min(1.0, want / r["count"])) for r in sizes], "y string, share double")
-    place = F.pmod(F.xxhash64(F.coalesce(F.col("k").cast("string"), F.lit("")), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    want, most = max(1, min(per_lang, max_rows // len(sizes))), 2 * max(max_rows, len(sizes))
+    # One row of each language at least, the one that comes first.
+    share = docs.sparkSession.createDataFrame([(r["y"], max(r["least"], min(1.0, want / r["count"]))) for r in sizes], "y string, share double")
 
     @F.pandas_udf("binary")
     def vector(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: np.minimum(counts(t), 65535).astype(np.uint16).tobytes() if letters(t) else None)
 
-    # At most max_rows / 20 rows in share; the sample has `want` rows a language at the median, and the
+    # A row per language in share; the sample has `want` rows a language at the median, and the
     # limit bounds it where one id repeats.
-    sample = rows.join(F.broadcast(share), "y").where(place < F.col("share")).select("k", "y", "t")
-    got = sample.limit(2 * max_rows).select("k", "y", vector("t").alias("v")).where("v is not null").orderBy("y", "k", "v").toPandas()
+    sample = rows.join(F.broadcast(share), "y").where(place <= F.col("share")).select("k", "y", "t")
+    got = sample.limit(most).select("k", "y", vector("t").alias("v")).where("v is not null").orderBy("y", "k", "v").toPandas()
     if not len(got):
         return Centroids([], np.ones(DIMS), np.zeros((0, DIMS)))
-    tf = np.stack([np.frombuffer(bytes(v), np.uint16) for v in got["v"]]).astype(np.float32)
-    idf = np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))) + 1
-    x, y = weigh(tf, idf.astype(np.float32)), got["y"].to_numpy()
+    tf, y = np.frombuffer(b"".join(got["v"]), np.uint16).reshape(-1, DIMS), got["y"].to_numpy()
+    del got
+    idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))) + 1).astype(np.float32)
     langs, found = [], []
-    for n, name in enumerate(sorted(set(y))):
-        c = cluster(x[y == name], centroids, n)
+    for n, name in enumerate(sorted(set(y))):  # a language at a time, to keep the driver small
+        c = cluster(weigh(tf[y == name].astype(np.float32), idf), centroids, n)
         langs += [name] * len(c)
         found.append(c)
     model = Centroids(langs, idf, np.concatenate(found))
-    model.limits = learn_limits(model, sample.select("t").limit(2 * max_rows))
+    model.limits = learn_limits(model, sample.select("t").limit(most))
     return model
 
 
