@@ -120,10 +120,18 @@ class Block:
             for h in np.unique(window_hashes(ids, min_match)).tolist():
                 self.by_seed[h].append(n)
         self.seeds = np.array(sorted(self.by_seed), np.uint64)
+        #: Items too short for a seed, found where they are a whole document.
+        self.short: dict[tuple, list[int]] = defaultdict(list)
+        for i, ws in items:
+            if 0 < len(ws) < min_match:
+                self.short[tuple(ws)].append(i)
 
     def hits(self, text: str | None, coverage: float) -> Iterator[tuple]:
         """(item id, coverage, tokens covered, tiles) of each item covered that far, by item id."""
         words = tokens(text)
+        if len(words) < self.min_match:
+            for item in sorted(self.short.get(tuple(words), ())):
+                yield item, 1.0, len(words), 1
         if len(words) < self.min_match or not len(self.seeds):
             return
         ids = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
@@ -142,12 +150,12 @@ class Block:
 
 
 def blocks(benchmark: DataFrame, min_match: int, block_tokens: int, item: str, text: str) -> Iterator[Block]:
-    """The benchmark in blocks; items with fewer than min_match tokens have no seed and match nothing."""
+    """The benchmark in blocks; items with fewer than min_match tokens have no seed and only match a document that is the item."""
     part, size = [], 0
     rows = benchmark.select(F.col(item).cast("long").alias("item"), F.col(text).alias("text")).where("item is not null").distinct().orderBy("item", "text")
     for row in rows.toLocalIterator():
         words = tokens(row["text"])
-        if len(words) < min_match:
+        if not words:
             continue
         part.append((row["item"], words))
         size += len(words)
@@ -161,8 +169,8 @@ def blocks(benchmark: DataFrame, min_match: int, block_tokens: int, item: str, t
 def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_tokens: int = BLOCK_TOKENS, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and benchmark item that it covers: doc_id, item_id, coverage, n_covered, n_tiles.
 
-    Only contaminated documents have rows. Null, empty and too short texts or items match nothing,
-    and so do empty tables. Items with a null id are left out. Repeated documents repeat their
+    Only contaminated documents have rows. Null and empty texts or items match nothing, and so do
+    empty tables. Items of fewer than min_match tokens match documents that have just their tokens. Items with a null id are left out. Repeated documents repeat their
     rows; repeated items count once. Other columns are not read.
     """
     spark = docs.sparkSession
