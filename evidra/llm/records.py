@@ -18,6 +18,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -131,7 +132,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts with a special token's string, in any case, are encoded by the library as a whole.
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)", re.IGNORECASE).search
         self.known: dict[str, bytes] = {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.lengths = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
@@ -167,16 +169,25 @@ class Encoder:
         """Per text its ids as bytes of self.dtype, END_ID last."""
         end = np.array([END_ID], self.dtype).tobytes()
         for text in texts:
+            if text and self.special(text):
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes() + end
+                continue
             parts = self.chunks(text or "")
             new = list(set(parts).difference(self.known))
             if new:
-                if len(self.known) + len(new) > CACHE:
-                    self.known.clear()
-                    new = list(set(parts))
+                if len(self.known) + len(new) > CACHE:  # the older half goes
+                    self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
+                    new = list(set(parts).difference(self.known))
                 self._learn(new)
             yield b"".join(map(self.known.__getitem__, parts)) + end
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder, with the chunks that its earlier tasks have encoded."""
+    return Encoder(path)
+
+
 def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
@@ -208,7 +219,7 @@ def write_records(docs: DataFrame, tokenizer: str, out_dir: str, files: int, doc
     dtype = Encoder(tokenizer).dtype
 
     def encode(batches):
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for b in batches:
             ids = pa.array(list(encoder.encode(b.column(1).to_pylist())), pa.binary())
             known = b.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
