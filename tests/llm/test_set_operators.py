@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from evidra.llm import ann, components, queries, records, sharding, simhash
 
@@ -132,6 +133,44 @@ def test_shards_hold_the_law(spark, odd_docs, no_docs):
     assert sharding.bounded_ring_shards(no_docs).count() == 0
 
 
+def ring_by_hand(rows, n_shards, vnodes):
+    """Counts of (arc, shard) where rows walk the ring one round at a time. rows: hashes of keys."""
+    points, owners = sharding.ring(n_shards, vnodes)
+    room = sharding.capacities(len(rows), n_shards, 0.0)
+    waiting = Counter(int(np.searchsorted(points, h)) % len(points) for h in rows)
+    out = Counter()
+    for step in range(len(points)):
+        for arc in sorted(waiting):
+            shard = owners[(arc + step) % len(points)]
+            n = min(waiting[arc], room[shard])
+            out[arc, shard] += n
+            waiting[arc] -= n
+            room[shard] -= n
+    return +out
+
+
+@pytest.mark.parametrize("keys", [30_000, 3])
+def test_no_row_is_lost_on_shuffled_and_repeated_input(spark, keys):
+    df = spark.range(30_000).select((F.col("id") % keys).alias("doc_id"), F.lit("t").alias("text"), F.lit(1).alias("part")).repartition(7)
+    got = sharding.bounded_ring_shards(df).toPandas()
+    assert len(got) == 30_000 and got["doc_id"].value_counts().eq(30_000 // keys).all()
+    sizes = got["shard"].value_counts().reindex(range(8), fill_value=0)
+    assert sizes.max() - sizes.min() <= 1
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
+    hashes = [r[0] for r in df.select(F.xxhash64(F.lit("ring"), "doc_id")).collect()]
+    assert Counter(zip(got["arc"], got["shard"])) == ring_by_hand(hashes, 8, 64)
+
+
+def test_movement_of_a_grown_ring(spark):
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    moved = {}
+    for slack in (0.0, 0.5):
+        a, b = (sharding.bounded_ring_shards(df, n, slack=slack).toPandas().set_index("doc_id")["shard"] for n in (8, 9))
+        moved[slack] = float((a.sort_index() != b.sort_index()).mean())
+    # A ring without bounds moves a ninth; bounds move more, the less slack the more.
+    assert 1 / 9 - 0.03 < moved[0.5] < 0.25 and moved[0.5] < moved[0.0] < 0.5
+
+
 def test_full_shards_pass_keys_on_clockwise():
     plan = sharding.lay_out({0: 10, 1: 1}, [0, 1, 2], [4, 4, 4])
     assert [(arc, shard, hi - lo) for arc, lo, hi, shard, _ in plan] == [(0, 0, 4), (1, 1, 1), (0, 1, 3), (0, 2, 3)]
@@ -203,7 +242,6 @@ def test_records_match_the_library(spark, tokenizer_path):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer_path)
-    library.encode_special_tokens = True
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     got = {r["doc_id"]: r for r in queries.op10_token_records(spark, DATA).collect()}
     start = 0
@@ -215,6 +253,18 @@ def test_records_match_the_library(spark, tokenizer_path):
     assert len(got) == len(docs)
 
 
+def test_special_strings_are_encoded_as_by_the_library(spark, tokenizer_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path)
+    texts = ["hello <|endoftext|> world", "<|startoftext|>Hello", "a<|ENDOFTEXT|>b", "x <|endoftext|", "tab\x1cbed <|endoftext|><|endoftext|>", "İstanbul ﬁ Ǆ"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in records.write_and_read_back(docs, tokenizer_path).collect()}
+    for n, text in enumerate(texts):
+        ids = library.encode(text, add_special_tokens=False).ids + [2]
+        assert got[n] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_crc32c_and_frames():
     assert records.crc32c_many([b"123456789", b"", b"a", b"\0" * 32]).tolist() == [0xE3069283, 0, 0xC1D04330, 0x8A9136AA]
     payloads = [b"", b"abc", bytes(range(256)) * 9]
