@@ -4,8 +4,8 @@ A text is cut into words by the tokenizer's pattern. The byte array of a word be
 token ids, and a fold merges, again and again, the adjacent pair of the lowest rank.
 
 The fold is a Spark expression of higher-order functions (fold_word). The rank map is a literal in
-the plan: pairs (left id, right id) that form a token lie in one array by row displacement, so a
-pair's rank is in the cell at base[left] + right if left owns that cell.
+the plan: pairs (left id, right id) that form a token lie in one array by a perfect hash, so a
+pair's rank is in its cell if the cell names the pair.
 
 Three steps follow each other inside one task, without a shuffle. The first cuts texts into words
 and gives each distinct word of the task a number; it hands on new words, in arrays, and behind
@@ -35,6 +35,8 @@ from pyspark.sql import types as T
 LONG = 96
 #: Ids have 16 bits in the rank map's cells; the last value is for empty ones.
 MOST_IDS = (1 << 16) - 1
+#: Fixed factors of a pair's cell and bucket; products of ids and these fit 31 bits.
+FIRST, SECOND = (15731, 11149), (7919, 15013)
 #: Words of an array to fold.
 WORDS_PER_ROW = 2048
 #: Characters of texts that are cut before their words are handed on.
@@ -73,28 +75,33 @@ class RankMap:
         self.lengths = np.array([len(p) for p in pieces], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
-    def displaced(self) -> tuple[np.ndarray, np.ndarray]:
-        """base and cells, by next fit, largest rows first. A cell holds left << 16 | rank as 32 bits, or -1."""
-        top, lefts = len(self.lengths), self.keys >> 16
-        names, first, counts = np.unique(lefts, return_index=True, return_counts=True)
-        size = 16 * top + 4 * len(self.keys)
-        taken, base, cells = np.zeros(size, bool), np.zeros(top, np.int64), np.full(size, -1, np.int64)
-        last = at = 0
-        for k in np.lexsort((names, -counts)).tolist():
-            left, n = int(names[k]), int(counts[k])
-            rights, ranks = (x[first[k] : first[k] + n] for x in (self.keys & 0xFFFF, self.ranks))
-            at = at if n == last or n > 40 else 0
-            last = n
-            while True:  # the first of 2048 places where all cells are free
-                fits = np.flatnonzero(~taken[(at + np.arange(2048))[:, None] + rights].any(1))
+    def hashed(self) -> tuple[np.ndarray, np.ndarray]:
+        """shifts and cells: pair (l, r) is in cell (FIRST . (l, r) + shifts[SECOND . (l, r) mod their number]) mod theirs.
+
+        Buckets of pairs with the same shift are placed one by one, the largest first, with the
+        first shift that finds all their cells free. A cell holds l << 32 | r << 16 | rank, or -1.
+        """
+        left, right = self.keys >> 16, self.keys & 0xFFFF
+        n_cells, n_shifts = int(1.25 * len(left)) + 3 | 1, len(left) // 4 + 1
+        place = left * FIRST[0] + right * FIRST[1]
+        bucket = (left * SECOND[0] + right * SECOND[1]) % n_shifts
+        order = np.argsort(bucket, kind="stable")
+        first, counts = np.searchsorted(bucket[order], np.arange(n_shifts)), np.bincount(bucket, minlength=n_shifts)
+        taken, shifts, cells = np.zeros(n_cells, bool), np.zeros(n_shifts, np.int64), np.full(n_cells, -1, np.int64)
+        for b in np.argsort(-counts, kind="stable").tolist():
+            own = order[first[b] : first[b] + counts[b]]
+            for shift in range(0, n_cells, 256):
+                at = (place[own] + np.arange(shift, shift + 256)[:, None]) % n_cells
+                fits = np.flatnonzero(~taken[at].any(1))
                 if len(fits):
                     break
-                at += 2048
-            at += int(fits[0])
-            taken[at + rights] = True
-            base[left] = at
-            cells[at + rights] = left << 16 | ranks
-        return base, cells[: int(base.max()) + top].astype(np.uint32).view(np.int32)
+            at = at[fits[0]]
+            if len(set(at.tolist())) < len(own):
+                raise ValueError("two pairs of a bucket have the same cell")
+            shifts[b] = shift + fits[0]
+            taken[at] = True
+            cells[at] = self.keys[own] << 16 | self.ranks[own]
+        return shifts, cells
 
     def fold(self, word: bytes) -> list[int]:
         """The ids of a word: the leftmost pair of the lowest rank is merged until none is left.
@@ -125,15 +132,15 @@ def rank_map(path: str) -> RankMap:
 
 
 @lru_cache
-def _tables(path: str) -> tuple[str, str, str]:
-    """byte ids, base and cells as text for literals."""
+def _tables(path: str) -> tuple[tuple[str, int], ...]:
+    """byte ids, shifts and cells as text for literals, with their numbers."""
     tables = rank_map(path)
-    return tuple(" ".join(map(str, x)) for x in (tables.byte_ids, *(t.tolist() for t in tables.displaced())))
+    return tuple((" ".join(map(str, t)), len(t)) for t in (tables.byte_ids, *(x.tolist() for x in tables.hashed())))
 
 
-def _literal(values: str) -> Column:
+def _literal(values: str, kind: str = "int") -> Column:
     """An array of integers in the plan; the optimizer folds the parsing away."""
-    return F.split(F.lit(values), " ").cast("array<int>")
+    return F.split(F.lit(values), " ").cast(f"array<{kind}>")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -143,13 +150,15 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def fold_word(word: Column, ranks_path: str) -> Column:
     """RankMap.fold() as a Spark expression over a column of words that aren't empty: array<int>."""
-    byte_ids, base, cells = map(_literal, _tables(ranks_path))
+    (byte_ids, _), (shifts, n_shifts), (cells, n_cells) = _tables(ranks_path)
+    byte_ids, shifts, cells = _literal(byte_ids), _literal(shifts), _literal(cells, "bigint")
     # The word's bytes as characters U+0000 to U+00FF.
     start = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(byte_ids, F.ascii(c)))
 
     def rank(left: Column, right: Column) -> Column:
-        cell = F.get(cells, F.get(base, left) + right)
-        return F.when(F.shiftrightunsigned(cell, 16) == left, cell.bitwiseAND(F.lit(0xFFFF)))
+        shift = F.get(shifts, (left * SECOND[0] + right * SECOND[1]) % n_shifts)
+        owned = lambda cell: F.when(F.shiftright(cell, 16) == left * F.lit(1 << 16).cast("bigint") + right, cell.bitwiseAND(F.lit(0xFFFF)).cast("int"))
+        return _let(F.get(cells, (left * FIRST[0] + right * FIRST[1] + shift) % n_cells), owned)
 
     def merge(ids: Column) -> Column:
         def at(found: Column) -> Column:
