@@ -47,7 +47,7 @@ BANDS, BAND_ROWS = 20, 4
 #: Fingerprints of sets of similarity 0.8 differ in 9.7 bits on average, with a deviation of 2.9.
 NEAR_BITS = 20
 #: Hashes of a candidate group in one chunk.
-CHUNK_HASHES = 1_000_000
+CHUNK_HASHES = 250_000
 
 
 def fingerprint(text: str | None, size: int = WORDS_PER_SHINGLE) -> int:
@@ -218,7 +218,7 @@ def links(nodes: DataFrame, keys: Column | None = None, radius: int = RADIUS) ->
     """Edges (u, v) that connect all nodes that share a block and lie within `radius` bits. nodes: node, fp; keys: block keys."""
     keyed = nodes.select("node", "fp", F.explode(_keys() if keys is None else keys).alias("key"))
     sizes = keyed.groupBy("key").count().where("count > 1")
-    dealt = _dealt(keyed.join(sizes.hint("merge"), "key"), "key", F.ceil(F.col("count") / BLOCK)).select("node", "fp", "key", "a", "b")
+    dealt = _dealt(keyed.join(sizes.hint("shuffle_hash"), "key"), "key", F.ceil(F.col("count") / BLOCK)).select("node", "fp", "key", "a", "b")
 
     def run(batches):
         for t in _groups(batches, 3):
@@ -334,7 +334,7 @@ def verified_edges(nodes: np.ndarray, sets: list[np.ndarray], prints: np.ndarray
 def _verified(members: DataFrame, similarity: float) -> DataFrame:
     """Edges (u, v) of verified links inside each candidate group. members: node, fp, cluster, hashes."""
     weight = members.groupBy("cluster").agg(F.sum(F.size("hashes")).alias("weight"))
-    dealt = _dealt(members.join(weight.hint("merge"), "cluster"), "cluster", F.ceil(F.col("weight") / CHUNK_HASHES)).select("node", "fp", "hashes", "own", "cluster", "a", "b")
+    dealt = _dealt(members.join(weight.hint("shuffle_hash"), "cluster"), "cluster", F.ceil(F.col("weight") / CHUNK_HASHES)).select("node", "fp", "hashes", "own", "cluster", "a", "b")
 
     def run(batches):
         for table in _groups(batches, 3):
@@ -374,7 +374,7 @@ def near_copy_components(docs: DataFrame, doc: str = "doc_id", text: str = "text
             start = 0
             while start < b.num_rows:
                 found, total = [], 0
-                while start + len(found) < b.num_rows and total < 1 << 20:
+                while start + len(found) < b.num_rows and total < 1 << 18:
                     h = shingle_hashes(b.column(1)[start + len(found)].as_py(), size)
                     total += len(h) + 16
                     node = np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).astype(np.int64)
@@ -387,7 +387,11 @@ def near_copy_components(docs: DataFrame, doc: str = "doc_id", text: str = "text
                 start += len(found)
 
     marked = materialize(rows.mapInArrow(mark, "doc_id long, node long, fp long, bands array<long>, hashes array<int>"))
-    least = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    # Bands as columns: values of fixed width are aggregated without a sort.
+    bands = [f"band{k}" for k in range(BANDS)]
+    wide = marked.select("node", "doc_id", "fp", *[F.get("bands", F.lit(k)).alias(c) for k, c in enumerate(bands)])
+    least = wide.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("fp", *bands)])
+    least = materialize(least.select("node", "least", "fp", F.array(*bands).alias("bands")))
     groups = components(links(least, F.col("bands"), NEAR_BITS))
     members = materialize(groups.select(F.col("u").alias("node"), F.col("v").alias("cluster")).unionAll(groups.select("v", "v").distinct()))
     named = members.join(least.select("node", "least"), "node").withColumnRenamed("least", "doc_id")
