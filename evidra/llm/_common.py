@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +57,24 @@ def bounded(small: DataFrame, rows: int | None = None) -> DataFrame:
     """The side of a join to broadcast if its counted rows are few enough, else to be sorted and merged."""
     n = small.count() if rows is None else rows
     return F.broadcast(small) if n <= MOST_BROADCAST else small.hint("merge")
+
+
+def tidy() -> None:
+    """Give a worker's free memory back: workers wait beside the next ones, with what they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidied(run):
+    """A function of batches that tidies up behind its last one."""
+
+    @wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return whole

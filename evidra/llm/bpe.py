@@ -7,10 +7,11 @@ The fold is a Spark expression of higher-order functions (fold_word). The rank m
 the plan: pairs (left id, right id) that form a token lie in one array by a perfect hash, so a
 pair's rank is in its cell if the cell names the pair.
 
-Three steps follow each other inside one task, without a shuffle. The first cuts texts into words
-and gives each distinct word of the task a number; it hands on new words, in arrays, and behind
-them the rows with their words' numbers. Spark folds the arrays of words. The last step looks the
-numbers up in the folded ids. Only words of over LONG bytes, where the fold's time grows with the
+The commonest words of a bounded sample are folded first and broadcast, so that tasks don't fold
+them again. Then three steps follow each other inside one task, without a shuffle. The first cuts
+texts into words and gives each distinct word of the task a number; it hands on new words, in
+arrays, and behind them the rows with their words' numbers. Spark folds the arrays of words. The
+last step looks the numbers up in the folded ids. Only words of over LONG bytes, where the fold's time grows with the
 square, merge all places of the lowest pair at once in the last step, with the same ids. Decoding
 concatenates the ids' binary pieces.
 """
@@ -31,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidra.llm._common import discard, materialize, tidied
+
 #: Words of over so many bytes merge all places of the lowest pair at once.
 LONG = 96
 #: Ids have 16 bits in the rank map's cells; the last value is for empty ones.
@@ -42,7 +45,9 @@ WORDS_PER_ROW = 2048
 #: Characters of texts that are cut before their words are handed on.
 SLICE = 1 << 23
 #: Distinct words after which a task starts its numbers anew, and the bytes that they may take.
-MOST_WORDS, MOST_BYTES = 600_000, 1 << 26
+MOST_WORDS, MOST_BYTES = 400_000, 1 << 26
+#: The commonest words of about so many documents are folded once for all tasks, up to so many words.
+SAMPLE_DOCS, COMMON_WORDS = 8192, 150_000
 #: Texts are written out in batches of about so many tokens.
 BATCH_TOKENS = 1 << 20
 
@@ -184,23 +189,51 @@ def decode(ids: np.ndarray, tables: RankMap) -> bytes:
     return _runs(tables.bytes, tables.starts, tables.lengths, ids).tobytes()
 
 
+def _java(pattern: str) -> str:
+    """The pattern with white space as Unicode has it; Java's \\s is ASCII only."""
+    spaces = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    return pattern.replace(r"[^\s", "[^" + spaces).replace(r"\S", f"[^{spaces}]").replace(r"\s", f"[{spaces}]")
+
+
+def common_words(docs: DataFrame, ranks_path: str, pattern: str, text: str, sample_docs: int = SAMPLE_DOCS, most: int = COMMON_WORDS) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The commonest words of about sample_docs documents, drawn by a hash of the text: the words, their ids and numbers of ids.
+
+    Of rows that repeat a drawn text, at most 2 * sample_docs count. The words change no result.
+    """
+    share = min(1.0, sample_docs / max(1, docs.count()))
+    place = F.pmod(F.xxhash64(text), F.lit(1 << 52)) / float(1 << 52)
+    drawn = docs.select(text).where(place < share).limit(2 * sample_docs)
+    found = drawn.select(F.explode(F.regexp_extract_all(text, F.lit(_java(pattern)), F.lit(0))).alias("w"))
+    counted = found.where((F.octet_length("w") <= LONG) & ~F.col("w").contains("\0")).groupBy("w").count().where("count > 1")
+    # Written first, so that no plan but one scan carries the literal tables.
+    written = materialize(counted.orderBy(F.desc("count"), "w").limit(most).select("w"))
+    ids = F.array_join(fold_word(F.col("w"), ranks_path).cast("array<string>"), " ")
+    rows = written.select("w", ids.alias("ids")).toArrow()
+    discard(written)
+    words, numbers = rows.column(0).to_pylist(), [x.split(" ") for x in rows.column(1).to_pylist()]
+    flat = np.array([int(i) for x in numbers for i in x], np.uint16)
+    return "\0".join(words).encode(), flat, np.array([len(x) for x in numbers], np.int64)
+
+
 def _mapped(docs: DataFrame, ranks_path: str, pattern: str, text: str, row, fields: list[tuple[T.StructField, pa.DataType]]) -> DataFrame:
     """docs without the text column, and the fields that row(ids, tables) gives for each text."""
-    shared = docs.sparkSession.sparkContext.broadcast(rank_map(ranks_path))
+    shared = docs.sparkSession.sparkContext.broadcast((rank_map(ranks_path), *common_words(docs, ranks_path, pattern, text)))
     names = [c for c in docs.columns if c != text]
     optional = [T.StructField(c, docs.schema[c].dataType) for c in names]
     handed = [T.StructField("bpe_words", T.ArrayType(T.StringType())), T.StructField("bpe_anew", T.BooleanType()), T.StructField("bpe_places", T.BinaryType())]
 
     def cut(batches):
-        find, places, size = regex.compile(pattern).findall, defaultdict(), 0
+        common = [w for w in shared.value[1].decode().split("\0") if w]
+        find, places, size, anew = regex.compile(pattern).findall, defaultdict(), 0, True
         places.default_factory = places.__len__
+        places.update(zip(common, range(len(common))))
         kinds = None
         for b in batches:
             texts, rest = b.column(b.schema.get_field_index(text)), [b.column(b.schema.get_field_index(c)) for c in names]
             kinds = kinds or [c.type for c in rest]
             start = 0
             while start < b.num_rows:
-                anew, known, rows, total = not places, len(places), [], 0
+                known, rows, total = len(places), [], 0
                 while start + len(rows) < b.num_rows and total < SLICE:
                     t = texts[start + len(rows)].as_py() or ""
                     words = find(t)
@@ -209,22 +242,24 @@ def _mapped(docs: DataFrame, ranks_path: str, pattern: str, text: str, row, fiel
                 new = list(islice(places, known, None))
                 for k in range(0, len(new), WORDS_PER_ROW):
                     part = pa.array([new[k : k + WORDS_PER_ROW]], pa.list_(pa.string()))
-                    yield pa.RecordBatch.from_arrays([part, pa.array([anew and not k]), pa.nulls(1, pa.binary()), *[pa.nulls(1, t) for t in kinds]], [f.name for f in handed] + names)
+                    yield pa.RecordBatch.from_arrays([part, pa.array([anew]), pa.nulls(1, pa.binary()), *[pa.nulls(1, t) for t in kinds]], [f.name for f in handed] + names)
+                    anew = False
                 n = len(rows)
                 yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.bool_()), pa.array(rows, pa.binary()), *[c.slice(start, n) for c in rest]], [f.name for f in handed] + names)
                 start += n
                 size += sum(map(len, new))
-                if len(places) > MOST_WORDS or size > MOST_BYTES:
+                if len(places) > MOST_WORDS + len(common) or size > MOST_BYTES:
                     places.clear()
-                    size = 0
+                    places.update(zip(common, range(len(common))))
+                    size, anew = 0, True
 
     words = F.col("bpe_words")
     folded = F.transform(words, lambda w: F.when(F.octet_length(w) <= LONG, fold_word(w, ranks_path)))
     left = F.filter(words, lambda w: F.octet_length(w) > LONG)
 
     def look_up(batches):
-        tables = shared.value
-        flat, starts, lengths, waiting = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        tables, _, flat, lengths = shared.value
+        common, starts, waiting = (flat, lengths), np.cumsum(lengths) - lengths, []
         for b in batches:
             is_row = np.asarray(b.column(3).is_valid())
             bounds = [*np.flatnonzero(np.concatenate([[True], is_row[1:] != is_row[:-1]])).tolist(), b.num_rows] if b.num_rows else []
@@ -232,7 +267,7 @@ def _mapped(docs: DataFrame, ranks_path: str, pattern: str, text: str, row, fiel
                 if not is_row[s]:
                     for k in range(s, e):
                         if b.column(2)[k].as_py():
-                            flat, starts, lengths, waiting = flat[:0], starts[:0], lengths[:0], []
+                            (flat, lengths), waiting = common, []
                         ids, rest = b.column(0)[k].values, iter(b.column(1)[k].as_py())
                         if ids.null_count:
                             waiting += [np.array(x.as_py() if x.is_valid else tables.fold(next(rest).encode()), np.uint16) for x in ids]
@@ -254,8 +289,8 @@ def _mapped(docs: DataFrame, ranks_path: str, pattern: str, text: str, row, fiel
                     s += len(rows)
 
     schema = T.StructType(optional + [f for f, _ in fields])
-    numbered = docs.mapInArrow(cut, T.StructType(handed + optional))
-    return numbered.select(folded.alias("bpe_ids"), left.alias("bpe_long"), "bpe_anew", "bpe_places", *[F.col(f"`{c}`") for c in names]).mapInArrow(look_up, schema)
+    numbered = docs.mapInArrow(tidied(cut), T.StructType(handed + optional))
+    return numbered.select(folded.alias("bpe_ids"), left.alias("bpe_long"), "bpe_anew", "bpe_places", *[F.col(f"`{c}`") for c in names]).mapInArrow(tidied(look_up), schema)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", into: str = "token_ids") -> DataFrame:

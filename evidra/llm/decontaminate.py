@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidra.llm._common import tidied
+
 MIN_MATCH = 5
 COVERAGE = 0.5
 BLOCK_TOKENS = 1_000_000
@@ -187,7 +189,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MA
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-        return texts.mapInArrow(run, schema)
+        return texts.mapInArrow(tidied(run), schema)
 
     found = [passes(spark.sparkContext.broadcast(b)) for b in blocks(benchmark, min_match, block_tokens, item, item_text)]
     return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)
@@ -204,5 +206,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MA
                 clean = [next(shared.value.hits(t.as_py(), coverage), None) is None for t in b.column(at)]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidied(run), docs.schema)
     return docs

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidra.llm._common import tidy
 from evidra.llm.quality import fold
 
 DIMS = 2048
@@ -159,6 +160,7 @@ def identify(docs: DataFrame, model: Centroids, min_cosine: float = MIN_COSINE,
     @F.pandas_udf("lang string, score double, rejected boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
         lang, score, limit = model.nearest(texts.tolist())
+        tidy()
         known = np.array([letters(t) for t in texts], dtype=bool) & np.array([x is not None for x in lang], dtype=bool)
         return pd.DataFrame({"lang": [x if ok else "und" for x, ok in zip(lang, known)], "score": np.where(known, score, 0.0), "rejected": ~known | (score < np.maximum(limit, min_cosine))})
 

@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidra.llm._common import materialize, shared_dir
+from evidra.llm._common import materialize, shared_dir, tidied
 
 END_ID = 2
 #: Distinct chunks that a task keeps encoded.
@@ -257,9 +257,9 @@ def write_records(docs: DataFrame, tokenizer: str, out_dir: str, files: int, doc
         if out is not None:
             yield close()
 
-    encoded = rows.mapInArrow(encode, "part int, doc_id long, ids binary")
+    encoded = rows.mapInArrow(tidied(encode), "part int, doc_id long, ids binary")
     dealt = encoded.repartitionById(max(1, files), F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
-    return dealt.mapInArrow(write, "part int, path string, n_records long, n_ids long")
+    return dealt.mapInArrow(tidied(write), "part int, path string, n_records long, n_ids long")
 
 
 def read_index(path: str) -> np.ndarray:

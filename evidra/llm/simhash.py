@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm._common import bounded, discard, materialize
+from evidra.llm._common import bounded, discard, materialize, tidied
 from evidra.llm.components import components
 
 RADIUS = 2
@@ -228,7 +228,7 @@ def links(nodes: DataFrame, keys: Column | None = None, radius: int = RADIUS) ->
             if len(e):
                 yield pa.RecordBatch.from_arrays([pa.array(node[e[:, 0]]), pa.array(node[e[:, 1]])], ["u", "v"])
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(tidied(run), "u long, v long")
 
 
 def simhash_components(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -351,7 +351,7 @@ def _verified(members: DataFrame, similarity: float) -> DataFrame:
                 u, v = zip(*edges)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(tidied(run), "u long, v long")
 
 
 def near_copy_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = STAGE_WORDS, similarity: float = STAGE_SIMILARITY) -> DataFrame:
@@ -386,7 +386,7 @@ def near_copy_components(docs: DataFrame, doc: str = "doc_id", text: str = "text
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(found)), pa.array(node, pa.int64()), pa.array(fp, pa.int64()), keys, lists], names)
                 start += len(found)
 
-    marked = materialize(rows.mapInArrow(mark, "doc_id long, node long, fp long, bands array<long>, hashes array<int>"))
+    marked = materialize(rows.mapInArrow(tidied(mark), "doc_id long, node long, fp long, bands array<long>, hashes array<int>"))
     # Bands as columns: values of fixed width are aggregated without a sort.
     bands = [f"band{k}" for k in range(BANDS)]
     wide = marked.select("node", "doc_id", "fp", *[F.get("bands", F.lit(k)).alias(c) for k, c in enumerate(bands)])
