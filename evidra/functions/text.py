@@ -102,7 +102,7 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def shingles(text: Column, size: int = 5) -> Column:
+def shingles(text: Column, size: int = 3) -> Column:
     """Distinct runs of `size` tokens; a shorter text is one shingle, one without tokens has none."""
 
     def runs(t: Column) -> Column:

@@ -110,16 +110,19 @@ def severity(default: Column, rules: Column, value_of) -> Column:
     return F.aggregate(rules, default, lambda s, r: F.when(condition_holds(r["operator"], value_of(r), r["value"]), F.coalesce(r["severity"], s)).otherwise(s))
 
 
-def bracket(rows: DataFrame, brackets: list[tuple], value: str, into: str) -> DataFrame:
+def bracket(rows: DataFrame, brackets: list[tuple], value: str, into: str, upper: str = "closed") -> DataFrame:
     """rows and the name of the most specific bracket that holds the value.
 
-    brackets: (name, least or None, most or None), bounds included. One with both bounds goes first,
-    then one with an upper bound, then one with a lower bound, then by place in the list. Null has none.
+    brackets: (name, least or None, most or None), and a note, if any. Lower bounds are included.
+    Upper ones are with upper="closed", unless the note says that it means below or less than the
+    bound; with upper="open" they aren't. A bracket with both bounds goes first, then one with an
+    upper bound, then one with a lower bound, then by place in the list. Null has none.
     """
     order = sorted(range(len(brackets)), key=lambda n: (-(brackets[n][1] is not None and brackets[n][2] is not None), brackets[n][2] is None, n))
     out, v = F.lit(None).cast("string"), F.col(value)
-    for name, least, most in (brackets[n] for n in reversed(order)):
-        tests = ([v >= least] if least is not None else []) + ([v <= most] if most is not None else []) + [v.isNotNull()]
+    for name, least, most, *note in (brackets[n] for n in reversed(order)):
+        open_end = upper == "open" or any(w in (note or [""])[0].lower() for w in ("below", "less than", "<"))
+        tests = ([v >= least] if least is not None else []) + ([v < most if open_end else v <= most] if most is not None else []) + [v.isNotNull()]
         out = F.when(reduce(Column.__and__, tests), name).otherwise(out)
     return rows.withColumn(into, out)
 
@@ -158,6 +161,21 @@ def washout_hours(last_dose: Column, now: Column, hours: int = 36) -> Column:
 
 
 def merged_draft(turns: DataFrame, key: str, at: list[str], columns: list[str]) -> DataFrame:
-    """One row per key: of each column the latest value that isn't null, in order of at."""
+    """One row per key: of each column the latest value that isn't blank, in order of at.
+
+    Null, empty text and empty lists are blank and never replace a value.
+    """
     order = F.struct(*at)
-    return turns.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in columns])
+
+    def given(c: str) -> Column:
+        kind = turns.schema[c].dataType.typeName()
+        return F.col(c).isNotNull() & ((F.col(c) != "") if kind == "string" else (F.size(c) > 0) if kind == "array" else F.lit(True))
+
+    return turns.groupBy(key).agg(*[F.max_by(c, F.when(given(c), order)).alias(c) for c in columns])
+
+
+def merged_names(items: DataFrame, key: str, name: str, at: list[str], columns: list[str]) -> DataFrame:
+    """The first item of each name per key, names compared in lower case without outer spaces; blank names are left out."""
+    low = F.lower(F.trim(F.coalesce(F.col(name), F.lit(""))))
+    first = items.where(low != "").groupBy(key, low.alias("_name")).agg(F.min_by(F.struct(name, *columns), F.struct(*at)).alias("r"))
+    return first.select(key, "r.*")

@@ -10,7 +10,8 @@ from evidra.functions.text import collapsed, let, shingles
 
 HASHES = 64
 BANDS = 8
-SIMILARITY = 0.8
+#: Share of equal places of two signatures from which rows are near copies; claims take the higher one.
+SIGNATURE_SIMILARITY, CLAIM_SIMILARITY = 0.94, 0.97
 
 
 def text_key(text: Column) -> Column:
@@ -35,7 +36,7 @@ def best_wins(df: DataFrame, key: Column, score: str, text: str, order: str, col
     return df.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*columns), rank).alias("r")).select("r.*")
 
 
-def minhash(text: Column, size: int = 5, hashes: int = HASHES) -> Column:
+def minhash(text: Column, size: int = 3, hashes: int = HASHES) -> Column:
     """MinHash signature of word shingles: the least of xxhash64(seed, shingle's hash) per seed; empty without words."""
     def least(s: Column) -> Column:
         hashed = F.transform(s, lambda x: F.xxhash64(x))
@@ -70,26 +71,25 @@ def bucket_report(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     return keyed.select("d", "key").join(counts, "key", "left").select(F.col("d").alias(doc), F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
 
 
-def greedy_dedup(df: DataFrame, scope: str, order: str, text: str, similarity: float = SIMILARITY, size: int = 5) -> DataFrame:
+def greedy_dedup(df: DataFrame, scope: str, order: str, text: str, similarity: float = SIGNATURE_SIMILARITY, size: int = 3) -> DataFrame:
     """df without rows that resemble an earlier kept row of their scope.
 
     Rows are tried in order and compared with kept ones only, so A, B, C with A like B and B like C
-    but A unlike C keep A and C. Candidates share a band of their signatures. Blank texts stay. A
+    but A unlike C keep A and C. Candidates share a band of their signatures, and are compared by the
+    share of equal places of those. Blank texts stay. A
     scope is one document's chunks, which bounds the group; order must be unique inside it.
     """
-    marked = df.select(F.col(scope).alias("s"), F.col(order).alias("o"), shingles(F.col(text), size).alias("x"), bands(minhash(F.col(text), size)).alias("b"))
+    marked = df.select(F.col(scope).alias("s"), F.col(order).alias("o"), minhash(F.col(text), size).alias("x")).withColumn("b", F.when(F.size("x") > 0, bands(F.col("x"))).otherwise(F.array().cast("array<bigint>")))
 
     def keep(rows: pd.DataFrame) -> pd.DataFrame:
         buckets, kept = {}, []
         for o, x, b in rows.sort_values("o")[["o", "x", "b"]].itertuples(index=False):
-            mine = set(x)
-            near = {k for key in (b if mine else ()) for k in buckets.get(key, ())}
-            sets = {k: kept[k][1] for k in near}
-            if any(len(mine & s) >= similarity * len(mine | s) for s in sets.values()):
+            near = {k for key in b for k in buckets.get(key, ())}
+            if any((kept[k][1] == x).mean() >= similarity for k in near):
                 continue
-            for key in b if mine else ():
+            for key in b:
                 buckets.setdefault(key, []).append(len(kept))
-            kept.append((o, mine))
+            kept.append((o, x))
         return pd.DataFrame({"s": [rows["s"].iloc[0]] * len(kept), "o": [o for o, _ in kept]})
 
     types = f"s {df.schema[scope].dataType.simpleString()}, o {df.schema[order].dataType.simpleString()}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidra.plans import standard
+from evidra.plans import extended, standard  # noqa: F401  (extended adds its queries to standard's)
 
 QUERIES: dict = standard.QUERIES
 ORACLES: dict = standard.ORACLES

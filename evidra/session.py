@@ -9,8 +9,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package: the driver serves it to them once per context."""
+    """Let Python workers import this package: the driver serves it to them once per context.
+
+    Where the session keeps Spark's own number of rows in an Arrow batch, it is lowered, as texts
+    are long.
+    """
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "2000")
     context = spark.sparkContext
     if not getattr(context, "_evidra_shipped", False):
         root = Path(__file__).resolve().parent
