@@ -9,7 +9,7 @@ least footrule distance, `candidates` and `share` of its rows at least, are rera
 Euclidean distance on the original components.
 
 Pivots are a bounded sample of distinct vectors; every row is posted. Queries are the stated query
-set and are broadcast in blocks of at most `block` rows. Slices are Arrow batches, so a task holds
+set and are broadcast in blocks of at most `block` rows. Slices have a fixed number of rows, so a task holds
 one slice and its best `k` per query, and equal vectors of a slice are one candidate with all ids.
 """
 
@@ -29,6 +29,8 @@ PREFIX = 64
 CANDIDATES = 1000
 SHARE = 0.1
 BLOCK = 4096
+#: Rows of a slice.
+SLICE = 10_000
 
 
 def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -82,6 +84,20 @@ class Slice:
         return ids[top], far[top]
 
 
+def slices(batches, rows: int = SLICE):
+    """Tables of about `rows` rows, whatever the size of the batches."""
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def valid_vectors(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """id, v: without null ids and vectors that are null, empty, zero, or hold null or non-finite components."""
     v = F.col(embedding).cast("array<double>")
@@ -120,11 +136,8 @@ def search(df: DataFrame, every: int = 100, k: int = 10, pivots: int = PIVOTS, p
         def run(batches):
             ids, xs, perms = shared.value
             best: dict[int, tuple] = {}
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
-                part = Slice(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), flat.reshape(b.num_rows, dims), centres, width)
+            for t in slices(batches):
+                part = Slice(t.column(0).to_numpy().astype(np.int64), t.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, dims), centres, width)
                 rerank = max(candidates, math.ceil(share * len(part.x)))
                 for n in range(len(ids)):
                     found = part.search(int(ids[n]), xs[n], perms[n], rerank, k)

@@ -47,7 +47,7 @@ SLICE = 1 << 23
 #: Distinct words after which a task starts its numbers anew, and the bytes that they may take.
 MOST_WORDS, MOST_BYTES = 400_000, 1 << 26
 #: The commonest words of about so many documents are folded once for all tasks, up to so many words.
-SAMPLE_DOCS, COMMON_WORDS = 8192, 150_000
+SAMPLE_DOCS, COMMON_WORDS = 16_384, 300_000
 #: Texts are written out in batches of about so many tokens.
 BATCH_TOKENS = 1 << 20
 
@@ -215,9 +215,9 @@ def common_words(docs: DataFrame, ranks_path: str, pattern: str, text: str, samp
     return "\0".join(words).encode(), flat, np.array([len(x) for x in numbers], np.int64)
 
 
-def _mapped(docs: DataFrame, ranks_path: str, pattern: str, text: str, row, fields: list[tuple[T.StructField, pa.DataType]]) -> DataFrame:
+def _mapped(docs: DataFrame, ranks_path: str, pattern: str, text: str, row, fields: list[tuple[T.StructField, pa.DataType]], common: int, most_words: int) -> DataFrame:
     """docs without the text column, and the fields that row(ids, tables) gives for each text."""
-    shared = docs.sparkSession.sparkContext.broadcast((rank_map(ranks_path), *common_words(docs, ranks_path, pattern, text)))
+    shared = docs.sparkSession.sparkContext.broadcast((rank_map(ranks_path), *common_words(docs, ranks_path, pattern, text, most=common)))
     names = [c for c in docs.columns if c != text]
     optional = [T.StructField(c, docs.schema[c].dataType) for c in names]
     handed = [T.StructField("bpe_words", T.ArrayType(T.StringType())), T.StructField("bpe_anew", T.BooleanType()), T.StructField("bpe_places", T.BinaryType())]
@@ -248,7 +248,7 @@ def _mapped(docs: DataFrame, ranks_path: str, pattern: str, text: str, row, fiel
                 yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.bool_()), pa.array(rows, pa.binary()), *[c.slice(start, n) for c in rest]], [f.name for f in handed] + names)
                 start += n
                 size += sum(map(len, new))
-                if len(places) > MOST_WORDS + len(common) or size > MOST_BYTES:
+                if len(places) > most_words + len(common) or size > MOST_BYTES:
                     places.clear()
                     places.update(zip(common, range(len(common))))
                     size, anew = 0, True
@@ -293,7 +293,7 @@ def _mapped(docs: DataFrame, ranks_path: str, pattern: str, text: str, row, fiel
     return numbered.select(folded.alias("bpe_ids"), left.alias("bpe_long"), "bpe_anew", "bpe_places", *[F.col(f"`{c}`") for c in names]).mapInArrow(tidied(look_up), schema)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", into: str = "token_ids") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", into: str = "token_ids", common: int = COMMON_WORDS, most_words: int = MOST_WORDS) -> DataFrame:
     """docs, all columns but the text, and the token ids of each whole text, array<int>.
 
     Null and empty texts have no ids. Special tokens' strings are ordinary text. Repeated rows stay,
@@ -302,7 +302,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     """
     field = T.StructField(into, T.ArrayType(T.IntegerType()))
     rest = docs.select([c for c in docs.columns if c != into or c == text])
-    return _mapped(rest, ranks_path, pattern, text, lambda ids, _: (ids.astype(np.int32),), [(field, pa.list_(pa.int32()))])
+    return _mapped(rest, ranks_path, pattern, text, lambda ids, _: (ids.astype(np.int32),), [(field, pa.list_(pa.int32()))], common, most_words)
 
 
 def decode_ids(ids: Column, ranks_path: str) -> Column:
@@ -313,7 +313,7 @@ def decode_ids(ids: Column, ranks_path: str) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
 
 
-def token_digests(docs: DataFrame, ranks_path: str, pattern: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def token_digests(docs: DataFrame, ranks_path: str, pattern: str, doc: str = "doc_id", text: str = "text", common: int = COMMON_WORDS, most_words: int = MOST_WORDS) -> DataFrame:
     """One row per document: its id, n_tokens, ids_sha256, decoded_sha256; the cases are those of encode().
 
     The ids are hashed as little-endian unsigned 32-bit integers, then decoded, and the decoded
@@ -325,4 +325,4 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str, doc: str = "do
 
     fields = [(T.StructField("n_tokens", T.LongType()), pa.int64()), (T.StructField("ids_sha256", T.StringType()), pa.string()), (T.StructField("decoded_sha256", T.StringType()), pa.string())]
     rows = docs.select(F.col(doc), F.col(text).alias("whole_text"))
-    return _mapped(rows, ranks_path, pattern, "whole_text", row, fields)
+    return _mapped(rows, ranks_path, pattern, "whole_text", row, fields, common, most_words)

@@ -98,13 +98,12 @@ def library(ranks_path):
 def test_fold_matches_the_library(spark, ranks_path, library, monkeypatch):
     monkeypatch.setattr(bpe, "WORDS_PER_ROW", 7)
     monkeypatch.setattr(bpe, "SLICE", 3000)
-    monkeypatch.setattr(bpe, "MOST_WORDS", 60)  # numbers start anew several times
     rng, texts = random.Random(2), {}
     for n in range(150):
         text = "".join(rng.choice(rng.choice(["ab", "abcdefgh", "aàé", "日本", "  \n\x1c\x85", "0123", "<|endoftext|>"])) for _ in range(rng.randrange(600)))
         texts[n] = rng.choice([text, "a" * rng.randrange(90, 3000), re.sub(r"\s", "", text), ""])
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(2)
-    got = {r["doc_id"]: list(r["token_ids"]) for r in bpe.encode(docs, ranks_path, queries.bpe_pattern()).collect()}
+    got = {r["doc_id"]: list(r["token_ids"]) for r in bpe.encode(docs, ranks_path, queries.bpe_pattern(), common=40, most_words=20).collect()}  # numbers start anew several times
     assert got == {n: library.encode_ordinary(t) for n, t in texts.items()}
     tables = bpe.rank_map(ranks_path)
     assert all(bpe.decode(np.array(got[n], np.int64), tables) == t.encode() for n, t in texts.items())
