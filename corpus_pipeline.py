@@ -37,9 +37,12 @@ def redact_secrets(spark, docs, sf_dir):
 
 
 def encode_tokens(spark, docs, sf_dir):
-    """doc_id, n_tokens and digests of the token ids and of the bytes decoded from them."""
+    """doc_id, n_tokens and digests of the token ids and of the bytes decoded from them.
+
+    Fewer words are held than in op2, as workers of all stages share the executors' memory.
+    """
     ship(spark)
-    return bpe.token_digests(docs, tokenizer_file(BPE_FILE), bpe_pattern())
+    return bpe.token_digests(docs, tokenizer_file(BPE_FILE), bpe_pattern(), common=30_000, most_words=120_000)
 
 
 STAGES = [
