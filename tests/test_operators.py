@@ -2,10 +2,11 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from evidra.functions import text, vectors
-from evidra.operators import clinical, dedup, evaluation, governance, graph, ranking
+from evidra.operators import claims, clinical, dedup, evaluation, governance, graph, hybrid, ranking
 from evidra.sources import readers
 from evidra.streaming import limits
 
@@ -128,12 +129,41 @@ def test_dedup(spark):
     assert same == 1.0
 
 
-def test_greedy_dedup_is_not_transitive(spark):
-    base = [f"w{n}" for n in range(60)]
-    b, c = base[3:] + ["x", "y", "z"], base[6:] + ["x", "y", "z", "u", "v", "q"]
-    rows = [("s", n, " ".join(t)) for n, t in enumerate((base, b, c))] + [("s", 3, ""), ("s", 4, ""), ("o", 0, " ".join(base))]
-    got = dedup.greedy_dedup(spark.createDataFrame(rows, "s string, n int, t string"), "s", "n", "t", similarity=0.85)
-    assert values(got, "s", "n") == [("o", 0), ("s", 0), ("s", 2), ("s", 3), ("s", 4)]
+def kept_by_hand(signatures, similarity):
+    """Places that stay: no kept one before shares a band of 8 values and enough equal values. signatures: in order."""
+    kept = []
+    for n, x in enumerate(signatures):
+        banded = [k for k in kept if any(signatures[k][b : b + 8] == x[b : b + 8] for b in range(0, len(x), 8)) and x]
+        if not any(sum(a == b for a, b in zip(signatures[k], x)) >= similarity * 64 for k in banded):
+            kept.append(n)
+    return kept
+
+
+@pytest.mark.parametrize("similarity", [dedup.SIGNATURE_SIMILARITY, 0.75])
+def test_greedy_dedup_against_a_loop(spark, similarity):
+    base = [f"w{n}" for n in range(120)]
+    texts = [" ".join(base)] + [" ".join(base[:n] + ["x"] + base[n + 1 :]) for n in (0, 30, 60, 119)] + [" ".join(base[k:]) for k in (3, 9, 30)] + ["", " ".join(base), ""]
+    rows = spark.createDataFrame([("s", n, t) for n, t in enumerate(texts)] + [("o", 0, texts[0])], "s string, n int, t string")
+    signatures = [list(r["m"]) for r in rows.where("s = 's'").orderBy("n").select(dedup.minhash(F.col("t")).alias("m")).collect()]
+    got = dedup.greedy_dedup(rows, "s", "n", "t", similarity=similarity)
+    assert values(got, "s", "n") == [("o", 0)] + [("s", n) for n in kept_by_hand(signatures, similarity)]
+    assert 0 < got.where("s = 's'").count() < len(texts)
+
+
+def test_drafts_and_brackets(spark):
+    turns = spark.createDataFrame([("a", 1, "x", ["p"]), ("a", 2, "", []), ("a", 3, None, None)], "k string, at int, v string, l array<string>")
+    assert [tuple(r) for r in clinical.merged_draft(turns, "k", ["at"], ["v", "l"]).collect()] == [("a", "x", ["p"])]
+    rows = spark.createDataFrame([(5.0,), (4.9,), (None,)], "v double")
+    closed, below = ([r["b"] for r in clinical.bracket(rows, [("low", None, 5.0, note)], "v", "b").collect()] for note in ("", "below 5"))
+    assert closed == ["low", "low", None] and below == [None, "low", None]
+
+
+def test_fused_lists_and_drop_rates(spark):
+    one = spark.createDataFrame([("x", 1, 0.5), ("y", 2, 0.4)], "d string, rank int, score double")
+    assert values(hybrid.fused_lists([one], "d"), "d", "fused") == [("x", 0.5), ("y", 0.4)]
+    assert claims.checked_drop_rate(one, one.limit(1), 0.5).count() == 1
+    with pytest.raises(ValueError):
+        claims.checked_drop_rate(one, one.limit(0), 0.5)
 
 
 def test_ranking(spark):
