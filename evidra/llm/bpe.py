@@ -52,7 +52,6 @@ SAMPLE_DOCS, COMMON_WORDS = 16_384, 300_000
 BATCH_TOKENS = 1 << 20
 
 
-@lru_cache
 def read_ranks(path: str) -> dict[bytes, int]:
     """A file of lines: token in base64, rank."""
     with open(path, "rb") as f:
@@ -217,7 +216,7 @@ def common_words(docs: DataFrame, ranks_path: str, pattern: str, text: str, samp
 
 def _mapped(docs: DataFrame, ranks_path: str, pattern: str, text: str, row, fields: list[tuple[T.StructField, pa.DataType]], common: int, most_words: int) -> DataFrame:
     """docs without the text column, and the fields that row(ids, tables) gives for each text."""
-    shared = docs.sparkSession.sparkContext.broadcast((rank_map(ranks_path), *common_words(docs, ranks_path, pattern, text, most=common)))
+    shared = docs.sparkSession.sparkContext.broadcast((rank_map(ranks_path), *common_words(docs, ranks_path, pattern, text, min(SAMPLE_DOCS, common // 8), common)))
     names = [c for c in docs.columns if c != text]
     optional = [T.StructField(c, docs.schema[c].dataType) for c in names]
     handed = [T.StructField("bpe_words", T.ArrayType(T.StringType())), T.StructField("bpe_anew", T.BooleanType()), T.StructField("bpe_places", T.BinaryType())]
