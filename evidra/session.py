@@ -9,15 +9,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH, PLAN_TEXT = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.maxPlanStringLength"
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package: the driver serves it to them once per context.
 
     Where the session keeps Spark's own number of rows in an Arrow batch, it is lowered, as texts
-    are long.
+    are long, and so is the length of plans' texts, as plans with tables as literals are kept.
     """
+    if int(spark.conf.get(PLAN_TEXT)) > 1 << 30:
+        spark.conf.set(PLAN_TEXT, "100000")
     if spark.conf.get(BATCH) == "10000":
         spark.conf.set(BATCH, "2000")
     context = spark.sparkContext
