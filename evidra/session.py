@@ -18,7 +18,7 @@ def ship(spark: SparkSession) -> SparkSession:
     Where the session keeps Spark's own number of rows in an Arrow batch, it is lowered, as texts
     are long, and so is the length of plans' texts, as plans with tables as literals are kept.
     """
-    if int(spark.conf.get(PLAN_TEXT)) > 1 << 30:
+    if spark.conf.get(PLAN_TEXT) == "2147483632b":  # as Spark has it
         spark.conf.set(PLAN_TEXT, "100000")
     if spark.conf.get(BATCH) == "10000":
         spark.conf.set(BATCH, "2000")
