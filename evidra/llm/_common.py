@@ -31,6 +31,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, survives lost executors."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
+    tidy()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -60,7 +61,7 @@ def bounded(small: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 def tidy() -> None:
-    """Give a worker's free memory back: workers wait beside the next ones, with what they hold."""
+    """Give a Python process's free memory back: workers wait beside the next ones, the driver's beside its JVM, with what they hold."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

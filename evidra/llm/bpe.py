@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidra.llm._common import discard, materialize, tidied
+from evidra.llm._common import discard, materialize, tidied, tidy
 
 #: Words of over so many bytes merge all places of the lowest pair at once.
 LONG = 96
@@ -217,6 +217,7 @@ def common_words(docs: DataFrame, ranks_path: str, pattern: str, text: str, samp
 def _mapped(docs: DataFrame, ranks_path: str, pattern: str, text: str, row, fields: list[tuple[T.StructField, pa.DataType]], common: int, most_words: int) -> DataFrame:
     """docs without the text column, and the fields that row(ids, tables) gives for each text."""
     shared = docs.sparkSession.sparkContext.broadcast((rank_map(ranks_path), *common_words(docs, ranks_path, pattern, text, min(SAMPLE_DOCS, common // 8), common)))
+    tidy()
     names = [c for c in docs.columns if c != text]
     optional = [T.StructField(c, docs.schema[c].dataType) for c in names]
     handed = [T.StructField("bpe_words", T.ArrayType(T.StringType())), T.StructField("bpe_anew", T.BooleanType()), T.StructField("bpe_places", T.BinaryType())]

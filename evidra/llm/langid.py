@@ -128,6 +128,8 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, max_rows: int = MAX_ROWS, c
         langs += [name] * len(c)
         found.append(c)
     model = Centroids(langs, idf, np.concatenate(found))
+    del tf
+    tidy()
     model.limits = learn_limits(model, sample.select("t").limit(most))
     return model
 
