@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from functools import wraps
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,3 +80,10 @@ def tidied(run):
             tidy()
 
     return whole
+
+
+def runs(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Pieces of `flat` one behind the other: piece k has lengths[k] items from starts[k]."""
+    n = lengths[which]
+    ends = np.cumsum(n)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - ends + n, n)]

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidra.llm._common import discard, materialize, tidied, tidy
+from evidra.llm._common import discard, materialize, runs, tidied, tidy
 
 #: Words of over so many bytes merge all places of the lowest pair at once.
 LONG = 96
@@ -176,16 +176,9 @@ def fold_word(word: Column, ranks_path: str) -> Column:
     return _let(start, lambda ids: F.aggregate(F.slice(ids, F.lit(2), F.size(ids)), ids, lambda now, _: merge(now)))
 
 
-def _runs(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Pieces of `flat` one behind the other: piece k has lengths[k] items from starts[k]."""
-    n = lengths[which]
-    ends = np.cumsum(n)
-    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - ends + n, n)]
-
-
 def decode(ids: np.ndarray, tables: RankMap) -> bytes:
     """The bytes that token ids stand for: their binary pieces, concatenated."""
-    return _runs(tables.bytes, tables.starts, tables.lengths, ids).tobytes()
+    return runs(tables.bytes, tables.starts, tables.lengths, ids).tobytes()
 
 
 def _java(pattern: str) -> str:
@@ -281,7 +274,7 @@ def _mapped(docs: DataFrame, ranks_path: str, pattern: str, text: str, row, fiel
                 while s < e:
                     rows, n = [], 0
                     while n < BATCH_TOKENS and s + len(rows) < e:
-                        ids = _runs(flat, starts, lengths, np.frombuffer(b.column(3)[s + len(rows)].as_py(), np.uint32))
+                        ids = runs(flat, starts, lengths, np.frombuffer(b.column(3)[s + len(rows)].as_py(), np.uint32))
                         n += len(ids) + 64
                         rows.append(row(ids, tables))
                     own = [pa.array(c, kind) for c, (_, kind) in zip(zip(*rows), fields)]

@@ -16,6 +16,7 @@ import re
 import struct
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -26,14 +27,16 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidra.llm._common import materialize, shared_dir, tidied
+from evidra.llm._common import materialize, runs, shared_dir, tidied
 
 END_ID = 2
-#: Distinct chunks that a task keeps encoded.
-CACHE = 450_000
+#: Distinct chunks that a worker keeps encoded; beyond that number only the newest half stays.
+CACHE = 900_000
+#: Characters of texts whose new chunks are encoded at once, and chunks that are encoded as one text.
+SLICE, TOGETHER = 1 << 22, 20_000
 #: White space as the tokenizer's rules see it; str.split() would also split at \\x1c to \\x1f.
 SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-ODD = re.compile("[\x1c-\x1f]")
+ODD = "\x1c\x1d\x1e\x1f"
 MASK_DELTA = 0xA282EAD8
 ENTRY = np.dtype([("offset", "<u8"), ("length", "<u8"), ("n_ids", "<u8")])
 
@@ -134,52 +137,77 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         #: Texts with a special token's string, in any case, are encoded by the library as a whole.
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)", re.IGNORECASE).search
-        self.known: dict[str, bytes] = {}
+        #: Numbers of the known chunks in order; their ids lie in flat, one chunk's behind the other's.
+        self.places: defaultdict[str, int] = defaultdict()
+        self.places.default_factory = self.places.__len__
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.lengths = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
         for piece, i in self.tokenizer.get_vocab().items():
             self.lengths[i] = len(piece.removesuffix("</w>"))  # a character per byte of the text
+        self.flat, self.sizes, self.starts = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _forget(self, n: int) -> None:
+        """Drop the n oldest chunks; the others are numbered anew."""
+        kept = list(islice(self.places, n, None))
+        self.places.clear()
+        self.places.update(zip(kept, range(len(kept))))
+        self.flat, self.sizes = self.flat[self.starts[n] if n < len(self.starts) else len(self.flat) :].copy(), self.sizes[n:].copy()
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def chunks(self, text: str) -> list[str]:
-        return [c for c in SPACE.split(text) if c] if ODD.search(text) else text.split()
+        return [c for c in SPACE.split(text) if c] if any(c in text for c in ODD) else text.split()
 
     def _learn(self, new: list[str]) -> None:
-        """Encode chunks. Those of simple letters go together, and are told apart by their bytes.
+        """Encode chunks, the next ones by number. Those of simple letters go together, and are told apart by their bytes.
 
         Up to U+017F, normalising keeps a chunk's number of bytes. Where the ids' bytes don't end with
         each chunk's, as may be for U+0130, and for all other chunks, each is encoded on its own.
         """
+        found: dict[str, bytes] = {}
         simple = [c for c in new if c.isascii() or max(c) < "\u0180"]
-        if simple:
-            ids = np.array(self.tokenizer.encode(" ".join(simple), add_special_tokens=False).ids, self.dtype)
-            sizes, want = self.lengths[ids], np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in simple])
+        for k in range(0, len(simple), TOGETHER):
+            part = simple[k : k + TOGETHER]
+            ids = np.array(self._ids([" ".join(part)])[0], self.dtype)
+            sizes, want = self.lengths[ids], np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in part])
             ends = np.cumsum(sizes)
             if len(ids) and ends[-1] == want[-1] and (sizes > 0).all():
                 at = np.searchsorted(ends, want)
                 if (ends[at] == want).all():
                     raw, stops = ids.tobytes(), ((at + 1) * self.dtype.itemsize).tolist()
-                    self.known.update(zip(simple, map(raw.__getitem__, map(slice, [0, *stops], stops))))
-        rest = [c for c in new if c not in self.known]
+                    found.update(zip(part, map(raw.__getitem__, map(slice, [0, *stops], stops))))
+        rest = [c for c in new if c not in found]
         for k in range(0, len(rest), 4096):
             part = rest[k : k + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[c] = np.array(e.ids, self.dtype).tobytes()
+            found.update((c, np.array(ids, self.dtype).tobytes()) for c, ids in zip(part, self._ids(part)))
+        raw = list(map(found.__getitem__, new))
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // self.dtype.itemsize
+        self.flat, self.sizes = np.concatenate([self.flat, np.frombuffer(b"".join(raw), self.dtype)]), np.concatenate([self.sizes, sizes])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Per text its ids as bytes of self.dtype, END_ID last."""
         end = np.array([END_ID], self.dtype).tobytes()
-        for text in texts:
-            if text and self.special(text):
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes() + end
-                continue
-            parts = self.chunks(text or "")
-            new = list(set(parts).difference(self.known))
-            if new:
-                if len(self.known) + len(new) > CACHE:  # the older half goes
-                    self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
-                    new = list(set(parts).difference(self.known))
-                self._learn(new)
-            yield b"".join(map(self.known.__getitem__, parts)) + end
+        at = 0
+        while at < len(texts):
+            known, rows, total = len(self.places), [], 0
+            while at < len(texts) and total < SLICE:
+                text = texts[at] or ""
+                if self.special(text):
+                    rows.append(np.array(self._ids([text])[0], self.dtype))
+                else:
+                    parts = self.chunks(text)
+                    rows.append(np.fromiter(map(self.places.__getitem__, parts), np.int64, len(parts)))
+                total += len(text) + 64
+                at += 1
+            if len(self.places) > known:
+                self._learn(list(islice(self.places, known, None)))
+            for row in rows:
+                yield (row if row.dtype == self.dtype else runs(self.flat, self.starts, self.sizes, row)).tobytes() + end
+            if len(self.places) > CACHE:
+                self._forget(len(self.places) - CACHE // 2)
 
 
 @lru_cache(maxsize=1)
