@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -234,3 +235,40 @@ def missing_fields(cases: DataFrame, required: DataFrame, given: str = "given",
     none = F.array().cast("array<string>")
     joined = cases.join(F.broadcast(required.select(intent, F.col("fields").alias("_fields"))), intent, "left")  # a fixed list of intents
     return joined.withColumn("missing", F.array_except(F.coalesce("_fields", none), F.coalesce(given, none))).drop("_fields")
+
+
+#: What shows that a span on a population observes, and what shows that it directs.
+OBSERVING = (
+    "safety and effectiveness", "have not been established", "has not been established", "have not been demonstrated",
+    "has not been demonstrated", "is approved for", "information describing a clinical study",
+)
+DIRECTING = ("contraindicated", "not recommended", "avoid", "do not", "should not", "must not")
+
+
+def prescriptive_only(claims: DataFrame, gate: Column | None = None, evidence: str = "evidence", kind: str = "claim_type") -> DataFrame:
+    """claims that pass the gate (null fails), without population claims that only observe: by an observing phrase, or `reported` without a directing one. Case counts."""
+    span = _text(F.col(evidence))
+    observes = _some([span.contains(w) for w in OBSERVING]) | (span.contains("reported") & ~_some([span.contains(w) for w in DIRECTING]))
+    kept = claims if gate is None else claims.where(F.coalesce(gate, F.lit(False)))
+    return kept.where(~(F.coalesce(F.col(kind) == "population_constraint", F.lit(False)) & observes))
+
+
+def resolved_alias(name: Column, aliases: dict[str, list[str]]) -> Column:
+    """The id of a name: of the alias that equals it, else of the first alias of 4 characters or more that it contains as whole words, else its own words joined by underscores.
+
+    aliases: ids to their other names, a fixed catalog that becomes a literal. Names are compared in
+    lower case, with all but letters, digits and plus signs as spaces. Null and empty names are null.
+    """
+    clean = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9+]+", " "))
+    index: dict[str, str] = {}
+    for key, others in aliases.items():
+        for alias in (key, *others):
+            normal = re.sub("[^a-z0-9+]+", " ", alias.lower()).strip()
+            if normal:
+                index[normal] = key
+    own, known = clean(name), F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(k).alias("id")) for a, k in index.items()])
+    padded = F.concat(F.lit(" "), own, F.lit(" "))
+    inside = lambda a: (F.length(a) >= 4) & _some([padded.contains(F.concat(F.lit(b), a, F.lit(e))) for b in " +" for e in " +"])
+    first = lambda test: F.get(F.filter(known, lambda x: test(x["alias"])), F.lit(0))["id"]
+    found = F.coalesce(first(lambda a: a == own), first(inside)) if index else F.lit(None)
+    return F.when(F.coalesce(name, F.lit("")) != "", F.coalesce(found, F.replace(own, F.lit(" "), F.lit("_"))))

@@ -90,6 +90,28 @@ def stub_merge(spark, sf_dir):
     return claims.stub_merge(docs, stubs, "doc_id")
 
 
+_SPANS = f"{CLAIMS_SQL}, s AS (SELECT doc_id, claim_type, evidence || [{', '.join(f"'{x}'" for x in ('', ' is approved for', ' was reported', ' was reported: avoid'))}][doc_id % 4 + 1] AS evidence FROM claims)"
+
+
+@query(
+    f"""{_SPANS} SELECT doc_id FROM s WHERE doc_id % 9 > 0 AND NOT (coalesce(claim_type = 'population_constraint', false) AND
+      ({' OR '.join(f"contains(evidence, '{w}')" for w in claims.OBSERVING)} OR (contains(evidence, 'reported') AND NOT ({' OR '.join(f"contains(evidence, '{w}')" for w in claims.DIRECTING)}))))"""
+)
+def prescriptive_claims(spark, sf_dir):
+    ends = F.array(*map(F.lit, ("", " is approved for", " was reported", " was reported: avoid")))
+    spans = _claims(spark, sf_dir).withColumn("evidence", F.concat("evidence", F.get(ends, (F.col("doc_id") % 4).cast("int"))))
+    return claims.prescriptive_only(spans, F.col("doc_id") % 9 > 0).select("doc_id")
+
+
+@query(
+    """SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'u1' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN '3_medium' WHEN '4-NOT SPECIFIED' THEN 'open'
+      WHEN '5-LOW' THEN '5_low' ELSE replace(trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9+]+', ' ', 'g')), ' ', '_') END AS id FROM orders"""
+)
+def resolved_aliases(spark, sf_dir):
+    aliases = {"u1": ["1 Urgent", "low"], "high": [], "open": ["Specified", "medi", "not"]}
+    return table(spark, sf_dir, "orders").select("o_orderkey", claims.resolved_alias(F.col("o_orderpriority"), aliases).alias("id"))
+
+
 # --- tiers and verdicts -------------------------------------------------------------------------
 
 _CONFIDENCE = "(o_orderkey % 10) / 10.0"
