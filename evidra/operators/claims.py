@@ -272,3 +272,20 @@ def resolved_alias(name: Column, aliases: dict[str, list[str]]) -> Column:
     first = lambda test: F.get(F.filter(known, lambda x: test(x["alias"])), F.lit(0))["id"]
     found = F.coalesce(first(lambda a: a == own), first(inside)) if index else F.lit(None)
     return F.when(F.coalesce(name, F.lit("")) != "", F.coalesce(found, F.replace(own, F.lit(" "), F.lit("_"))))
+
+
+#: Actions that a claim may state, and phrases from which one is inferred, the first that occurs deciding.
+ACTIONS = ("contraindicated", "not_recommended", "avoid", "monitor", "recommended", "review", "dose_adjust", "reduce_dose")
+ACTION_PHRASES = (
+    ("contraindicated", "contraindicated"), ("not recommended", "not_recommended"), ("avoid", "avoid"), ("monitor", "monitor"),
+    ("recommended", "recommended"), ("should", "recommended"), ("is indicated", "recommended"),
+)
+
+
+def inferred_action(text: Column, kind: Column, stated: Column) -> Column:
+    """The action of a claim: the stated one if it is known, else from its text in any case; contraindication claims are contraindicated, others without a phrase are up for review."""
+    own, low = F.replace(F.lower(F.trim(_text(stated))), F.lit(" "), F.lit("_")), F.lower(_text(text))
+    out = F.when(own.isin(*ACTIONS), own).when(F.coalesce(kind == "contraindication", F.lit(False)), "contraindicated")
+    for phrase, action in ACTION_PHRASES:
+        out = out.when(low.contains(phrase), action)
+    return out.otherwise("review")

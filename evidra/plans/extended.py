@@ -112,6 +112,22 @@ def resolved_aliases(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", claims.resolved_alias(F.col("o_orderpriority"), aliases).alias("id"))
 
 
+_ENDS = ("", " Monitor it.", " is Indicated", " AVOID; monitor", " not recommended", " contraindicated")
+
+
+@query(
+    f"""{CLAIMS_SQL}, s AS (SELECT doc_id, claim_type, lower(evidence || [{', '.join(f"'{x}'" for x in _ENDS)}][doc_id % 6 + 1]) AS l, CASE doc_id % 5 WHEN 0 THEN ' Dose Adjust ' WHEN 1 THEN 'perhaps' END AS stated FROM claims)
+    SELECT doc_id, CASE WHEN coalesce(stated = ' Dose Adjust ', false) THEN 'dose_adjust' WHEN claim_type = 'contraindication' OR contains(l, 'contraindicated') THEN 'contraindicated'
+      WHEN contains(l, 'not recommended') THEN 'not_recommended' WHEN contains(l, 'avoid') THEN 'avoid' WHEN contains(l, 'monitor') THEN 'monitor'
+      WHEN contains(l, 'recommended') OR contains(l, 'should') OR contains(l, 'is indicated') THEN 'recommended' ELSE 'review' END AS action FROM s"""
+)
+def inferred_actions(spark, sf_dir):
+    n = F.col("doc_id")
+    text = F.concat("evidence", F.get(F.array(*map(F.lit, _ENDS)), (n % 6).cast("int")))
+    stated = F.when(n % 5 == 0, " Dose Adjust ").when(n % 5 == 1, "perhaps")
+    return _claims(spark, sf_dir).select("doc_id", claims.inferred_action(text, F.col("claim_type"), stated).alias("action"))
+
+
 # --- tiers and verdicts -------------------------------------------------------------------------
 
 _CONFIDENCE = "(o_orderkey % 10) / 10.0"
