@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections import defaultdict
 from collections.abc import Callable
 from functools import lru_cache
@@ -32,12 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidra.llm._common import discard, materialize, runs, tidied, tidy
+from evidra.llm._common import discard, fresh, materialize, runs, tidied, tidy
 
 #: Words of over so many bytes merge all places of the lowest pair at once.
 LONG = 96
 #: Ids have 16 bits in the rank map's cells; the last value is for empty ones.
 MOST_IDS = (1 << 16) - 1
+#: What an empty cell holds; no pair has it.
+NO_PAIR = 1 << 62
 #: Fixed factors of a pair's cell and bucket; products of ids and these fit 31 bits.
 FIRST, SECOND = (15731, 11149), (7919, 15013)
 #: Words of an array to fold.
@@ -47,7 +50,9 @@ SLICE = 1 << 23
 #: Distinct words after which a task starts its numbers anew, and the bytes that they may take.
 MOST_WORDS, MOST_BYTES = 400_000, 1 << 26
 #: The commonest words of about so many documents are folded once for all tasks, up to so many words.
-SAMPLE_DOCS, COMMON_WORDS = 16_384, 300_000
+SAMPLE_DOCS, COMMON_WORDS = 65_536, 600_000
+#: Tasks that fold them.
+FOLDERS = 8
 #: Texts are written out in batches of about so many tokens.
 BATCH_TOKENS = 1 << 20
 
@@ -83,7 +88,7 @@ class RankMap:
         """shifts and cells: pair (l, r) is in cell (FIRST . (l, r) + shifts[SECOND . (l, r) mod their number]) mod theirs.
 
         Buckets of pairs with the same shift are placed one by one, the largest first, with the
-        first shift that finds all their cells free. A cell holds l << 32 | r << 16 | rank, or -1.
+        first shift that finds all their cells free. A cell holds l << 32 | r << 16 | rank, or NO_PAIR.
         """
         left, right = self.keys >> 16, self.keys & 0xFFFF
         n_cells, n_shifts = int(1.25 * len(left)) + 3 | 1, len(left) // 4 + 1
@@ -91,7 +96,7 @@ class RankMap:
         bucket = (left * SECOND[0] + right * SECOND[1]) % n_shifts
         order = np.argsort(bucket, kind="stable")
         first, counts = np.searchsorted(bucket[order], np.arange(n_shifts)), np.bincount(bucket, minlength=n_shifts)
-        taken, shifts, cells = np.zeros(n_cells, bool), np.zeros(n_shifts, np.int64), np.full(n_cells, -1, np.int64)
+        taken, shifts, cells = np.zeros(n_cells, bool), np.zeros(n_shifts, np.int64), np.full(n_cells, NO_PAIR, np.int64)
         for b in np.argsort(-counts, kind="stable").tolist():
             own = order[first[b] : first[b] + counts[b]]
             for shift in range(0, n_cells, 256):
@@ -142,9 +147,9 @@ def _tables(path: str) -> tuple[tuple[str, int], ...]:
     return tuple((" ".join(map(str, t)), len(t)) for t in (tables.byte_ids, *(x.tolist() for x in tables.hashed())))
 
 
-def _literal(values: str, kind: str = "int") -> Column:
+def _literal(values: str) -> Column:
     """An array of integers in the plan; the optimizer folds the parsing away."""
-    return F.split(F.lit(values), " ").cast(f"array<{kind}>")
+    return F.split(F.lit(values), " ").cast("array<bigint>")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -153,27 +158,37 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def fold_word(word: Column, ranks_path: str) -> Column:
-    """RankMap.fold() as a Spark expression over a column of words that aren't empty: array<int>."""
+    """RankMap.fold() as a Spark expression over a column of words that aren't empty: array<int>.
+
+    A step merges the first pair of the lowest rank. Where none is left, the first id is turned to
+    its bitwise complement, so that later steps have nothing to do; the end turns it back.
+    """
     (byte_ids, _), (shifts, n_shifts), (cells, n_cells) = _tables(ranks_path)
-    byte_ids, shifts, cells = _literal(byte_ids), _literal(shifts), _literal(cells, "bigint")
+    byte_ids, shifts, cells = _literal(byte_ids), _literal(shifts), _literal(cells)
     # The word's bytes as characters U+0000 to U+00FF.
     start = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(byte_ids, F.ascii(c)))
 
     def rank(left: Column, right: Column) -> Column:
+        """A pair's rank; over MOST_IDS for a pair that forms no token, as another pair's cell differs in its high bits."""
         shift = F.get(shifts, (left * SECOND[0] + right * SECOND[1]) % n_shifts)
-        owned = lambda cell: F.when(F.shiftright(cell, 16) == left * F.lit(1 << 16).cast("bigint") + right, cell.bitwiseAND(F.lit(0xFFFF)).cast("int"))
-        return _let(F.get(cells, (left * FIRST[0] + right * FIRST[1] + shift) % n_cells), owned)
+        cell = F.get(cells, (left * FIRST[0] + right * FIRST[1] + shift) % n_cells)
+        return F.coalesce(cell.bitwiseXOR((left * (1 << 16) + right) * (1 << 16)), F.lit(NO_PAIR))
 
-    def merge(ids: Column) -> Column:
-        def at(found: Column) -> Column:
-            least = F.array_min(found)
-            p = F.array_position(found, least).cast("int")
-            merged = F.concat(F.slice(ids, F.lit(1), p - 1), F.array(least), F.slice(ids, p + 2, F.size(ids)))
-            return F.when(least.isNull(), ids).otherwise(merged)
+    behind_first = lambda ids: F.slice(ids, F.lit(2), F.size(ids))
 
-        return _let(F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), rank), at)
+    def merged(ids: Column, least: Column, p: Column) -> Column:
+        placed = F.transform(ids, lambda x, i: F.when(i == p - 1, least).otherwise(x))
+        return F.filter(placed, lambda x, i: i != p)
 
-    return _let(start, lambda ids: F.aggregate(F.slice(ids, F.lit(2), F.size(ids)), ids, lambda now, _: merge(now)))
+    def merge(ids: Column) -> Column:
+        done = F.concat(F.array(F.bitwise_not(F.get(ids, F.lit(0)))), behind_first(ids))
+        at = lambda found, least: _let(F.array_position(found, least).cast("int"), lambda p: merged(ids, least, p))
+        lowest = lambda found: _let(F.array_min(found), lambda least: F.when(least <= MOST_IDS, at(found, least)).otherwise(done))
+        return _let(F.transform(ids, lambda x, i: rank(x, F.get(ids, i + 1))), lowest)
+
+    step = lambda ids, _: F.when(F.get(ids, F.lit(0)) < 0, ids).otherwise(merge(ids))
+    folded = _let(start, lambda ids: F.aggregate(behind_first(ids), ids, step))
+    return F.transform(folded, lambda x: F.greatest(x, F.bitwise_not(x)).cast("int"))
 
 
 def decode(ids: np.ndarray, tables: RankMap) -> bytes:
@@ -187,6 +202,39 @@ def _java(pattern: str) -> str:
     return pattern.replace(r"[^\s", "[^" + spaces).replace(r"\S", f"[^{spaces}]").replace(r"\s", f"[{spaces}]")
 
 
+#: Letters, numbers and white space of U+0000 to U+00FF, fixed values.
+LATIN = {r"\p{L}": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"\p{N}": "0-9\xb2\xb3\xb9\xbc-\xbe", r"\s": r"\t-\r \x85\xa0"}
+
+
+def _latin(pattern: str) -> str | None:
+    """The pattern for texts of U+0000 to U+00FF without properties, which a faster module takes; None if it has others."""
+
+    def inside(found: str) -> str:
+        for name, members in LATIN.items():
+            found = found.replace(name, members)
+        return found
+
+    def outside(part: str) -> str:
+        for name, members in LATIN.items():
+            if name == r"\s":
+                part = part.replace(r"\S", f"[^{members}]")
+            part = part.replace(name, f"[{members}]")
+        return part
+
+    parts = regex.split(r"(\[[^\]]*\])", pattern)
+    whole = "".join(inside(x) if k % 2 else outside(x) for k, x in enumerate(parts))
+    return None if regex.search(r"\\(?![trnx])", whole) else whole
+
+
+def cutter(pattern: str) -> Callable[[str], list[str]]:
+    """A function that cuts a text into words."""
+    find, latin = regex.compile(pattern).findall, _latin(pattern)
+    if latin is None:
+        return find
+    narrow, wide = re.compile(latin).findall, re.compile("[^\0-\xff]").search
+    return lambda text: narrow(text) if text.isascii() or not wide(text) else find(text)
+
+
 def common_words(docs: DataFrame, ranks_path: str, pattern: str, text: str, sample_docs: int = SAMPLE_DOCS, most: int = COMMON_WORDS) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The commonest words of about sample_docs documents, drawn by a hash of the text: the words, their ids and numbers of ids.
 
@@ -200,7 +248,7 @@ def common_words(docs: DataFrame, ranks_path: str, pattern: str, text: str, samp
     # Written first, so that no plan but one scan carries the literal tables.
     written = materialize(counted.orderBy(F.desc("count"), "w").limit(most).select("w"))
     ids = F.array_join(fold_word(F.col("w"), ranks_path).cast("array<string>"), " ")
-    rows = written.select("w", ids.alias("ids")).toArrow()
+    rows = written.repartition(FOLDERS).select("w", ids.alias("ids")).toArrow()
     discard(written)
     words, numbers = rows.column(0).to_pylist(), [x.split(" ") for x in rows.column(1).to_pylist()]
     flat = np.array([int(i) for x in numbers for i in x], np.uint16)
@@ -213,11 +261,12 @@ def _mapped(docs: DataFrame, ranks_path: str, pattern: str, text: str, row, fiel
     tidy()
     names = [c for c in docs.columns if c != text]
     optional = [T.StructField(c, docs.schema[c].dataType) for c in names]
-    handed = [T.StructField("bpe_words", T.ArrayType(T.StringType())), T.StructField("bpe_anew", T.BooleanType()), T.StructField("bpe_places", T.BinaryType())]
+    new_words, from_anew, in_row = fresh(docs, "bpe_words", "bpe_anew", "bpe_places")
+    handed = [T.StructField(new_words, T.ArrayType(T.StringType())), T.StructField(from_anew, T.BooleanType()), T.StructField(in_row, T.BinaryType())]
 
     def cut(batches):
         common = [w for w in shared.value[1].decode().split("\0") if w]
-        find, places, size, anew = regex.compile(pattern).findall, defaultdict(), 0, True
+        find, places, size, anew = cutter(pattern), defaultdict(), 0, True
         places.default_factory = places.__len__
         places.update(zip(common, range(len(common))))
         kinds = None
@@ -246,7 +295,7 @@ def _mapped(docs: DataFrame, ranks_path: str, pattern: str, text: str, row, fiel
                     places.update(zip(common, range(len(common))))
                     size, anew = 0, True
 
-    words = F.col("bpe_words")
+    words = F.col(new_words)
     folded = F.transform(words, lambda w: F.when(F.octet_length(w) <= LONG, fold_word(w, ranks_path)))
     left = F.filter(words, lambda w: F.octet_length(w) > LONG)
 
@@ -283,7 +332,7 @@ def _mapped(docs: DataFrame, ranks_path: str, pattern: str, text: str, row, fiel
 
     schema = T.StructType(optional + [f for f, _ in fields])
     numbered = docs.mapInArrow(tidied(cut), T.StructType(handed + optional))
-    return numbered.select(folded.alias("bpe_ids"), left.alias("bpe_long"), "bpe_anew", "bpe_places", *[F.col(f"`{c}`") for c in names]).mapInArrow(tidied(look_up), schema)
+    return numbered.select(folded.alias("bpe_ids"), left.alias("bpe_long"), from_anew, in_row, *[F.col(f"`{c}`") for c in names]).mapInArrow(tidied(look_up), schema)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", into: str = "token_ids", common: int = COMMON_WORDS, most_words: int = MOST_WORDS) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm._common import bounded, discard, materialize
+from evidra.llm._common import bounded, discard, fresh, materialize
 
 #: Kind, what to gate texts by, pattern, group of the value, its least length. Where
 #: runs that are too short can't hide a longer one, the pattern has the least length itself.
@@ -147,7 +147,8 @@ def redact_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int
     cuts = materialize(named)
     discard(scanned)
     spans = cuts.agg(F.coalesce(F.sum(F.size("live")), F.lit(0))).first()[0]
-    whole, at = F.col(text), "credentials_of_text"
+    at, digest = fresh(docs, "credentials_of_text", "digest_of_text")
+    whole = F.col(text)
 
     def cut(state: Column, s: Column) -> Column:
         start = F.greatest(s.start, state.at)
@@ -156,5 +157,5 @@ def redact_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int
 
     state = F.aggregate(at, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut)
     cleaned = F.when(F.col(at).isNull(), whole).otherwise(F.concat(state.out, F.substring(whole, state.at + 1, F.length(whole))))
-    joined = docs.join(bounded(cuts.select(F.col("digest").alias("digest_of_text"), F.col("live").alias(at)), spans), _digest(whole) == F.col("digest_of_text"), "left")
+    joined = docs.join(bounded(cuts.select(F.col("digest").alias(digest), F.col("live").alias(at)), spans), _digest(whole) == F.col(digest), "left")
     return joined.select(*[(cleaned if c == text else F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm._common import bounded, discard, materialize, tidied
+from evidra.llm._common import bounded, discard, fresh, materialize, tidied
 from evidra.llm.components import components
 
 RADIUS = 2
@@ -415,7 +415,7 @@ def keep_one_per_component(docs: DataFrame, doc: str = "doc_id", text: str = "te
     copies = found.groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("copies")).where("copies != 1")
     copies = materialize(copies)
     discard(found)
-    gone, key = "id_of_near_copies", F.col(doc).cast("long")
+    (gone,), key = fresh(docs, "id_of_near_copies"), F.col(doc).cast("long")
     out = docs.join(bounded(copies.select(F.col("doc_id").alias(gone))), key == F.col(gone), "left_anti")
     if copies.where("copies > 1").limit(1).count():
         more = copies.where("copies > 1").select(F.col("doc_id").alias(gone))
