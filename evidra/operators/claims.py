@@ -14,7 +14,11 @@ CLAIM_TYPES = (
     "adverse_reaction", "population_constraint", "guideline_recommendation", "general_monitoring",
 )
 #: What makes a span noise, and words that keep it all the same.
-STUDY_PATTERNS = (r"randomized\s+controlled\s+trial", r"\brct\b", r"double-blind", r"placebo-controlled", r"pregnancy\s+category\s+[a-z]", r"category\s+[a-z]\s+pregnancy", r"^table\s+[0-9]+", r"^figure\s+[0-9]+")
+STUDY_PATTERNS = (
+    r"incidence\s+of\s+\d+\s*%", r"p\s*[<>]\s*0?\.\d+", r"hazard\s+ratio", r"odds\s+ratio", r"confidence\s+interval", r"statistically\s+significant",
+    r"randomized\s+controlled\s+trial", r"\brct\b", r"double-blind", r"placebo-controlled", r"pregnancy\s+category\s+[a-z]", r"category\s+[a-z]\s+pregnancy",
+    r"^table\s+\d+", r"^figure\s+\d+",
+)
 CLINICAL_WORDS = (
     "dose", "dosage", "mg", "administer", "start", "stop", "reduce", "contraindication", "contraindicated", "warning", "precaution", "avoid",
     "monitor", "check", "measure", "renal", "hepatic", "pregnancy", "pregnant", "interact", "interaction", "hyperkalemia", "potassium",
@@ -25,6 +29,13 @@ FRONT_MATTER = (
     r"\bkeywords?\b", r"\bpermissions?\b", r"\btable of contents\b", r"\bcopyright\b", r"\ball rights reserved\b", r"\bmd,\s*macc\b",
     r"\bfaha\b.*\bfacc\b", r"\bet\s+al\.?\b", r"\bsupplemental (material|appendix)\b", r"\bdisclosure[s]?\b", r"\bconflict of interest\b",
 )
+#: Spans that match a type but give no rule, and the types that need a drug on a label.
+WEAK_SPANS = (
+    r"^see (contraindications|warnings|precautions|drug interactions)\b", r"\bsee (contraindications|warnings|precautions)\b\.?\s*$", r"\bsee adverse reactions\b",
+    r"\bfor a condition for which it (?:was )?not prescribed\b", r"\bmean baseline (egfr|creatinine|egfr was)\b", r"\bwere not included in clinical\b",
+    r"\bpackaging is open or damaged\b", r"\bprefilled syringe\b",
+)
+HARD_TYPES = ("contraindication", "renal_constraint", "hyperkalemia_risk", "drug_interaction", "population_constraint")
 #: Fields that a kind of dose calculation needs.
 DOSE_FIELDS = {
     "fixed_titration": ("starting_dose", "target_dose"), "step_titration": ("dose_steps",), "fixed_dose": ("recommended_dose",),
@@ -78,13 +89,27 @@ def noise_score(evidence: Column, patterns=FRONT_MATTER) -> Column:
     return F.when(F.length(low) < 25, 0.9).otherwise(F.least(F.lit(1.0), hits / 3.0))
 
 
-def judged(claims: DataFrame, evidence: str = "evidence", kind: str = "claim_type", most: float = 0.66, population: float = 0.33) -> DataFrame:
-    """claims with noise_score, verdict and confidence: rejected from `most` on, population claims from `population` on."""
-    noise = noise_score(F.col(evidence))
-    reject = (F.col("noise_score") >= most) | (F.coalesce(F.col(kind) == "population_constraint", F.lit(False)) & (F.col("noise_score") >= population))
-    out = claims.withColumn("noise_score", noise).withColumn("verdict", F.when(reject, "reject").otherwise("accept"))
-    sure = F.when(F.col("verdict") == "reject", F.col("noise_score")).otherwise(1.0 - F.col("noise_score"))
-    return out.withColumn("confidence", F.round(sure, 3)).withColumn("noise_score", F.round("noise_score", 3))
+def judged(claims: DataFrame, evidence: str = "evidence", kind: str = "claim_type", drug: str | None = None, source_type: str | None = None, claim: str | None = None, most: float = 0.66, population: float = 0.33) -> DataFrame:
+    """claims with noise_score, reasons, verdict and confidence.
+
+    Reasons to reject, in this order: noise from `most` on; a weak span; a hard type without a drug on
+    a label (where drug and source_type are given); a population claim with noise from `population`
+    on. Accepted claims have the one reason heuristic_ok. Where evidence is null or empty the claim's
+    text takes its place, if given.
+    """
+    span = F.when(_text(F.col(evidence)) != "", F.col(evidence)).otherwise(F.col(claim) if claim else F.lit(""))
+    noise, low = noise_score(span), F.trim(F.lower(_text(span)))
+    sure = lambda test: F.coalesce(test, F.lit(False))
+    bare = sure(F.col(kind).isin(*HARD_TYPES)) & (_text(F.col(drug)) == "") & sure(F.col(source_type) == "drug_label") if drug and source_type else F.lit(False)
+    tests = {
+        "heuristic_noise": noise >= most, "weak_span": _some([low.rlike(p) for p in WEAK_SPANS]), "missing_drug_on_label_claim": bare,
+        "weak_population_span": sure(F.col(kind) == "population_constraint") & (noise >= population),
+    }
+    found = F.array_compact(F.array(*[F.when(test, F.lit(reason)) for reason, test in tests.items()]))
+    out = claims.withColumn("noise_score", F.round(noise, 3)).withColumn("reasons", found)
+    reject = F.size("reasons") > 0
+    out = out.withColumn("verdict", F.when(reject, "reject").otherwise("accept")).withColumn("confidence", F.round(F.when(reject, noise).otherwise(1.0 - noise), 3))
+    return out.withColumn("reasons", F.when(reject, F.col("reasons")).otherwise(F.array(F.lit("heuristic_ok"))))
 
 
 def claim_confidence(sentence: Column, kind: Column, source_type: Column, strong_words) -> Column:

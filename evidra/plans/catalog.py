@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidra.plans import extended, standard  # noqa: F401  (extended adds its queries to standard's)
+from evidra.plans import extended, further, standard  # noqa: F401  (the others add their queries to those of standard)
 
 QUERIES: dict = standard.QUERIES
 ORACLES: dict = standard.ORACLES

@@ -35,7 +35,12 @@ def _match(column: str, patterns, joiner: str = " OR ", cast: str = "") -> str:
     return joiner.join(f"regexp_matches({column}, '(?i){p}'){cast}" for p in patterns)
 
 
-@query(f"{CLAIMS_SQL} SELECT doc_id FROM claims WHERE length(trim(evidence)) >= 15 AND NOT (({_match('evidence', claims.STUDY_PATTERNS)}) AND NOT ({_like('evidence', claims.CLINICAL_WORDS)}))")
+#: Stated once more, apart from the library's lists.
+_STUDY_SQL = r"(?i)incidence\s+of\s+\d+\s*%|p\s*[<>]\s*0?\.\d+|hazard\s+ratio|odds\s+ratio|confidence\s+interval|statistically\s+significant|randomized\s+controlled\s+trial|\brct\b|double-blind|placebo-controlled|pregnancy\s+category\s+[a-z]|category\s+[a-z]\s+pregnancy|^table\s+\d+|^figure\s+\d+"
+_CLINICAL_SQL = "dose|dosage|mg|administer|start|stop|reduce|contraindicat|warning|precaution|avoid|monitor|check|measure|renal|hepatic|pregnancy|pregnant|interact|hyperkalemia|potassium|creatinine|egfr|adverse|reaction|risk|caution|recommended|indicated|adjust|increase|decrease|withhold|discontinue"
+
+
+@query(f"{CLAIMS_SQL} SELECT doc_id FROM claims WHERE length(trim(evidence)) >= 15 AND NOT (regexp_matches(evidence, '{_STUDY_SQL}') AND NOT regexp_matches(lower(evidence), '{_CLINICAL_SQL}'))")
 def noise_filter(spark, sf_dir):
     return claims.noise_filter(_claims(spark, sf_dir)).select("doc_id")
 
@@ -45,18 +50,34 @@ def type_whitelist(spark, sf_dir):
     return claims.type_whitelist(_claims(spark, sf_dir)).groupBy("claim_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-_HITS = f"""({_match("l", claims.FRONT_MATTER, " + ", "::INT")} + CASE WHEN length(l) - length(replace(l, ',', '')) >= 6 AND regexp_matches(l, '\\b(md|phd|facc|faha)\\b') THEN 2 ELSE 0 END
-      + CASE WHEN length(l) - length(replace(l, ';', '')) >= 5 AND contains(l, 'guideline') THEN 1 ELSE 0 END)"""
+_FRONT_SQL = (
+    r"\bkeywords?\b", r"\bpermissions?\b", r"\btable of contents\b", r"\bcopyright\b", r"\ball rights reserved\b", r"\bmd,\s*macc\b", r"\bfaha\b.*\bfacc\b",
+    r"\bet\s+al\.?\b", r"\bsupplemental (material|appendix)\b", r"\bdisclosure[s]?\b", r"\bconflict of interest\b",
+)
+_WEAK_SQL = r"^see (contraindications|warnings|precautions|drug interactions)\b|\bsee (contraindications|warnings|precautions)\b\.?\s*$|\bsee adverse reactions\b|\bfor a condition for which it (was )?not prescribed\b|\bmean baseline (egfr|creatinine|egfr was)\b|\bwere not included in clinical\b|\bpackaging is open or damaged\b|\bprefilled syringe\b"
+_JUDGED = ("See warnings for all of these. ", "They were not included in clinical studies. ", "Williams, MD, MACC, FAHA, Lee, PhD, FACC, Ito, FAHA, et al. ")
 
 
 @query(
-    f"""{CLAIMS_SQL}, s AS (SELECT doc_id, claim_type, lower(evidence) AS l FROM claims),
-    n AS (SELECT *, CASE WHEN length(l) < 25 THEN 0.9 ELSE least(1.0, {_HITS} / 3.0) END::DOUBLE AS score FROM s),
-    v AS (SELECT *, score >= 0.66 OR (coalesce(claim_type = 'population_constraint', false) AND score >= 0.33) AS out FROM n)
-    SELECT doc_id, round(score, 3) AS noise_score, CASE WHEN out THEN 'reject' ELSE 'accept' END AS verdict, round(CASE WHEN out THEN score ELSE 1 - score END, 3) AS confidence FROM v"""
+    f"""{CLAIMS_SQL}, s AS (SELECT doc_id, claim_type, source_type, CASE WHEN doc_id % 3 > 0 THEN 'd' ELSE '' END AS drug,
+        lower(coalesce(['{"', '".join(_JUDGED)}', ''][doc_id % 13 + 1], '') || CASE WHEN doc_id % 17 = 0 THEN 'see contraindications' ELSE evidence END) AS l FROM claims),
+    n AS (SELECT *, CASE WHEN length(l) < 25 THEN 0.9 ELSE least(1.0, ({" + ".join(f"regexp_matches(l, '{p}')::INT" for p in _FRONT_SQL)}
+        + CASE WHEN length(l) - length(replace(l, ',', '')) >= 6 AND regexp_matches(l, '\\b(md|phd|facc|faha)\\b') THEN 2 ELSE 0 END
+        + CASE WHEN length(l) - length(replace(l, ';', '')) >= 5 AND contains(l, 'guideline') THEN 1 ELSE 0 END) / 3.0) END::DOUBLE AS score FROM s),
+    v AS (SELECT doc_id, score, list_filter([CASE WHEN score >= 0.66 THEN 'heuristic_noise' END, CASE WHEN regexp_matches(trim(l), '{_WEAK_SQL}') THEN 'weak_span' END,
+        CASE WHEN claim_type IN ('contraindication', 'renal_constraint', 'hyperkalemia_risk', 'drug_interaction', 'population_constraint') AND drug = '' AND source_type = 'drug_label' THEN 'missing_drug_on_label_claim' END,
+        CASE WHEN claim_type = 'population_constraint' AND score >= 0.33 THEN 'weak_population_span' END], lambda x: x IS NOT NULL) AS reasons FROM n)
+    SELECT doc_id, round(score, 3) AS noise_score, CASE WHEN len(reasons) > 0 THEN 'reject' ELSE 'accept' END AS verdict, round(CASE WHEN len(reasons) > 0 THEN score ELSE 1 - score END, 3) AS confidence,
+      CASE WHEN len(reasons) > 0 THEN array_to_string(reasons, ',') ELSE 'heuristic_ok' END AS reasons FROM v"""
 )
 def claim_judge(spark, sf_dir):
-    return claims.judged(_claims(spark, sf_dir)).select("doc_id", "noise_score", "verdict", "confidence")
+    opening = F.coalesce(F.get(F.array(*map(F.lit, (*_JUDGED, ""))), (F.col("doc_id") % 13).cast("int")), F.lit(""))
+    rows = _claims(spark, sf_dir).withColumn("drug", F.when(F.col("doc_id") % 3 > 0, "d"))
+    # Where the evidence is empty, the text of the claim is judged.
+    whole = F.concat(opening, F.when(F.col("doc_id") % 17 == 0, "see contraindications").otherwise(F.col("evidence")))
+    rows = rows.withColumn("claim", whole).withColumn("evidence", F.when(F.col("doc_id") % 2 == 0, whole).otherwise(""))
+    found = claims.judged(rows, drug="drug", source_type="source_type", claim="claim")
+    return found.select("doc_id", "noise_score", "verdict", "confidence", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(
