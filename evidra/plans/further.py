@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidra.operators import names
+from evidra.operators import doses, mentions, names, relevance
 from evidra.plans.standard import query, table
 
 # --- names --------------------------------------------------------------------------------------
@@ -47,3 +47,218 @@ def drug_names(spark, sf_dir):
     mentions = part.select("p_partkey", mention.alias("mention"))
     catalog = part.select(n.alias("alias"), F.col("p_brand").alias("drug_id"), F.col("p_partkey").alias("place"))
     return names.resolve(mentions, catalog).select("p_partkey", "drug_id", "way", F.round("score", 6).alias("score"))
+
+
+# --- relevance ----------------------------------------------------------------------------------
+
+_TITLES = ("BOXED WARNING", "CONTRAINDICATIONS", "Drug interactions", "DESCRIPTION", "HOW SUPPLIED", "CLINICAL STUDIES", "Overview", None)
+_TOPICS = ("contraindications", "warnings", "monitoring", "dosing", "hypertension", "diabetes", "mortality", "hyperkalemia", "recommendations", "other")
+_CASCADE_SQL = f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, count(*) OVER () AS n FROM embeddings),
+    x AS (SELECT label, vec_id % 2 AS half, unnest(e) AS y, unnest(range(len(e))) AS pos FROM v),
+    m AS (SELECT label, half, pos, avg(y) AS y FROM x GROUP BY ALL),
+    p AS (SELECT {list(_TOPICS)}[label + 1] AS topic, list(y ORDER BY pos) AS e FROM m GROUP BY label, half),
+    s AS (SELECT doc_id, text, lang = 'en' AS is_label, {str(list(_TITLES)).replace("None", "NULL")}[doc_id % 8 + 1] AS title, v.e FROM documents LEFT JOIN v ON vec_id = doc_id % n AND doc_id % 11 <> 3),
+    t AS (SELECT doc_id, topic, round(max(list_cosine_similarity(s.e, p.e)), 6) AS score FROM s JOIN p ON s.e IS NOT NULL GROUP BY ALL),
+    b AS (SELECT doc_id, arg_max(topic, score) AS best_topic, max(score) AS best_score FROM t WHERE score > 0 GROUP BY doc_id),
+    k AS (SELECT s.*, best_topic, coalesce(best_score, 0) AS best_score,
+        list_filter([CASE WHEN contains(lower(title), 'interaction') THEN 'interactions' END, CASE WHEN contains(lower(title), 'boxed') OR contains(lower(text), 'worthless') THEN 'warnings' END, CASE WHEN contains(lower(text), 'password') THEN 'secrets' END], lambda w: w IS NOT NULL) AS keywords,
+        list_filter([CASE WHEN contains(lower(coalesce(title, '') || chr(10) || text), 'supplied') THEN 'supply' END, CASE WHEN contains(lower(text), 'tionth') THEN 'dosing' END], lambda w: w IS NOT NULL) AS rescued,
+        CASE WHEN is_label THEN CASE upper(title) WHEN 'BOXED WARNING' THEN 0.40 WHEN 'CONTRAINDICATIONS' THEN 0.42 WHEN 'DRUG INTERACTIONS' THEN 0.45 WHEN 'DESCRIPTION' THEN 0.58 WHEN 'HOW SUPPLIED' THEN 0.60 WHEN 'CLINICAL STUDIES' THEN 0.55 ELSE 0.50 END
+          ELSE CASE best_topic WHEN 'contraindications' THEN 0.42 WHEN 'warnings' THEN 0.44 WHEN 'monitoring' THEN 0.46 WHEN 'dosing' THEN 0.48 WHEN 'hypertension' THEN 0.52 WHEN 'diabetes' THEN 0.52 WHEN 'mortality' THEN 0.55 WHEN 'hyperkalemia' THEN 0.44 ELSE 0.50 END END::DOUBLE
+        - CASE WHEN length(text) >= 200 THEN least(0.03, length(text) / 1000 * 0.03) ELSE 0 END::DOUBLE AS threshold FROM s LEFT JOIN b USING (doc_id)),
+    a AS (SELECT *, CASE WHEN len(keywords) > 0 THEN 'keyword' WHEN best_score >= threshold THEN 'semantic' WHEN best_score >= 0.38 THEN 'borderline' WHEN len(rescued) > 0 THEN 'rescue' ELSE 'dropped' END AS arm FROM k)"""
+
+
+def _cascade(spark, sf_dir):
+    vectors, docs = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
+    x = vectors.select("label", (F.col("vec_id") % 2).alias("half"), F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "y"))
+    means = x.groupBy("label", "half", "pos").agg(F.avg("y").alias("y")).groupBy("label", "half").agg(F.array_sort(F.collect_list(F.struct("pos", "y"))).alias("c"))
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
+    prototypes = means.select(pick(_TOPICS, F.col("label")).alias("topic"), F.col("c.y").alias("vector"))
+    n = F.broadcast(vectors.agg(F.count(F.lit(1)).alias("n_vectors")))
+    sections = docs.crossJoin(n).select("doc_id", "text", (F.col("lang") == "en").alias("is_label"), pick(_TITLES, F.col("doc_id") % 8).alias("title"), F.when(F.col("doc_id") % 11 != 3, F.col("doc_id") % F.col("n_vectors")).alias("vec"))
+    sections = sections.join(vectors.select(F.col("vec_id").alias("vec"), F.col("embedding").alias("vector")), "vec", "left").drop("vec")
+    return relevance.cascade(sections, prototypes, {"interactions": ["Interaction"], "warnings": ["boxed"]}, {"warnings": ["worthless"], "secrets": ["password"]}, {"supply": ["supplied"], "dosing": ["tionth"]})
+
+
+@query(
+    f"""{_CASCADE_SQL} SELECT doc_id, arm, best_topic, round(best_score, 6) AS best_score, round(threshold, 6) AS threshold,
+      array_to_string(CASE arm WHEN 'keyword' THEN keywords WHEN 'semantic' THEN [best_topic] WHEN 'rescue' THEN rescued ELSE [] END, ',') AS topics FROM a"""
+)
+def section_cascade(spark, sf_dir):
+    return _cascade(spark, sf_dir).select("doc_id", "arm", "best_topic", F.round("best_score", 6).alias("best_score"), F.round("threshold", 6).alias("threshold"), F.array_join("topics", ",").alias("topics"))
+
+
+@query(f"{_CASCADE_SQL} SELECT arm, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4)::DOUBLE AS share FROM a GROUP BY arm")
+def section_arms(spark, sf_dir):
+    return relevance.arm_counts(_cascade(spark, sf_dir))
+
+
+@query(
+    """SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(source, '1') THEN 'one' END, CASE WHEN contains(source, '2') OR contains(lower(text), 'tion') THEN 'two' END, CASE WHEN contains(lower(text), 'the') THEN 'three' END], lambda w: w IS NOT NULL), ',') AS topics FROM documents"""
+)
+def keyword_topics(spark, sf_dir):
+    found = relevance.keyword_topics(F.col("source"), F.col("text"), {"one": ["1"], "two": ["2"]}, {"two": ["TION"], "three": ["the"]})
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(found, ",").alias("topics"))
+
+
+# --- mentions -----------------------------------------------------------------------------------
+
+_ENTITY_WORDS = ("eGFR is below 30 and no heart failure. ", "Potassium > 5.5, avoid; denies type 2 diabetes. ", "Not recommended without renal impairment; 12.5 mg/dL. ", "")
+_ENTITY_SQL = f"{str(list(_ENTITY_WORDS))}[doc_id % 4 + 1] || text"
+#: Words with their places, and terms of up to two words that single spaces join.
+_SPANS_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, {_ENTITY_SQL} AS t FROM documents),
+    terms AS (SELECT DISTINCT w AS term, kind FROM (
+      SELECT unnest(regexp_extract_all(text, '[A-Za-z]{{9,}}')) AS w, 'word' AS kind FROM benchmark UNION ALL SELECT unnest(regexp_extract_all(text, '[A-Za-z]{{4,}} [a-z]{{2,}}')), 'pair' FROM benchmark)),
+    g AS (SELECT doc_id, t, regexp_split_to_array(t, '[\\p{{L}}\\p{{N}}]+') AS gaps, regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]+') AS ws FROM d),
+    u AS (SELECT doc_id, unnest(range(len(ws))) AS n, unnest(ws) AS w, unnest(gaps[:len(ws)]) AS gap FROM g),
+    p AS (SELECT doc_id, n, w, sum(length(gap) + length(w)) OVER (PARTITION BY doc_id ORDER BY n) AS e, lead(w) OVER o AS w2, lead(gap) OVER o AS gap2 FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY n)),
+    f AS (SELECT doc_id, (e - length(w))::INT AS s, (e - length(w) + length(term))::INT AS e, kind, term FROM (
+        SELECT doc_id, w, e, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM p UNION ALL
+        SELECT doc_id, w, e, translate(w || ' ' || w2, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM p WHERE gap2 = ' ') JOIN terms ON low = lower(term)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e DESC, kind, term) AS k FROM f),
+    r AS (SELECT doc_id, k, s, e, kind, term FROM o WHERE k = 1 UNION ALL
+      SELECT doc_id, m.k, m.s, m.e, m.kind, m.term FROM (SELECT r.doc_id, min(o.k) AS k FROM r JOIN o ON o.doc_id = r.doc_id AND o.s >= r.e GROUP BY r.doc_id) x JOIN o m USING (doc_id, k))"""
+
+
+def _scanned(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    opening = F.get(F.array(*map(F.lit, _ENTITY_WORDS)), (F.col("doc_id") % 4).cast("int"))
+    return docs.select("doc_id", F.concat(opening, "text").alias("text"))
+
+
+@query(f"{_SPANS_SQL} SELECT doc_id, count(*)::BIGINT AS n_spans, sha256(string_agg(kind || ':' || term || ':' || s || ':' || e, ',' ORDER BY s)) AS spans_sha256 FROM r GROUP BY doc_id")
+def dictionary_spans(spark, sf_dir):
+    """Words and pairs of words of the benchmark, found in whole documents; of overlapping ones the leftmost longest."""
+    bench = table(spark, sf_dir, "benchmark")
+    cut = lambda p, kind: bench.select(F.explode(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("term"), F.lit(kind).alias("kind"))
+    terms = cut("[A-Za-z]{9,}", "word").unionAll(cut("[A-Za-z]{4,} [a-z]{2,}", "pair"))
+    rows = _scanned(spark, sf_dir)
+    found = rows.select("doc_id", mentions.dictionary_spans(rows, terms).alias("spans")).where(F.size("spans") > 0)
+    joined = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s.kind, s.term, s.start, s.end)), ",")
+    return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), F.sha2(joined, 256).alias("spans_sha256"))
+
+
+#: Spans of several words in the openings, by document: kind, text, start, whether it is negated. Single words are found anywhere.
+_KNOWN = {
+    0: (("condition", "heart failure", 24, True), ("threshold", "eGFR is below 30", 0, False)),
+    1: (("condition", "type 2 diabetes", 31, True), ("threshold", "Potassium > 5.5", 0, False)),
+    2: (("action", "Not recommended", 0, False), ("condition", "renal impairment", 24, True), ("threshold", "12.5 mg/dL", 42, False)),
+}
+_SINGLE = {
+    "lab": ("egfr", "potassium", "creatinine", "hba1c"), "condition": ("ckd", "hypertension", "hyperkalemia", "bleeding"),
+    "action": ("contraindicated", "avoid", "recommended", "monitor", "adjust", "titrate"),
+}
+_ENTITIES_SQL = (
+    _SPANS_SQL[: _SPANS_SQL.index("f AS (SELECT")]
+    + "k(rest, kind, term, start, negated) AS (VALUES " + ", ".join(f"({n}, '{k}', '{t}', {s}, {g})" for n, found in _KNOWN.items() for k, t, s, g in found)
+    + "), o(word, kind) AS (VALUES " + ", ".join(f"('{w}', '{k}')" for k, words in _SINGLE.items() for w in words)
+    + r"""), a AS (SELECT doc_id, kind, term, start, negated FROM d JOIN k ON doc_id % 4 = rest UNION ALL
+      SELECT doc_id, kind, w, (e - length(w))::INT, regexp_matches(lower(substr(t, (greatest(e - length(w) - 24, 0) + 1)::BIGINT, least(e - length(w), 24)::BIGINT)), '\b(no|not|not on|without|denies)\b(\s+\w+)?\s*$') FROM p JOIN o ON lower(w) = word JOIN d USING (doc_id))"""
+)
+
+
+@query(_ENTITIES_SQL + """ SELECT doc_id, kind, term, start, (start + length(term))::INT AS "end", negated, kind || '_' || substr(sha1(kind || '|' || lower(term)), 1, 12) AS entity_id FROM a""")
+def entity_spans(spark, sf_dir):
+    """Labs, conditions, actions and thresholds in whole documents, with ids and whether they are negated."""
+    rows = _scanned(spark, sf_dir).withColumn("spans", mentions.pattern_spans(F.col("text")))
+    each = rows.select("doc_id", "text", F.inline("spans"))
+    return each.select("doc_id", "kind", "term", "start", "end", mentions.is_negated(F.col("text"), F.col("start")).alias("negated"), mentions.entity_id(F.col("kind"), F.col("term")).alias("entity_id"))
+
+
+@query(_ENTITIES_SQL + " SELECT doc_id, kind, term, count(*) AS n, sum(negated::INT)::BIGINT AS n_negated, sum(negated::INT) < count(*) AS allowed FROM a GROUP BY doc_id, kind, term")
+def mention_status(spark, sf_dir):
+    rows = _scanned(spark, sf_dir).withColumn("spans", mentions.pattern_spans(F.col("text")))
+    return mentions.mention_status(rows)
+
+
+# --- doses and pathways -------------------------------------------------------------------------
+
+#: Fields of a customer's made-up profile, unknown where the key says so.
+_PROFILE = {"age": ("abs(c_acctbal) % 60 + 40", 5), "weight_kg": ("c_custkey % 60 + 40", 7), "creatinine": ("(c_custkey % 31) / 10", 3)}
+_RULES = (
+    ("abc", "d0", 1, 2, (("age", ">=", 80.0), ("weight_kg", "<=", 60.0), ("creatinine", ">=", 1.5))), ("age only", "d0", 2, 1, (("age", ">", 90.0), (None, ">", 1.0))),
+    ("default", "d1", 1, None, (("age", None, 70.0), ("weight_kg", "<", 50.0))), ("odd", "d1", 2, 1, (("creatinine", "~", 1.0), ("creatinine", "==", 2.5))),
+    ("all", "d2", 1, 3, (("age", ">=", 50.0), ("weight_kg", ">=", 50.0), ("creatinine", "<", 3.0))),
+)
+_quoted = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else repr(v)
+_COUNTED_SQL = (
+    "WITH c AS (SELECT c_custkey, 'd' || c_custkey % 4 AS drug, "
+    + ", ".join(f"CASE WHEN c_custkey % {n} <> 1 THEN ({e})::DOUBLE END AS {f}" for f, (e, n) in _PROFILE.items())
+    + " FROM customer), r(rule_id, drug, place, need, n, field, op, bound) AS (VALUES "
+    + ", ".join(f"({_quoted(i)}, {_quoted(d)}, {p}, {2 if m is None else m}, {n}, {_quoted(f)}, {_quoted(o or '>=')}, {b})" for i, d, p, m, cs in _RULES for n, (f, o, b) in enumerate(cs))
+    + """), v AS (SELECT c_custkey, r.*, CASE field WHEN 'age' THEN age WHEN 'weight_kg' THEN weight_kg WHEN 'creatinine' THEN creatinine END AS x FROM c JOIN r ON r.drug = c.drug WHERE field IS NOT NULL),
+    m AS (SELECT *, CASE WHEN x IS NOT NULL THEN CASE op WHEN '>=' THEN x >= bound WHEN '>' THEN x > bound WHEN '<=' THEN x <= bound WHEN '<' THEN x < bound WHEN '==' THEN x = bound ELSE false END END AS met, row_number() OVER (PARTITION BY c_custkey, rule_id, x IS NULL, field ORDER BY n) AS times FROM v),
+    s AS (SELECT c_custkey, drug, rule_id, place, count(*) FILTER (met) AS n_met, count(*) FILTER (met IS NULL) AS n_unknown, any_value(need) AS need,
+        coalesce(string_agg(field || ' ' || op || ' ' || bound::VARCHAR, ',' ORDER BY n) FILTER (met), '') AS met, coalesce(string_agg(field, ',' ORDER BY n) FILTER (met IS NULL AND times = 1), '') AS unknown FROM m GROUP BY 1, 2, 3, 4),
+    t AS (SELECT *, CASE WHEN n_met >= need THEN 'met' WHEN n_unknown > 0 AND n_met + n_unknown >= need THEN 'open' ELSE 'not_met' END AS state FROM s)"""
+)
+
+
+def _profiles(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    values = [F.when(F.col("c_custkey") % n != 1, F.expr(e).cast("double")) for e, n in _PROFILE.values()]
+    return c.select("c_custkey", F.concat(F.lit("d"), F.col("c_custkey") % 4).alias("drug"), F.map_from_arrays(F.array(*map(F.lit, _PROFILE)), F.array(*values)).alias("values"))
+
+
+def _counted(spark, sf_dir):
+    kind = "rule_id string, drug string, place int, min_matched int, criteria array<struct<field:string,op:string,value:double>>"
+    return doses.counted_rules(_profiles(spark, sf_dir), spark.createDataFrame([(i, d, p, m, list(cs)) for i, d, p, m, cs in _RULES], kind), "c_custkey")
+
+
+@query(_COUNTED_SQL + " SELECT c_custkey, drug, rule_id, state, n_met::INT AS n_met, n_unknown::INT AS n_unknown, met, CASE WHEN state = 'open' THEN unknown ELSE '' END AS missing FROM t")
+def counted_dose_rules(spark, sf_dir):
+    return _counted(spark, sf_dir).select("c_custkey", "drug", "rule_id", "state", "n_met", "n_unknown", F.array_join("met", ",").alias("met"), F.array_join("missing", ",").alias("missing"))
+
+
+@query(
+    _COUNTED_SQL + """, h AS (SELECT c_custkey, arg_min(rule_id, place) AS rule_id, arg_min(met, place) AS met FROM t WHERE state = 'met' GROUP BY 1),
+    g AS (SELECT m.c_custkey, field, min(m.place * 100 + n) AS place FROM m JOIN t ON t.c_custkey = m.c_custkey AND t.rule_id = m.rule_id WHERE state = 'open' AND m.met IS NULL GROUP BY 1, 2)
+    SELECT c_custkey, drug, h.rule_id, coalesce(h.met, '') AS met, CASE WHEN h.rule_id IS NULL THEN coalesce((SELECT string_agg(field, ',' ORDER BY place) FROM g WHERE g.c_custkey = a.c_custkey), '') ELSE '' END AS missing
+    FROM (SELECT DISTINCT c_custkey, drug FROM t) a LEFT JOIN h USING (c_custkey)"""
+)
+def first_dose_rule(spark, sf_dir):
+    found = doses.first_met(_counted(spark, sf_dir), "c_custkey")
+    return found.select("c_custkey", "drug", "rule_id", F.array_join("met", ",").alias("met"), F.array_join("missing", ",").alias("missing"))
+
+
+@query(
+    """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 5.0 END::DOUBLE AS starting, CASE WHEN c_custkey % 3 = 0 THEN 0.5 END::DOUBLE AS per_kg, CASE WHEN c_custkey % 4 < 3 THEN c_custkey % 90 END::DOUBLE AS weight,
+        CASE WHEN c_custkey % 7 = 0 THEN 2.0 END::DOUBLE AS renal, c_custkey % 5 = 0 AS met, CASE WHEN c_custkey % 25 > 0 THEN 2.5 END::DOUBLE AS reduced, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_custkey % 13 = 0 END AS hold FROM customer)
+    SELECT c_custkey, CASE WHEN hold THEN NULL WHEN met AND reduced IS NOT NULL THEN reduced WHEN renal IS NOT NULL THEN renal WHEN per_kg * weight IS NOT NULL THEN round(per_kg * weight, 2) ELSE starting END AS dose,
+      CASE WHEN hold THEN 'hold' WHEN met AND reduced IS NOT NULL THEN 'criteria' WHEN renal IS NOT NULL THEN 'renal' WHEN per_kg * weight IS NOT NULL THEN 'weight' WHEN starting IS NOT NULL THEN 'starting' ELSE 'unknown' END AS source FROM c"""
+)
+def resolved_doses(spark, sf_dir):
+    k, d = F.col("c_custkey"), lambda test, value: F.when(test, F.lit(value).cast("double"))
+    dose = doses.resolved_dose(
+        d(k % 2 == 0, 5.0), d(k % 3 == 0, 0.5), F.when(k % 4 < 3, (k % 90).cast("double")), d(k % 7 == 0, 2.0), k % 5 == 0, d(k % 25 > 0, 2.5), F.when(k % 11 != 0, k % 13 == 0)
+    )
+    return table(spark, sf_dir, "customer").select("c_custkey", dose.alias("d")).select("c_custkey", "d.dose", "d.source")
+
+
+_CLASSES = ("mra", "acei_arb", "beta_blocker", "arni", "loop_diuretic", "acei", "sglt2i", "statin", "arb", None)
+_STATUS = ("consider", "continue", "avoid", "consider_with_caution", "monitor")
+_PATHWAY_SQL = f"""WITH i AS (SELECT l_orderkey, l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey AS place, {str(list(_CLASSES)).replace("None", "NULL")}[l_partkey % 10 + 1] AS class_id, {list(_STATUS)}[l_suppkey % 5 + 1] AS status, l_quantity AS q, l_partkey AS p FROM lineitem),
+    n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, class_id ORDER BY place DESC) AS newest, min(place) OVER (PARTITION BY l_orderkey, class_id) AS first_place FROM i
+      WHERE class_id IN ('loop_diuretic', 'acei_arb', 'arni', 'acei', 'arb', 'beta_blocker', 'mra', 'sglt2i', 'raas')),
+    h AS (SELECT *, bool_or(class_id = 'acei_arb') OVER o AS has_both, bool_or(class_id = 'arni' AND status IN ('consider', 'consider_with_caution')) OVER o AS has_arni FROM n WHERE newest = 1 WINDOW o AS (PARTITION BY l_orderkey)),
+    s AS (SELECT *, CASE WHEN class_id IN ('acei', 'arb') AND has_both THEN 'acei_arb is recommended' WHEN class_id = 'acei_arb' AND has_arni THEN 'arni is considered' END AS superseded,
+        CASE WHEN p % 6 > 0 THEN q + 80 END AS sbp, CASE WHEN p % 7 > 0 THEN 4 + q / 25 END AS k, CASE WHEN p % 5 > 0 THEN q END AS egfr, CASE WHEN p % 4 > 0 THEN q + 40 END AS hr FROM h)
+    SELECT * FROM (SELECT l_orderkey, class_id, superseded, (row_number() OVER (PARTITION BY l_orderkey ORDER BY superseded IS NOT NULL,
+        CASE WHEN superseded IS NULL THEN list_position(['loop_diuretic', 'acei_arb', 'arni', 'acei', 'arb', 'beta_blocker', 'mra', 'sglt2i', 'raas'], class_id) ELSE 9 + first_place END))::INT AS step,
+      CASE WHEN status = 'avoid' THEN 'blocked' WHEN coalesce(CASE WHEN class_id IN ('acei_arb', 'arni', 'acei', 'arb', 'raas') THEN sbp < 100 OR k > 5.5 OR egfr < 20 WHEN class_id = 'beta_blocker' THEN hr < 55 OR sbp < 95
+        WHEN class_id = 'mra' THEN k > 5.0 OR egfr < 30 WHEN class_id = 'sglt2i' THEN egfr < 20 END, false) THEN 'hold' WHEN status = 'continue' OR p % 9 = 0 THEN 'active' WHEN status IN ('consider', 'consider_with_caution') THEN 'next' ELSE 'hold' END AS phase FROM s) WHERE class_id <> 'loop_diuretic'"""
+
+
+@query(_PATHWAY_SQL)
+def medication_pathway(spark, sf_dir):
+    """Order lines as recommendations of classes: ordered, superseded, gated by made-up labs."""
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
+    q, p = F.col("l_quantity"), F.col("l_partkey")
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", (F.col("l_linenumber") * F.lit(1000000000000) + p * 100000 + F.col("l_suppkey")).alias("place"), pick(_CLASSES, p % 10).alias("class_id"), pick(_STATUS, F.col("l_suppkey") % 5).alias("status"), q.alias("q"), p.alias("p"),
+        F.when(p % 9 == 0, "taken").alias("current_drug"),
+    )
+    q, p = F.col("q"), F.col("p")
+    values = {"systolic_bp": F.when(p % 6 > 0, q + 80), "potassium": F.when(p % 7 > 0, 4 + q / 25), "egfr": F.when(p % 5 > 0, q), "heart_rate": F.when(p % 4 > 0, q + 40)}
+    return doses.pathway(rows, values, patient="l_orderkey").select("l_orderkey", "class_id", "superseded", "step", "phase")
