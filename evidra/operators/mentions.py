@@ -49,8 +49,8 @@ def longest_spans(found: list[tuple[int, int, str, str]]) -> list[tuple[int, int
     return out
 
 
-def dictionary_spans(rows: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", kind: str = "kind", overlapping: bool = False) -> Column:
-    """A column of spans of all terms in the text, whole words, A to Z in any case; code points, end exclusive.
+def dictionary_spans(rows: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", kind: str = "kind", overlapping: bool = False, whole_words: bool = True) -> Column:
+    """A column of spans of all terms in the text, as whole words unless told otherwise, A to Z in any case; code points, end exclusive.
 
     Spans come in order of start, longer ones first. Without `overlapping` the leftmost longest
     stay. Blank and null terms are no terms; a term of two kinds has a span each. Null texts have no
@@ -79,7 +79,7 @@ def dictionary_spans(rows: DataFrame, terms: DataFrame, text: str = "text", term
         for t in texts:
             low, found = (t or "").translate(_LOWER), []
             for last, (n, names) in automaton.iter(low):
-                if _whole(low, last + 1 - n, last + 1):
+                if not whole_words or _whole(low, last + 1 - n, last + 1):
                     found += [(last + 1 - n, last + 1, k, name) for k, name in names]
             found = sorted(found, key=lambda s: (s[0], -s[1], s[2], s[3])) if overlapping else longest_spans(found)
             out.append([{"kind": k, "term": name, "start": s, "end": e} for s, e, k, name in found])

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidra.operators import doses, mentions, names, relevance
+from evidra.operators import citations, doses, guided, mentions, names, relevance, similar
 from evidra.plans.standard import query, table
 
 # --- names --------------------------------------------------------------------------------------
@@ -262,3 +262,109 @@ def medication_pathway(spark, sf_dir):
     q, p = F.col("q"), F.col("p")
     values = {"systolic_bp": F.when(p % 6 > 0, q + 80), "potassium": F.when(p % 7 > 0, 4 + q / 25), "egfr": F.when(p % 5 > 0, q), "heart_rate": F.when(p % 4 > 0, q + 40)}
     return doses.pathway(rows, values, patient="l_orderkey").select("l_orderkey", "class_id", "superseded", "step", "phase")
+
+
+# --- similar vectors, citations, headings -------------------------------------------------------
+
+
+@query(
+    """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+    g AS (SELECT label, 0::BIGINT AS n, []::DOUBLE[][] AS kept, []::BIGINT[] AS ids FROM (SELECT DISTINCT label FROM v) UNION ALL
+      SELECT label, m, CASE WHEN near THEN kept ELSE list_append(kept, e) END, CASE WHEN near THEN ids ELSE list_append(ids, vec_id) END
+      FROM (SELECT g.label, g.kept, g.ids, v.vec_id, v.e, v.n AS m, len(list_filter(g.kept, lambda k: list_cosine_similarity(k, v.e) >= 0.35)) > 0 AS near FROM g JOIN v ON v.label = g.label AND v.n = g.n + 1) x)
+    SELECT unnest(arg_max(ids, n)) AS vec_id FROM g GROUP BY label"""
+)
+def similar_vectors_dropped(spark, sf_dir):
+    """Vectors of each label that resemble no earlier kept one."""
+    return similar.drop_similar(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.35).select("vec_id")
+
+
+@query(
+    """WITH i AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{7,}')) AS words, regexp_extract(lower(text), '[a-z]{3,} [a-z]{3,} [a-z]{3,}') AS phrase,
+        list_filter(string_split_regex(lower(regexp_extract(text, '^(\\S+ \\S+)', 1)), '[^a-z0-9+]+'), lambda t: length(t) >= 3) AS refs FROM benchmark),
+    t AS (SELECT item_id, unnest(words) AS term, 1.0 AS w, true AS named FROM i UNION ALL SELECT item_id, phrase, 1.0, true FROM i WHERE phrase <> '' UNION ALL SELECT item_id, unnest(list_distinct(refs)), 0.75, false FROM i),
+    a AS (SELECT item_id, term, sum(w) AS w, bool_or(named) AS named FROM t GROUP BY ALL),
+    d AS (SELECT doc_id, lower(text) AS l, list_distinct(string_split_regex(lower(text), '[^a-z0-9]+')) AS ws, CASE lang WHEN 'en' THEN 3 WHEN 'fr' THEN 2 ELSE 0 END AS bonus, (doc_id % 10) / 10.0 AS q, n_chars FROM documents),
+    dt AS (SELECT doc_id, unnest(ws) AS term FROM d),
+    h AS (SELECT doc_id, term FROM dt WHERE term IN (SELECT term FROM a) UNION SELECT doc_id, term FROM d JOIN (SELECT DISTINCT term FROM a WHERE contains(term, ' ')) p ON contains(l, term)),
+    s AS (SELECT item_id, doc_id, sum(w) + any_value(bonus) + any_value(q) AS score, coalesce(string_agg(term, ',' ORDER BY term) FILTER (named), '') AS matched, any_value(n_chars) AS own FROM h JOIN a USING (term) JOIN d USING (doc_id) GROUP BY 1, 2)
+    SELECT item_id, doc_id, rank::INT AS rank, round(score, 4)::DOUBLE AS match_score, matched FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, own DESC, doc_id) AS rank FROM s) WHERE rank <= 3"""
+)
+def cited_chunks(spark, sf_dir):
+    """The three documents that support each benchmark item best."""
+    text = F.lower("text")
+    words = F.regexp_extract_all(text, F.lit("[a-z]{7,}"), F.lit(0))
+    phrase = F.regexp_extract(text, "[a-z]{3,} [a-z]{3,} [a-z]{3,}", 0)
+    required = F.concat(words, F.when(phrase != "", F.array(phrase)).otherwise(F.array().cast("array<string>")))
+    items = table(spark, sf_dir, "benchmark").select("item_id", required.alias("required"), F.array(F.regexp_extract("text", r"^(\S+ \S+)", 1)).alias("refs"))
+    kind = F.when(F.col("lang") == "en", "guideline").when(F.col("lang") == "fr", "drug_label").otherwise("other")
+    chunks = table(spark, sf_dir, "documents").select("doc_id", "text", kind.alias("source_type"), ((F.col("doc_id") % 10) / 10).alias("quality"), F.col("n_chars").alias("score"))
+    found = citations.cited_chunks(items, chunks, chunk="doc_id")
+    return found.select("item_id", "doc_id", "rank", F.round("match_score", 4).alias("match_score"), F.array_join("matched", ",").alias("matched"))
+
+
+_HEADINGS_SQL = """WITH p AS (SELECT page_id, list_concat(regexp_extract_all(html, '<h[1-6][^>]*>[^<]*'), regexp_extract_all(html, '<(?:p|b|li)>[^<]{1,24}')) AS found FROM pages),
+    h AS (SELECT page_id, unnest(range(len(found))) AS place, unnest(found) AS tag FROM p),
+    l AS (SELECT page_id, place, CASE WHEN tag LIKE '<h%' THEN substr(tag, 3, 1)::INT ELSE (place * 7) % 5 + 2 END AS level, regexp_replace(tag, '^<[^>]*>', '') AS title FROM h)"""
+
+
+@query(
+    _HEADINGS_SQL + """ SELECT page_id, place, level, array_to_string(list_transform(list_sort(list_transform(list_filter(above, lambda a: a.level <= cur.level AND len(list_filter(above, lambda b: b.place > a.place AND b.level <= a.level)) = 0), lambda a: {'l': a.level, 't': a.title})), lambda a: a.t), ' > ') AS path
+    FROM (SELECT *, list({'place': place, 'level': level, 'title': title}) OVER (PARTITION BY page_id ORDER BY place) AS above FROM l) cur"""
+)
+def heading_paths(spark, sf_dir):
+    """Headings, and short pieces as made-up ones, with the path of headings that they stand under."""
+    found = F.concat(*[F.regexp_extract_all("html", F.lit(p), F.lit(0)) for p in ("<h[1-6][^>]*>[^<]*", "<(?:p|b|li)>[^<]{1,24}")])
+    each = table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("place", "tag"))
+    level = F.when(F.col("tag").startswith("<h"), F.substring("tag", 3, 1).try_cast("int")).otherwise((F.col("place") * 7) % 5 + 2)
+    rows = each.select("page_id", F.col("place").cast("long").alias("place"), level.alias("level"), F.regexp_replace("tag", "^<[^>]*>", "").alias("title"))
+    return citations.heading_paths(rows).select("page_id", "place", "level", F.array_join("path", " > ").alias("path"))
+
+
+@query(
+    """SELECT page_id, trim(parts[1]) AS root, trim(parts[2]) AS parent, (len(parts) - 1)::INT AS depth, array_to_string(list_transform(parts, lambda p: trim(p)), ' > ') AS full_path, len(parts) > 1 AS is_nested
+    FROM (SELECT page_id, string_split(replace(url, '://', ' '), '/') AS parts FROM pages)"""
+)
+def title_hierarchy(spark, sf_dir):
+    named = table(spark, sf_dir, "pages").select("page_id", citations.title_hierarchy(F.replace("url", F.lit("://"), F.lit(" "))).alias("h"))
+    return named.select("page_id", "h.*")
+
+
+# --- search guided by a graph -------------------------------------------------------------------
+
+_REACHED_SQL = """WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_quantity >= 48), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    s AS (SELECT vec_id AS query_id, 'p' || vec_id AS node FROM embeddings WHERE vec_id % 20 = 0),
+    w AS (SELECT query_id, node, 0 AS hops FROM s UNION SELECT query_id, b, hops + 1 FROM w JOIN both_ways ON a = node WHERE hops < 2),
+    r AS (SELECT query_id, node, min(hops)::INT AS hops FROM w GROUP BY 1, 2)"""
+
+
+def _reached(spark, sf_dir):
+    lines, vectors = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "embeddings")
+    edges = lines.where("l_quantity >= 48").select(F.concat(F.lit("o"), "l_orderkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"))
+    seeds = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("p"), "vec_id").alias("node"))
+    return guided.reached(edges, seeds, 2)
+
+
+@query(f"{_REACHED_SQL} SELECT query_id, node, hops FROM r")
+def reached_nodes(spark, sf_dir):
+    """Orders and parts within two edges of a query's part."""
+    return _reached(spark, sf_dir)
+
+
+@query(
+    f"""{_REACHED_SQL}, v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+    x AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
+    i AS (SELECT x.* FROM x JOIN r ON r.query_id = x.query_id AND r.node = 'p' || x.vec_id QUALIFY count(*) OVER (PARTITION BY x.query_id) >= 2),
+    l AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM i UNION ALL
+      SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) FROM x UNION ALL
+      SELECT query_id, vec_id, 1000 + row_number() OVER (PARTITION BY query_id ORDER BY vec_id) FROM (SELECT q.vec_id AS query_id, v.vec_id FROM v q JOIN v ON v.vec_id = q.vec_id + 1 WHERE q.vec_id % 20 = 0)),
+    f AS (SELECT query_id, vec_id, round(sum(1 / (60 + rank % 1000)), 6) AS score, count(*) AS n_lists FROM l WHERE rank <= 8 OR rank > 1000 GROUP BY 1, 2)
+    SELECT query_id, vec_id, score, n_lists, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM f) WHERE rank <= 5"""
+)
+def guided_search(spark, sf_dir):
+    """Vectors of parts near a query's part in the graph, its neighbour by id, and the open search, fused."""
+    vectors = table(spark, sf_dir, "embeddings").withColumn("node", F.concat(F.lit("p"), "vec_id"))
+    queries = vectors.where("vec_id % 20 = 0")
+    ids = vectors.select("vec_id")
+    pinned = queries.select(F.col("vec_id").alias("query_id"), (F.col("vec_id") + 1).alias("vec_id"), F.lit(1).alias("place")).join(ids, "vec_id", "left_semi")
+    return guided.guided_search(vectors, queries, _reached(spark, sf_dir), pinned, k=5, candidates=8, least=2)
