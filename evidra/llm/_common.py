@@ -79,6 +79,12 @@ def tidy() -> None:
         trim(0)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let the driver's JVM collect its garbage and give memory back, before a stage and behind large plans."""
+    tidy()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tidied(run):
     """A function of batches that tidies up behind its last one."""
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidra.llm._common import discard, fresh, materialize, runs, tidied, tidy
+from evidra.llm._common import discard, fresh, materialize, runs, settle, tidied
 
 #: Words of over so many bytes merge all places of the lowest pair at once.
 LONG = 96
@@ -41,6 +41,9 @@ LONG = 96
 MOST_IDS = (1 << 16) - 1
 #: What an empty cell holds; no pair has it.
 NO_PAIR = 1 << 62
+#: Below an element's rank stand 7 bits of a place and 16 of an id.
+RANK_BITS = 23
+RANK = 1 << RANK_BITS
 #: Fixed factors of a pair's cell and bucket; products of ids and these fit 31 bits.
 FIRST, SECOND = (15731, 11149), (7919, 15013)
 #: Words of an array to fold.
@@ -158,37 +161,42 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def fold_word(word: Column, ranks_path: str) -> Column:
-    """RankMap.fold() as a Spark expression over a column of words that aren't empty: array<int>.
+    """RankMap.fold() as a Spark expression over a column of words of at most LONG bytes that aren't empty: array<int>.
 
-    A step merges the first pair of the lowest rank. Where none is left, the first id is turned to
-    its bitwise complement, so that later steps have nothing to do; the end turns it back.
+    An element holds the rank of the pair that begins there, its first byte's place in the word, and
+    its id, from the high bits to the low. So the least element is the leftmost pair of the lowest
+    rank, and a merge computes anew only the ranks of the merged element and the one before it.
     """
     (byte_ids, _), (shifts, n_shifts), (cells, n_cells) = _tables(ranks_path)
     byte_ids, shifts, cells = _literal(byte_ids), _literal(shifts), _literal(cells)
+    low_bits = lambda m: lambda x: x.bitwiseAND(F.lit(m))
+    id_of, placed, place = map(low_bits, (MOST_IDS, RANK - 1, RANK - 1 - MOST_IDS))
     # The word's bytes as characters U+0000 to U+00FF.
     start = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(byte_ids, F.ascii(c)))
 
     def rank(left: Column, right: Column) -> Column:
-        """A pair's rank; over MOST_IDS for a pair that forms no token, as another pair's cell differs in its high bits."""
+        """A pair's rank in an element; MOST_IDS + 1 where the pair forms no token, as its cell differs in high bits, or has no right part."""
         shift = F.get(shifts, (left * SECOND[0] + right * SECOND[1]) % n_shifts)
         cell = F.get(cells, (left * FIRST[0] + right * FIRST[1] + shift) % n_cells)
-        return F.coalesce(cell.bitwiseXOR((left * (1 << 16) + right) * (1 << 16)), F.lit(NO_PAIR))
+        return F.least(cell.bitwiseXOR((left * (1 << 16) + right) * (1 << 16)), F.lit(MOST_IDS + 1)) * RANK
 
-    behind_first = lambda ids: F.slice(ids, F.lit(2), F.size(ids))
+    def merged(now: Column, least: Column, p: Column) -> Column:
+        """now with element p, counted from 1, and the next one merged."""
+        new, behind = F.shiftright(least, RANK_BITS), id_of(F.get(now, p + 1))
+        first = lambda x: rank(new, behind) + place(x) + new
+        before = lambda x: rank(id_of(x), new) + placed(x)
+        changed = F.transform(now, lambda x, i: F.when(i == p - 1, first(x)).when(i == p - 2, before(x)).otherwise(x))
+        return F.filter(changed, lambda x, i: i != p)
 
-    def merged(ids: Column, least: Column, p: Column) -> Column:
-        placed = F.transform(ids, lambda x, i: F.when(i == p - 1, least).otherwise(x))
-        return F.filter(placed, lambda x, i: i != p)
+    def step(now: Column, _: Column) -> Column:
+        at = lambda least: _let(F.array_position(now, least).cast("int"), lambda p: merged(now, least, p))
+        return _let(F.array_min(now), lambda least: F.when(least < (MOST_IDS + 1) * RANK, at(least)).otherwise(now))
 
-    def merge(ids: Column) -> Column:
-        done = F.concat(F.array(F.bitwise_not(F.get(ids, F.lit(0)))), behind_first(ids))
-        at = lambda found, least: _let(F.array_position(found, least).cast("int"), lambda p: merged(ids, least, p))
-        lowest = lambda found: _let(F.array_min(found), lambda least: F.when(least <= MOST_IDS, at(found, least)).otherwise(done))
-        return _let(F.transform(ids, lambda x, i: rank(x, F.get(ids, i + 1))), lowest)
+    def fold(ids: Column) -> Column:
+        first = F.transform(ids, lambda x, i: rank(x, F.get(ids, i + 1)) + i * (MOST_IDS + 1) + x)
+        return F.aggregate(F.slice(ids, F.lit(2), F.size(ids)), first, step)
 
-    step = lambda ids, _: F.when(F.get(ids, F.lit(0)) < 0, ids).otherwise(merge(ids))
-    folded = _let(start, lambda ids: F.aggregate(behind_first(ids), ids, step))
-    return F.transform(folded, lambda x: F.greatest(x, F.bitwise_not(x)).cast("int"))
+    return F.transform(_let(start, fold), lambda x: id_of(x).cast("int"))
 
 
 def decode(ids: np.ndarray, tables: RankMap) -> bytes:
@@ -246,9 +254,17 @@ def common_words(docs: DataFrame, ranks_path: str, pattern: str, text: str, samp
     found = drawn.select(F.explode(F.regexp_extract_all(text, F.lit(_java(pattern)), F.lit(0))).alias("w"))
     counted = found.where((F.octet_length("w") <= LONG) & ~F.col("w").contains("\0")).groupBy("w").count().where("count > 1")
     # Written first, so that no plan but one scan carries the literal tables.
-    written = materialize(counted.orderBy(F.desc("count"), "w").limit(most).select("w"))
+    written = materialize(counted)
+    sizes = written.groupBy("count").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("count")).collect()
+    least, total = 0, 0
+    for r in sizes:  # the least count whose words are all few enough
+        total += r["words"]
+        if total > most:
+            break
+        least = r["count"]
     ids = F.array_join(fold_word(F.col("w"), ranks_path).cast("array<string>"), " ")
-    rows = written.repartition(FOLDERS).select("w", ids.alias("ids")).toArrow()
+    chosen = written.where(F.col("count") >= least) if least else written.orderBy(F.desc("count"), "w").limit(most)
+    rows = chosen.repartition(FOLDERS).select("w", ids.alias("ids")).toArrow()
     discard(written)
     words, numbers = rows.column(0).to_pylist(), [x.split(" ") for x in rows.column(1).to_pylist()]
     flat = np.array([int(i) for x in numbers for i in x], np.uint16)
@@ -258,7 +274,7 @@ def common_words(docs: DataFrame, ranks_path: str, pattern: str, text: str, samp
 def _mapped(docs: DataFrame, ranks_path: str, pattern: str, text: str, row, fields: list[tuple[T.StructField, pa.DataType]], common: int, most_words: int) -> DataFrame:
     """docs without the text column, and the fields that row(ids, tables) gives for each text."""
     shared = docs.sparkSession.sparkContext.broadcast((rank_map(ranks_path), *common_words(docs, ranks_path, pattern, text, min(SAMPLE_DOCS, common // 8), common)))
-    tidy()
+    settle(docs.sparkSession)
     names = [c for c in docs.columns if c != text]
     optional = [T.StructField(c, docs.schema[c].dataType) for c in names]
     new_words, from_anew, in_row = fresh(docs, "bpe_words", "bpe_anew", "bpe_places")
