@@ -44,6 +44,8 @@ NO_PAIR = 1 << 62
 #: Below an element's rank stand 7 bits of a place and 16 of an id.
 RANK_BITS = 23
 RANK = 1 << RANK_BITS
+#: The rank bits of an element whose pair has no rank yet.
+NEW = (MOST_IDS + 2) * RANK
 #: Fixed factors of a pair's cell and bucket; products of ids and these fit 31 bits.
 FIRST, SECOND = (15731, 11149), (7919, 15013)
 #: Words of an array to fold.
@@ -165,14 +167,16 @@ def fold_word(word: Column, ranks_path: str) -> Column:
 
     An element holds the rank of the pair that begins there, its first byte's place in the word, and
     its id, from the high bits to the low. So the least element is the leftmost pair of the lowest
-    rank, and a merge computes anew only the ranks of the merged element and the one before it.
+    rank. A step ranks the elements that are marked as new, which are all in the beginning, and
+    merges the least pair; it marks the merged element and the one before it. The rank map is in the
+    plan once.
     """
     (byte_ids, _), (shifts, n_shifts), (cells, n_cells) = _tables(ranks_path)
     byte_ids, shifts, cells = _literal(byte_ids), _literal(shifts), _literal(cells)
     low_bits = lambda m: lambda x: x.bitwiseAND(F.lit(m))
     id_of, placed, place = map(low_bits, (MOST_IDS, RANK - 1, RANK - 1 - MOST_IDS))
     # The word's bytes as characters U+0000 to U+00FF.
-    start = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(byte_ids, F.ascii(c)))
+    start = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c, i: F.get(byte_ids, F.ascii(c)) + i * (MOST_IDS + 1) + NEW)
 
     def rank(left: Column, right: Column) -> Column:
         """A pair's rank in an element; MOST_IDS + 1 where the pair forms no token, as its cell differs in high bits, or has no right part."""
@@ -182,21 +186,17 @@ def fold_word(word: Column, ranks_path: str) -> Column:
 
     def merged(now: Column, least: Column, p: Column) -> Column:
         """now with element p, counted from 1, and the next one merged."""
-        new, behind = F.shiftright(least, RANK_BITS), id_of(F.get(now, p + 1))
-        first = lambda x: rank(new, behind) + place(x) + new
-        before = lambda x: rank(id_of(x), new) + placed(x)
-        changed = F.transform(now, lambda x, i: F.when(i == p - 1, first(x)).when(i == p - 2, before(x)).otherwise(x))
-        return F.filter(changed, lambda x, i: i != p)
+        marked = F.transform(now, lambda x, i: F.when(i == p - 1, place(x) + F.shiftright(least, RANK_BITS) + NEW).when(i == p - 2, placed(x) + NEW).otherwise(x))
+        return F.filter(marked, lambda x, i: i != p)
 
-    def step(now: Column, _: Column) -> Column:
-        at = lambda least: _let(F.array_position(now, least).cast("int"), lambda p: merged(now, least, p))
-        return _let(F.array_min(now), lambda least: F.when(least < (MOST_IDS + 1) * RANK, at(least)).otherwise(now))
+    def step(before: Column, _: Column) -> Column:
+        ranked = F.transform(before, lambda x, i: F.when(x >= NEW, rank(id_of(x), id_of(F.get(before, i + 1))) + placed(x)).otherwise(x))
+        at = lambda now, least: _let(F.array_position(now, least).cast("int"), lambda p: merged(now, least, p))
+        lowest = lambda now: _let(F.array_min(now), lambda least: F.when(least < (MOST_IDS + 1) * RANK, at(now, least)).otherwise(now))
+        return _let(ranked, lowest)
 
-    def fold(ids: Column) -> Column:
-        first = F.transform(ids, lambda x, i: rank(x, F.get(ids, i + 1)) + i * (MOST_IDS + 1) + x)
-        return F.aggregate(F.slice(ids, F.lit(2), F.size(ids)), first, step)
-
-    return F.transform(_let(start, fold), lambda x: id_of(x).cast("int"))
+    folded = _let(start, lambda ids: F.aggregate(F.slice(ids, F.lit(2), F.size(ids)), ids, step))
+    return F.transform(folded, lambda x: id_of(x).cast("int"))
 
 
 def decode(ids: np.ndarray, tables: RankMap) -> bytes:
