@@ -59,7 +59,7 @@ def prototype_matrix(prototypes: DataFrame, topic: str = "topic", vector: str =
         raise ValueError(f"prototypes of {size} numbers are too many to broadcast")
     rows = prototypes.select(F.col(topic).alias("t"), F.col(vector).cast("array<double>").alias("v")).where("size(v) > 0").orderBy("t", "v").collect()
     topics = sorted({r["t"] for r in rows})
-    x = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), -1)
+    x = np.array([r["v"] for r in rows], np.float64) if rows else np.zeros((0, 1))
     return topics, np.array([topics.index(r["t"]) for r in rows], int), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 

@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidra.operators import citations, doses, guided, mentions, names, relevance, similar
-from evidra.plans.standard import query, table
+from evidra.operators import citations, doses, facets, guided, mentions, names, relevance, similar
+from evidra.plans.standard import WORDS, query, table
 
 # --- names --------------------------------------------------------------------------------------
 
@@ -368,3 +368,52 @@ def guided_search(spark, sf_dir):
     ids = vectors.select("vec_id")
     pinned = queries.select(F.col("vec_id").alias("query_id"), (F.col("vec_id") + 1).alias("vec_id"), F.lit(1).alias("place")).join(ids, "vec_id", "left_semi")
     return guided.guided_search(vectors, queries, _reached(spark, sf_dir), pinned, k=5, candidates=8, least=2)
+
+
+# --- questions taken apart ----------------------------------------------------------------------
+
+_ASKED = ("MRA", "ACE-inhibitor", "beta_blocker", "other class", "")
+_CASES_SQL = f"""WITH c AS (SELECT s_suppkey AS k, ({list(_ASKED)})[s_suppkey % 5 + 1] AS c1, ({list(_ASKED)})[s_suppkey % 3 + 1] AS c2, CASE WHEN s_suppkey % 4 = 0 THEN 50.0 WHEN s_suppkey % 4 = 1 THEN 70.0 END::DOUBLE AS egfr,
+      CASE WHEN s_suppkey % 7 < 2 THEN 5.5 END::DOUBLE AS k_plus, CASE s_suppkey % 6 WHEN 0 THEN 'Diabetes mellitus' WHEN 1 THEN 'asthma' END AS cond, s_nationkey AS n FROM supplier),
+    f AS (SELECT k, egfr, k_plus, n, list_distinct_ordered, conds FROM (SELECT *,
+        list_filter([n1, CASE WHEN n2 <> n1 THEN n2 END], lambda x: x IS NOT NULL AND x <> '') AS list_distinct_ordered,
+        list_sort(list_distinct(list_filter([cond, CASE WHEN egfr < 60 THEN 'renal impairment CKD' END, CASE WHEN k_plus >= 5 THEN 'hyperkalemia' END], lambda x: x IS NOT NULL))) AS conds
+      FROM (SELECT *, CASE lower(c1) WHEN 'mra' THEN 'mra' WHEN 'ace-inhibitor' THEN 'acei' WHEN 'other class' THEN 'other_class' ELSE lower(c1) END AS n1, CASE lower(c2) WHEN 'mra' THEN 'mra' WHEN 'ace-inhibitor' THEN 'acei' ELSE lower(c2) END AS n2 FROM c))),
+    g AS (SELECT *, rtrim(ltrim(coalesce('eGFR ' || egfr, '') || ' ' || coalesce('potassium ' || k_plus, ''))) AS labs, len(list_distinct_ordered) AS nc FROM f WHERE len(list_distinct_ordered) + len(conds) >= 2),
+    e AS (SELECT k, labs, n, nc, conds, unnest(range(1, nc + len(conds) + 1))::INT AS facet_no, unnest(list_concat(list_distinct_ordered, conds)) AS facet FROM g),
+    q AS (SELECT k, facet_no, CASE WHEN facet_no <= nc THEN 'class' ELSE 'condition' END AS kind, facet, regexp_replace(CASE WHEN facet_no <= nc
+        THEN 'heart failure ' || CASE facet WHEN 'mra' THEN 'mineralocorticoid receptor antagonist' WHEN 'acei' THEN 'ACE inhibitor' WHEN 'beta_blocker' THEN 'beta blocker' ELSE replace(facet, '_', ' ') END
+          || ' ' || CASE WHEN facet = 'mra' THEN 'drug a drug b' ELSE '' END || ' ' || CASE facet WHEN 'mra' THEN 'the tion' WHEN 'acei' THEN 'les que des' ELSE facet END || ' ' || labs || ' dosing ' || 'what of nation ' || n
+        ELSE 'heart failure comorbidity ' || facet || ' ' || CASE WHEN contains(lower(facet), 'diabetes') THEN 'der die' WHEN contains(lower(facet), 'renal') THEN 'los de' ELSE facet END || ' ' || labs || ' heart failure management contraindications monitoring' END, ' +', ' ', 'g') AS query FROM e)"""
+
+
+def _facets(spark, sf_dir):
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    pick = lambda n: F.get(F.array(*map(F.lit, _ASKED)), (k % n).cast("int"))
+    number, none = lambda c: c.cast("double"), F.lit(None).cast("double")
+    cases = s.select(
+        k.alias("case_id"), F.array(pick(5), pick(3)).alias("classes"), F.create_map(F.lit("mra"), F.array(F.lit("drug b"), F.lit("drug a"), F.lit("drug a"))).alias("medications"),
+        F.array(F.when(k % 6 == 0, "Diabetes mellitus").when(k % 6 == 1, "asthma")).alias("conditions"), F.concat(F.lit("what of nation "), "s_nationkey").alias("question"),
+        F.lit(None).cast("string").alias("hf_type"), F.lit("dosing").alias("intent"), none.alias("lvef"), number(F.when(k % 4 == 0, 50.0).when(k % 4 == 1, 70.0)).alias("egfr"),
+        number(F.when(k % 7 < 2, 5.5)).alias("potassium"), none.alias("systolic_bp"), none.alias("heart_rate"),
+    )
+    return facets.decomposed(cases, {"mra": ["the", "tion"], "acei": ["les", "que", "des"]}, {"diabetes": ["der", "die"], "renal": ["los", "de"]})
+
+
+@query(f"{_CASES_SQL} SELECT k AS case_id, facet_no, kind, facet, query FROM q")
+def decomposed_questions(spark, sf_dir):
+    return _facets(spark, sf_dir)
+
+
+@query(
+    f"""{_CASES_SQL}, d AS (SELECT doc_id, {WORDS} AS ws FROM documents), n AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM d),
+    t AS (SELECT k, facet_no, term, count(*) AS times FROM (SELECT k, facet_no, lower(unnest(string_split(query, ' '))) AS term FROM q) GROUP BY ALL),
+    x AS (SELECT doc_id, len(ws) AS l, lower(unnest(ws)) AS term FROM d), p AS (SELECT doc_id, l, term, count(*) AS tf FROM x WHERE term IN (SELECT term FROM t) GROUP BY ALL), w AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+    s AS (SELECT k, facet_no, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * l / mean)) * times), 6) AS score FROM p JOIN w USING (term) JOIN t USING (term) CROSS JOIN n GROUP BY 1, 2, 3),
+    r AS (SELECT *, row_number() OVER (PARTITION BY k, facet_no ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0),
+    u AS (SELECT k AS case_id, doc_id, round(sum(1 / (60 + rank)), 6) AS score, count(*) AS n_lists FROM r WHERE rank <= 10 GROUP BY 1, 2)
+    SELECT case_id, doc_id, score, n_lists, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, doc_id) AS rank FROM u) WHERE rank <= 5"""
+)
+def facet_search(spark, sf_dir):
+    """Documents for the facets of each case, answered by one search and fused."""
+    return facets.facet_search(_facets(spark, sf_dir), table(spark, sf_dir, "documents"))
