@@ -5,10 +5,12 @@ SQL states its constants by itself, so that an error in the library's lists show
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from evidra.operators import citations, doses, facets, guided, mentions, names, relevance, similar
+from evidra.operators import citations, doses, evidence, facets, governance, guided, mentions, names, relevance, similar
 from evidra.plans.standard import WORDS, query, table
+from evidra.streaming import limits
 
 # --- names --------------------------------------------------------------------------------------
 
@@ -417,3 +419,99 @@ def decomposed_questions(spark, sf_dir):
 def facet_search(spark, sf_dir):
     """Documents for the facets of each case, answered by one search and fused."""
     return facets.facet_search(_facets(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
+# --- operators of evidence and governance -------------------------------------------------------
+
+
+@query(
+    """WITH k AS (SELECT o_orderkey, coalesce(a.c_name, b.c_name, c.c_name) AS c_name FROM (SELECT o_orderkey, o_custkey * 3 AS k1, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey * 2 END AS k2, o_custkey + 100 AS k3 FROM orders)
+      LEFT JOIN customer a ON a.c_custkey = k1 LEFT JOIN customer b ON b.c_custkey = k2 LEFT JOIN customer c ON c.c_custkey = k3) SELECT * FROM k WHERE c_name IS NOT NULL"""
+)
+def fallback_keys(spark, sf_dir):
+    """The customer of an order's first made-up key that exists."""
+    k = F.col("o_custkey")
+    candidates = [k * 3, F.when(F.col("o_orderkey") % 2 == 0, k * 2), k + 100]
+    return governance.with_fallback_keys(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), "o_orderkey", candidates, "c_custkey", "c_name")
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, o_orderstatus AS status, o_orderpriority AS priority, o_totalprice AS price FROM orders), n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' WHEN o_orderkey % 7 > 0 THEN status END AS status,
+        CASE WHEN o_orderkey % 3 > 0 THEN upper(priority) || CASE WHEN o_orderkey % 4 = 0 THEN '!' ELSE '' END END AS priority, price + o_orderkey % 11 AS price FROM o WHERE o_orderkey % 2 = 0)
+    SELECT o.o_orderkey, 'status' AS field, o.status AS old, n.status AS new FROM o JOIN n USING (o_orderkey) WHERE o.status <> n.status UNION ALL
+    SELECT o.o_orderkey, 'priority', o.priority, n.priority FROM o JOIN n USING (o_orderkey) WHERE o.priority <> n.priority UNION ALL
+    SELECT o.o_orderkey, 'price', (round(o.price * 100)::BIGINT)::VARCHAR, (round(n.price * 100)::BIGINT)::VARCHAR FROM o JOIN n USING (o_orderkey) WHERE abs(o.price - n.price) >= 5"""
+)
+def draft_conflicts(spark, sf_dir):
+    """Fields of orders that a made-up later draft changes; prices by 5 at least."""
+    k = F.col("o_orderkey")
+    old = table(spark, sf_dir, "orders").select(k, F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.round(F.col("o_totalprice") * 100).cast("long").alias("price"))
+    status = F.when(k % 5 == 0, "X").when(k % 7 > 0, F.col("status"))
+    priority = F.when(k % 3 > 0, F.concat(F.upper("priority"), F.when(k % 4 == 0, "!").otherwise("")))
+    new = old.where(k % 2 == 0).select(k, status.alias("status"), priority.alias("priority"), (F.col("price") + k % 11 * 100).alias("price"))
+    return evidence.draft_conflicts(old, new, "o_orderkey", ["status", "priority", "price"], {"price": 500})
+
+
+@query(
+    """WITH p AS (SELECT 0 AS pass, doc_id, text FROM documents WHERE lang = 'en' UNION ALL SELECT 1, doc_id, upper(text) FROM documents WHERE n_chars > 500)
+    SELECT doc_id, pass AS found_in FROM (SELECT *, row_number() OVER (PARTITION BY substr(lower(text), 1, 100) ORDER BY pass, doc_id) AS k FROM p) WHERE k = 1"""
+)
+def consensus_of_passes(spark, sf_dir):
+    """English texts, then the long ones of any language as a second pass; the first of each beginning stays."""
+    docs = table(spark, sf_dir, "documents")
+    first = docs.where("lang = 'en'").select("doc_id", F.col("text").alias("evidence"), F.lit(0).alias("found_in"))
+    second = docs.where("n_chars > 500").select("doc_id", F.upper("text").alias("evidence"), F.lit(1).alias("found_in"))
+    return evidence.consensus([first, second], "doc_id").select("doc_id", "found_in")
+
+
+@query("SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') THEN 'missing' WHEN bool_or(l_linestatus = 'O') THEN 'weak' ELSE 'strong' END AS status FROM lineitem GROUP BY 1")
+def citation_status(spark, sf_dir):
+    level = F.when(F.col("l_returnflag") == "R", "missing").when(F.col("l_linestatus") == "O", "weak").otherwise("strong")
+    return evidence.citation_status(table(spark, sf_dir, "lineitem").select("l_orderkey", level.alias("level")), "l_orderkey", "level")
+
+
+@query(
+    """WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice AS q, coalesce(o_orderstatus = 'F' AND o_orderkey % 3 = 0, false) AS fine FROM orders),
+    n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY fine DESC, CASE WHEN fine THEN o_orderkey END, q DESC, o_orderkey) AS place FROM r)
+    SELECT o_custkey, o_orderkey, place::INT AS place FROM n WHERE (fine OR place <= 2) AND place <= 6"""
+)
+def refilled_filter(spark, sf_dir):
+    """A customer's orders that pass, filled up to two by the dearest others, six at most."""
+    orders = table(spark, sf_dir, "orders")
+    passes = (F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 3 == 0)
+    return evidence.refilled_filter(orders, "o_custkey", passes, "o_totalprice", "o_orderkey", 2, 6).select("o_custkey", "o_orderkey", "place")
+
+
+_VERSIONS_SQL = """v AS (SELECT o_custkey AS rule, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS version, o_orderkey AS id FROM orders),
+    s AS (SELECT *, CASE WHEN version % 3 = 1 THEN 'approved' WHEN version % 3 = 2 THEN 'draft' ELSE 'retired' END AS status FROM v), c AS (SELECT rule, max(version) FILTER (status = 'draft') AS chosen FROM s GROUP BY 1)"""
+
+
+@query(
+    f"""WITH {_VERSIONS_SQL} SELECT rule, version, CASE WHEN version = chosen AND status = 'draft' THEN 'approved' WHEN chosen IS NOT NULL AND version <> chosen AND status = 'approved' THEN 'retired' ELSE status END AS status
+    FROM s JOIN c USING (rule)"""
+)
+def approved_drafts(spark, sf_dir):
+    """A customer's orders as versions of a rule: the newest draft is approved, earlier approved ones retire."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    v = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("rule"), F.row_number().over(w).cast("long").alias("version"))
+    v = v.withColumn("status", F.when(F.col("version") % 3 == 1, "approved").when(F.col("version") % 3 == 2, "draft").otherwise("retired"))
+    chosen = v.where("status = 'draft'").groupBy("rule").agg(F.max("version").alias("version"))
+    return governance.approve(v, chosen, "rule").select("rule", "version", "status")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey * 2 NOT IN (SELECT c_custkey FROM customer) AND o_orderpriority NOT LIKE '1%'")
+def unknown_customers(spark, sf_dir):
+    """Orders whose made-up customer doesn't exist, but for urgent ones."""
+    orders = table(spark, sf_dir, "orders").where(~F.col("o_orderpriority").startswith("1")).withColumn("ref", F.col("o_custkey") * 2)
+    return governance.unknown_references(orders, table(spark, sf_dir, "customer"), "ref", "c_custkey").select("o_orderkey", "o_custkey")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    w AS (SELECT user_id, event_id, n, t AS opened, 1 AS c FROM e WHERE n = 1 UNION ALL
+      SELECT e.user_id, e.event_id, e.n, CASE WHEN e.t >= w.opened + 3600 THEN e.t ELSE w.opened END, CASE WHEN e.t >= w.opened + 3600 THEN 1 ELSE w.c + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+    SELECT event_id, c > 3 AS limited FROM w"""
+)
+def limited_requests(spark, sf_dir):
+    """Requests beyond three in a window of an hour that opens with a user's request."""
+    return limits.fixed_windows(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3, 3600).select(F.col("id").alias("event_id"), "limited")
