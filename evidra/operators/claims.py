@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Claim types that are kept, types with a bonus, actions that forbid.
 CLAIM_TYPES = (
@@ -247,6 +250,10 @@ def stub_merge(claims: DataFrame, stubs: DataFrame, claim: str = "claim_id") ->
 
 #: Parts of a field's name that make its value personal.
 PERSONAL = ("name", "email", "phone", "address")
+#: Names of fields whose values are personal.
+PERSONAL_FIELDS = (
+    "message", "first_name", "last_name", "full_name", "email", "phone", "address", "date_of_birth", "ssn", "insurance_id", "mrn", "medical_record_number",
+)
 
 
 def redacted(payload: Column, fields=(), parts=PERSONAL) -> Column:
@@ -255,6 +262,36 @@ def redacted(payload: Column, fields=(), parts=PERSONAL) -> Column:
     return F.transform_values(payload, lambda k, v: F.when(hidden(k), "[REDACTED]").otherwise(v))
 
 
+def redacted_json(payload: Column, fields=PERSONAL_FIELDS, parts=PERSONAL, deepest: int = 10) -> Column:
+    """JSON text with "[REDACTED]" for each value whose key is in `fields` or contains one of `parts`, at any depth.
+
+    Objects and lists are walked down to `deepest` levels below the top; what lies deeper becomes
+    "[MAX_DEPTH_EXCEEDED]". Keys keep their order. Null, blank and broken texts become null, so nothing
+    unread is passed on.
+    """
+    exact, inside = {f.lower() for f in fields}, tuple(p.lower() for p in parts)
+
+    def clean(value, depth: int):
+        if depth > deepest:
+            return "[MAX_DEPTH_EXCEEDED]"
+        if isinstance(value, dict):
+            hide = lambda k: k.lower() in exact or any(p in k.lower() for p in inside)
+            return {k: "[REDACTED]" if hide(k) else clean(v, depth + 1) for k, v in value.items()}
+        return [clean(v, depth + 1) for v in value] if isinstance(value, list) else value
+
+    def one(text: str | None) -> str | None:
+        try:
+            return json.dumps(clean(json.loads(text), 0), ensure_ascii=False, separators=(",", ":"))
+        except (TypeError, ValueError, RecursionError):
+            return None
+
+    @F.pandas_udf(StringType())
+    def whole(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return whole(payload)
+
+
 def missing_fields(cases: DataFrame, required: DataFrame, given: str = "given", intent: str = "intent") -> DataFrame:
     """cases with missing: the fields their intent requires (required: intent, fields) that aren't given; an unknown intent misses none."""
     none = F.array().cast("array<string>")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from evidra.operators import citations, doses, evidence, facets, governance, guided, mentions, names, relevance, similar
+from evidra.operators import citations, claims, doses, evidence, facets, governance, guided, mentions, names, relevance, similar
 from evidra.plans.standard import WORDS, query, table
 from evidra.streaming import limits
 
@@ -515,3 +515,15 @@ def unknown_customers(spark, sf_dir):
 def limited_requests(spark, sf_dir):
     """Requests beyond three in a window of an hour that opens with a user's request."""
     return limits.fixed_windows(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3, 3600).select(F.col("id").alias("event_id"), "limited")
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE '{"User_Name":"[REDACTED]","props":' || replace(props, ': ', ':') || ',"deep":{"list":[{"email":"[REDACTED]"},{"k":' || event_id || '},"x"],"mrn":"[REDACTED]"},"a":{"a":{"a":{"a":{"a":{"a":{"a":{"a":{"a":{"a":{"a":"[MAX_DEPTH_EXCEEDED]"}}}}}}}}}}}' END AS payload FROM events"""
+)
+def redacted_payloads(spark, sf_dir):
+    """Nested payloads of events without personal values; broken ones are null."""
+    k = F.col("event_id").cast("string")
+    deep = '{"a":' * 11 + "1" + "}" * 11
+    payload = F.concat(F.lit('{"User_Name":"u'), k, F.lit('","props":'), "props", F.lit(',"deep":{"list":[{"email":{"x":1}},{"k":'), k, F.lit('},"x"],"mrn":[1,2]},"a":' + deep[5:-1] + "}"))
+    broken = F.when(F.col("event_id") % 9 == 0, F.substring(payload, F.lit(1), F.lit(20))).otherwise(payload)
+    return table(spark, sf_dir, "events").select("event_id", claims.redacted_json(broken).alias("payload"))

@@ -158,10 +158,36 @@ def table_markdown(rows: Column) -> Column:
     return F.when(F.coalesce(width, F.lit(0)) <= 0, "").otherwise(F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size(lines))), "\n"))
 
 
-def promote(df: DataFrame, root: str, run_id: str) -> DataFrame:
-    """Write df to root/runs/<run_id> and as root/current, and return a one-row manifest of what is current."""
+def promote(df: DataFrame, root: str, run_id: str, valid: Column | None = None) -> DataFrame:
+    """Write df to root/runs/<run_id>, check it, make it current by one rename, and return a one-row manifest of what is current.
+
+    root/current names the run, so readers see the old snapshot or the new one, never a half; see
+    current(). `valid` has to hold for every row (null fails); if it doesn't, or the run has no rows where
+    `valid` is given, an error is raised and the old snapshot stays current.
+    """
+    spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{root}/runs/{run_id}")
-    written = df.sparkSession.read.parquet(f"{root}/runs/{run_id}")
-    written.write.mode("overwrite").parquet(f"{root}/current")
+    written = spark.read.parquet(f"{root}/runs/{run_id}")
+    bad = F.count_if(~F.coalesce(valid, F.lit(False))) if valid is not None else F.lit(0)
     content = F.bit_xor(F.xxhash64(*written.columns)).alias("content")
-    return df.sparkSession.read.parquet(f"{root}/current").agg(F.lit(run_id).alias("run_id"), F.count(F.lit(1)).alias("n_rows"), content)
+    manifest = written.agg(F.lit(run_id).alias("run_id"), F.count(F.lit(1)).alias("n_rows"), content, bad.cast("long").alias("n_bad")).first()
+    if valid is not None and (manifest["n_bad"] or not manifest["n_rows"]):
+        raise ValueError(f"run {run_id} isn't promoted: {manifest['n_bad']} of {manifest['n_rows']} rows fail the check")
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = files.Path(root)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    new, current_file = files.Path(folder, f"current.{run_id}"), files.Path(folder, "current")
+    out = store.create(new, True)
+    out.write(bytearray(run_id.encode()))
+    out.close()
+    context = files.FileContext.getFileContext(store.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    overwrite = spark.sparkContext._gateway.new_array(files.Options.Rename, 1)
+    overwrite[0] = getattr(files.Options, "Rename").OVERWRITE
+    context.rename(store.makeQualified(new), store.makeQualified(current_file), overwrite)
+    return spark.createDataFrame([(manifest["run_id"], manifest["n_rows"], manifest["content"])], "run_id string, n_rows long, content long")
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """The snapshot that was promoted last."""
+    run_id = spark.read.text(f"{root}/current").first()[0]
+    return spark.read.parquet(f"{root}/runs/{run_id}")

@@ -281,3 +281,12 @@ def test_sources(spark, tmp_path):
     assert table == "| h | a\\|b |\n| --- | --- |\n| 1 |  |"
     done = readers.promote(spark.range(3), str(tmp_path / "out"), "r1").first()
     assert (done["run_id"], done["n_rows"]) == ("r1", 3)
+    out = str(tmp_path / "out")
+    assert readers.current(spark, out).count() == 3
+    with pytest.raises(ValueError):
+        readers.promote(spark.range(5), out, "r2", F.col("id") < 4)
+    with pytest.raises(ValueError):
+        readers.promote(spark.range(0), out, "r3", F.col("id") < 4)
+    assert readers.current(spark, out).count() == 3
+    readers.promote(spark.range(4), out, "r4", F.col("id") < 4)
+    assert readers.current(spark, out).count() == 4
