@@ -277,7 +277,7 @@ def _mapped(docs: DataFrame, ranks_path: str, pattern: str, text: str, row, fiel
     settle(docs.sparkSession)
     names = [c for c in docs.columns if c != text]
     optional = [T.StructField(c, docs.schema[c].dataType) for c in names]
-    new_words, from_anew, in_row = fresh(docs, "bpe_words", "bpe_anew", "bpe_places")
+    new_words, from_anew, in_row, ids_of_words, long_words = fresh(docs, "bpe_words", "bpe_anew", "bpe_places", "bpe_ids", "bpe_long")
     handed = [T.StructField(new_words, T.ArrayType(T.StringType())), T.StructField(from_anew, T.BooleanType()), T.StructField(in_row, T.BinaryType())]
 
     def cut(batches):
@@ -348,7 +348,7 @@ def _mapped(docs: DataFrame, ranks_path: str, pattern: str, text: str, row, fiel
 
     schema = T.StructType(optional + [f for f, _ in fields])
     numbered = docs.mapInArrow(tidied(cut), T.StructType(handed + optional))
-    return numbered.select(folded.alias("bpe_ids"), left.alias("bpe_long"), from_anew, in_row, *[F.col(f"`{c}`") for c in names]).mapInArrow(tidied(look_up), schema)
+    return numbered.select(folded.alias(ids_of_words), left.alias(long_words), from_anew, in_row, *[F.col(f"`{c}`") for c in names]).mapInArrow(tidied(look_up), schema)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", into: str = "token_ids", common: int = COMMON_WORDS, most_words: int = MOST_WORDS) -> DataFrame:

@@ -30,7 +30,8 @@ BASE_KINDS = (
 )
 OPAQUE = ("opaque", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24}", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}", 0, 24)
 KINDS = (*BASE_KINDS, OPAQUE)
-MAX_OWNERS, MAX_REPOS = 3, 12
+#: Both decide: a few owners with many repositories each hold a copied example too.
+MAX_OWNERS, MAX_REPOS = 3, 6
 LEAST_CHARACTERS = 8
 PLACEHOLDERS = r"(?i)example|sample|placeholder|changeme|dummy|xxxx|your[_-]"
 #: What takes a credential's place in a cleaned text.

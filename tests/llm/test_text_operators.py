@@ -202,6 +202,28 @@ def test_ownership_separates_examples_from_credentials(spark):
     assert clean[10] == "<secret>' and <secret>." and clean[0] == rows[0][1] and clean[11] == rows[7][1]
 
 
+def test_repositories_decide_beside_owners(spark):
+    few, many = "fewFEW123abcXYZ789qrs", "manyMANY45abcXYZ789qr"
+    rows = [(n, f"token = {few}", f"s{n % 2}", f"l{n // 2}") for n in range(6)] + [(10 + n, f"token = {many}", f"s{n % 2}", f"l{n // 2}") for n in range(7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    repo = F.concat_ws("/", "source", "lang")
+    found = {r["doc_id"]: r for r in secrets.scan_secrets(docs, repo=repo).collect()}
+    assert {(r["secrets"][0]["n_owners"], r["secrets"][0]["n_repos"], r["secrets"][0]["verdict"]) for d, r in found.items() if d < 10} == {(2, 6, "credential")}
+    assert {(r["secrets"][0]["n_owners"], r["secrets"][0]["n_repos"], r["secrets"][0]["verdict"]) for d, r in found.items() if d >= 10} == {(2, 7, "example")}
+    clean = secrets.redact_secrets(docs, repo=repo).where("text LIKE '%<secret>%'")
+    assert {r["doc_id"] for r in clean.collect()} == set(range(6))
+
+
+def test_secret_and_token_columns_with_inner_names(spark, ranks_path):
+    names = ("credentials_of_text", "digest_of_text", "bpe_words", "bpe_places", "bpe_anew", "bpe_ids", "bpe_long")
+    docs = spark.createDataFrame([(1, "token = abcDEF123ghiJKL456 here", "s", "en", *names)], "doc_id long, text string, source string, lang string, " + ", ".join(f"{n} string" for n in names))
+    clean = secrets.redact_secrets(docs).collect()
+    assert clean[0]["text"].startswith("<secret>") or "<secret>" in clean[0]["text"]
+    assert [clean[0][n] for n in names] == list(names)
+    coded = bpe.encode(docs, ranks_path, queries.bpe_pattern(), common=10).collect()
+    assert [coded[0][n] for n in names] == list(names) and len(coded[0]["token_ids"]) > 3
+
+
 def test_secret_cases(spark, odd_docs, no_docs):
     got = secrets.scan_secrets(odd_docs)
     assert got.count() == odd_docs.count() and got.where("spans != ''").count() == 0
