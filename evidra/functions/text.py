@@ -33,6 +33,23 @@ def words(text: Column) -> Column:
     return F.filter(F.split(collapsed(text), " "), lambda w: w != "")
 
 
+#: Characters whose upper case is several characters but whose title case is another single one, and these.
+SMALL = "".join(c for c in map(chr, range(0xE0, 0xD800)) if len(c.upper()) > 1 and len(c.title()) == 1 and c.title() != c)
+TITLE = "".join(c.title() for c in SMALL)
+
+
+def upper_each(text: Column) -> Column:
+    """Upper case, one character for each, as SQL engines with simple case mapping have it; upper() makes SS of a sharp s."""
+    text = F.replace(text, F.lit("\u00df"), F.lit("\u1e9e"))
+    each = F.transform(F.split(text, ""), lambda c: F.when(F.length(F.upper(c)) > 1, F.translate(c, SMALL, TITLE)).otherwise(F.upper(c)))
+    return F.when(F.length(F.upper(text)) > F.length(text), F.array_join(each, "")).otherwise(F.upper(text))
+
+
+def lower_each(text: Column) -> Column:
+    """Lower case, one character for each, wherever in a word it stands."""
+    return F.lower(F.translate(text, "\u03a3\u0130", "\u03c3i"))
+
+
 def token_estimate(text: Column, per_word: float = 1.3) -> Column:
     """Tokens guessed from the number of words: at least 1, but 0 for a blank text."""
     n = F.size(words(text))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidra.functions.text import collapsed, jaccard, overlap, tokens
+from evidra.functions.text import collapsed, jaccard, lower_each, overlap, tokens
 
 #: Actions that block or watch, and condition keys that a machine can evaluate.
 HARD_ACTIONS = ("contraindicated", "avoid", "not_recommended")
@@ -109,10 +109,11 @@ def draft_conflicts(draft: DataFrame, incoming: DataFrame, key: str, columns: li
 def consensus(passes: list[DataFrame], order: str, text: str = "evidence", prefix: int = 100) -> DataFrame:
     """Rows of several passes, the first pass first, without those that repeat a text's first characters.
 
-    That length is the operator's definition of an equal claim, not a limit on what is read.
+    That length is the operator's definition of an equal claim, not a limit on what is read. Case
+    is mapped character by character, so that it moves none over that length.
     """
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.withColumn("_pass", F.lit(n)) for n, p in enumerate(passes)])
-    key = F.substring(F.lower(text), 1, prefix)
+    key = lower_each(F.substring(text, 1, prefix))
     first = rows.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*[c for c in rows.columns if c != "_pass"]), F.struct("_pass", order)).alias("r"))
     return first.select("r.*")
 
