@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -94,15 +95,19 @@ def refilled_filter(chunks: DataFrame, query: str, passes: Column, quality: str,
     return (kept.where(F.col("place") <= k) if k is not None else kept).drop("_fine")
 
 
-def draft_conflicts(draft: DataFrame, incoming: DataFrame, key: str, columns: list[str], numeric: dict[str, float] | None = None) -> DataFrame:
-    """key, field, old, new where both sides have a value and these differ; numeric fields by at least their step."""
+def draft_conflicts(draft: DataFrame, incoming: DataFrame, key: str, columns: list[str], numeric: dict[str, float] | None = None, shown: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """key, field, old, new where both sides have a value and these differ; numeric fields by at least their step.
+
+    Values themselves are compared; old and new are what `shown` makes of them, where it names the field.
+    """
     both = draft.select(key, F.struct(*columns).alias("l")).join(incoming.select(key, F.struct(*columns).alias("r")), key)
 
     def differs(c: str) -> Column:
         a, b = F.col(f"l.{c}"), F.col(f"r.{c}")
         return F.abs(a - b) >= numeric[c] if c in (numeric or {}) else a != b
 
-    rows = [F.when(differs(c), F.struct(F.lit(c).alias("field"), F.col(f"l.{c}").cast("string").alias("old"), F.col(f"r.{c}").cast("string").alias("new"))) for c in columns]
+    text = lambda side, c: (shown or {}).get(c, lambda x: x)(F.col(f"{side}.{c}")).cast("string")
+    rows = [F.when(differs(c), F.struct(F.lit(c).alias("field"), text("l", c).alias("old"), text("r", c).alias("new"))) for c in columns]
     return both.select(key, F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("d")).select(key, "d.*")
 
 

@@ -26,3 +26,11 @@ def test_consensus_maps_case_by_character(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
     got, want = both(spark, tmp_path, "consensus_of_passes", documents=docs)
     assert got == want and len(got) == 10
+
+
+def test_draft_prices_are_compared_as_they_are(spark, tmp_path):
+    """Prices whose sum with 5 is rounded down to a difference under 5, and prices with parts of a cent."""
+    prices = [p for n in range(1, 500) for p in [131072 - n / 100, 262144 - n / 100, 16384 - n / 100] if (p + 5) - p < 5][:40] + [10.005, 1.2349, 0.285, 7.0]
+    orders = spark.createDataFrame([(16 + 22 * n, "O", "1-URGENT", p) for n, p in enumerate(prices)], "o_orderkey long, o_orderstatus string, o_orderpriority string, o_totalprice double")
+    got, want = both(spark, tmp_path, "draft_conflicts", orders=orders)
+    assert got == want and len(prices) > 4 and [r[0] for r in got if r[1] == "price"] == [16 + 22 * n for n in range(len(prices) - 4, len(prices))]
