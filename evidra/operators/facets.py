@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.functions.text import words
 from evidra.operators.ranking import bm25, fuse_ranks, top_k
 
 #: Names of classes, how a query writes them, and conditions that labs show (field, operator, bound, name).
@@ -81,9 +82,12 @@ def facet_search(queries: DataFrame, docs: DataFrame, k: int = 5, candidates: in
     """case, doc, rank, score, n_lists: documents of each case's queries, fused by rank.
 
     queries: case, facet_no, query. All queries of all cases are answered by one search, which reads the
-    documents' words once, whatever the number of facets. Ties go to the smaller document.
+    documents' words once, whatever the number of facets. Queries of the same words in any order and
+    case are one query there. Ties go to the smaller document.
     """
-    asked = queries.select(F.struct(F.col(case).alias("c"), "facet_no").alias("query_id"), F.col("query").alias(text))
-    found = bm25(docs, asked, candidates, doc=doc, text=text).select(F.col("query_id.c").alias(case), doc, "rank")
-    fused = fuse_ranks([found], doc, [case]).withColumn("score", F.round("score", 6))
+    bag = F.array_join(F.array_sort(words(F.lower("query"))), " ")
+    asked = queries.select(F.col(case), bag.alias("bag"))
+    different = asked.select(F.col("bag").alias("query_id"), F.col("bag").alias(text)).distinct()
+    found = bm25(docs, different, candidates, doc=doc, text=text).select(F.col("query_id").alias("bag"), doc, "rank")
+    fused = fuse_ranks([asked.join(found, "bag")], doc, [case]).withColumn("score", F.round("score", 6))
     return top_k(fused, [F.desc("score"), F.asc(doc)], k, [case]).select(case, doc, "rank", "score", "n_lists")
