@@ -28,6 +28,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -235,6 +236,22 @@ def cutter(pattern: str) -> Callable[[str], list[str]]:
     return lambda text: narrow(text) if text.isascii() or not wide(text) else find(text)
 
 
+def packed_words(rows: pa.Table) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Words joined by U+0000, their ids and numbers of ids, from words and ids with spaces between.
+
+    Only Arrow and numpy hold them, as an object for each word and id takes some hundred MB of the driver.
+    """
+    words, ids, lengths = [], [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
+    for b in rows.to_batches():
+        if not b.num_rows:
+            continue
+        whole = lambda c, by: pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c), by)[0]
+        words.append(whole(b.column(0), "\0").as_buffer().to_pybytes())
+        ids.append(np.fromstring(whole(b.column(1), " ").as_py(), np.int64, sep=" ").astype(np.uint16))
+        lengths.append(pc.count_substring(b.column(1), " ").to_numpy().astype(np.int64) + 1)
+    return b"\0".join(words), np.concatenate(ids), np.concatenate(lengths)
+
+
 def common_words(docs: DataFrame, ranks_path: str, pattern: str, text: str, sample_docs: int = SAMPLE_DOCS, most: int = COMMON_WORDS) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The commonest words of about sample_docs documents, drawn by a hash of the text: the words, their ids and numbers of ids.
 
@@ -258,9 +275,7 @@ def common_words(docs: DataFrame, ranks_path: str, pattern: str, text: str, samp
     chosen = written.where(F.col("count") >= least) if least else written.orderBy(F.desc("count"), "w").limit(most)
     rows = chosen.repartition(FOLDERS).select("w", ids.alias("ids")).toArrow()
     discard(written)
-    words, numbers = rows.column(0).to_pylist(), [x.split(" ") for x in rows.column(1).to_pylist()]
-    flat = np.array([int(i) for x in numbers for i in x], np.uint16)
-    return "\0".join(words).encode(), flat, np.array([len(x) for x in numbers], np.int64)
+    return packed_words(rows)
 
 
 def _mapped(docs: DataFrame, ranks_path: str, pattern: str, text: str, row, fields: list[tuple[T.StructField, pa.DataType]], common: int, most_words: int) -> DataFrame:
