@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -141,3 +143,23 @@ def overlap(a: Column, b: Column) -> Column:
     x, y = F.lower(collapsed(a)), F.lower(collapsed(b))
     short, long = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
     return F.when((x == "") | (y == ""), 0.0).when(x.contains(y) | y.contains(x), short / long).otherwise(jaccard(words(x), words(y)))
+
+
+def needed(pattern: str) -> tuple[str, ...]:
+    """Lower-case strings of which every match of the pattern, in any case, has one; none if that can't be told.
+
+    The longest run of plain characters outside of groups, else the runs of a group's alternatives.
+    For patterns without nested groups; a text without these strings need not be searched.
+    """
+
+    def run(part: str) -> str:
+        plain = re.sub(r"\((?:[^()\\]|\\.)*\)[?*+]?|\[[^\]]*\][?*+]?|\\.[?*+]?|[^\\](?:[?*]|\{[^}]*\})|[.^$+]", "\0", part)
+        return "" if re.search(r"[|()\[\]\\]", plain) else max(plain.split("\0"), key=len).lower()
+
+    if len(run(pattern)) > 2:
+        return (run(pattern),)
+    for group in re.findall(r"\((?:\?:)?(?!\?)((?:[^()\\]|\\.)*)\)(?![?*{])", pattern):
+        runs = tuple(run(part) for part in group.split("|"))
+        if all(len(r) > 2 for r in runs):
+            return runs
+    return ()

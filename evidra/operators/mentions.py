@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidra.functions.text import needed
+
 #: Characters of all terms that may be broadcast.
 MOST_CHARACTERS = 20_000_000
 SPANS = "array<struct<kind:string,term:string,start:int,end:int>>"
@@ -89,13 +91,22 @@ def dictionary_spans(rows: DataFrame, terms: DataFrame, text: str = "text", term
 
 
 def pattern_spans(text: Column, patterns: dict[str, tuple[str, ...]] | None = None) -> Column:
-    """Spans of every match of the entity patterns, by kind and pattern in their order, then by place; term is the matched text."""
+    """Spans of every match of the entity patterns, by kind and pattern in their order, then by place; term is the matched text.
+
+    A pattern is only searched in texts with the plain characters that its matches need.
+    """
     listed = [(kind, p) for kind, found in (patterns or ENTITY_PATTERNS).items() for p in found]
 
     @F.pandas_udf(SPANS)
     def scan(texts: pd.Series) -> pd.Series:
-        compiled = [(kind, re.compile(p, re.IGNORECASE)) for kind, p in listed]
-        return pd.Series([[{"kind": k, "term": m.group(0), "start": m.start(), "end": m.end()} for k, p in compiled for m in p.finditer(t or "")] for t in texts])
+        compiled = [(kind, re.compile(p, re.IGNORECASE), needed(p)) for kind, p in listed]
+        out = []
+        for t in texts:
+            t = t or ""
+            # What Python takes as i or s in any case is i or s here too.
+            low = (t if t.isascii() else t.replace("\u0130", "i").replace("\u0131", "i").replace("\u017f", "s")).lower()
+            out.append([{"kind": k, "term": m.group(0), "start": m.start(), "end": m.end()} for k, p, some in compiled if not some or any(s in low for s in some) for m in p.finditer(t)])
+        return pd.Series(out)
 
     return scan(text)
 
