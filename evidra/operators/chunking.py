@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidra.functions.text import token_estimate, words
+from evidra.functions.text import let, token_estimate, words
 
 
 def paragraph_blocks(text: Column) -> Column:
@@ -20,20 +20,20 @@ def paragraph_blocks(text: Column) -> Column:
 def merged_blocks(blocks: Column, most: int, joiner: str = "\n\n") -> Column:
     """Blocks joined from the left while the estimate of the joined text stays within `most` tokens.
 
-    A block that is larger alone stays alone. The state has the number of words, so that no text
-    is estimated twice.
+    A block that is larger alone stays alone. Words are counted once for each block, before the fold.
     """
     fits = lambda n: F.greatest(F.lit(1), F.floor(n * F.lit(1.3)).cast("int")) <= most
 
     def add(state: Column, block: Column) -> Column:
-        n = F.size(words(block))
-        more = F.struct(state.done.alias("done"), F.concat(state.now, F.lit(joiner), block).alias("now"), (state.n + n).alias("n"))
-        new = F.struct(F.concat(state.done, F.array(state.now)).alias("done"), block.alias("now"), n.alias("n"))
-        first = F.struct(state.done.alias("done"), block.alias("now"), n.alias("n"))
+        text, n = block["text"], block["n"]
+        more = F.struct(state.done.alias("done"), F.concat(state.now, F.lit(joiner), text).alias("now"), (state.n + n).alias("n"))
+        new = F.struct(F.concat(state.done, F.array(state.now)).alias("done"), text.alias("now"), n.alias("n"))
+        first = F.struct(state.done.alias("done"), text.alias("now"), n.alias("n"))
         return F.when(state.now == "", first).when(fits(state.n + n), more).otherwise(new)
 
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"))
-    return F.aggregate(blocks, start, add, lambda s: F.when(s.now == "", s.done).otherwise(F.concat(s.done, F.array(s.now))))
+    counted = F.transform(blocks, lambda b: F.struct(b.alias("text"), F.size(words(b)).alias("n")))
+    return F.aggregate(counted, start, add, lambda s: F.when(s.now == "", s.done).otherwise(F.concat(s.done, F.array(s.now))))
 
 
 def tail(text: Column, most: int) -> Column:
@@ -41,16 +41,16 @@ def tail(text: Column, most: int) -> Column:
     n = int((most + 1) / 1.3)  # floor(1.3 n) <= most
     while int(n * 1.3) > most:
         n -= 1
-    w = words(text)
-    return F.array_join(F.slice(w, F.greatest(F.size(w) - n + 1, F.lit(1)), F.lit(max(n, 1))), " ") if n > 0 else F.lit("")
+    last = lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - n + 1, F.lit(1)), F.lit(max(n, 1))), " ")
+    return let(words(text), last) if n > 0 else F.lit("")
 
 
 def with_overlap(chunks: Column, most: int, joiner: str = "\n\n") -> Column:
     """Each chunk but the first with the tail of the one before, itself with its overlap, in front."""
 
     def add(done: Column, chunk: Column) -> Column:
-        before = tail(F.element_at(done, -1), most)
-        return F.concat(done, F.array(F.when(before == "", chunk).otherwise(F.concat(before, F.lit(joiner), chunk))))
+        joined = lambda before: F.when(before == "", chunk).otherwise(F.concat(before, F.lit(joiner), chunk))
+        return F.concat(done, F.array(let(tail(F.element_at(done, -1), most), joined)))
 
     return F.aggregate(F.slice(chunks, F.lit(2), F.greatest(F.size(chunks), F.lit(1))), F.slice(chunks, F.lit(1), F.lit(1)), add)
 
