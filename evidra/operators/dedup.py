@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidra.functions.text import collapsed, let, shingles
 
@@ -36,6 +39,28 @@ def best_wins(df: DataFrame, key: Column, score: str, text: str, order: str, col
     return df.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*columns), rank).alias("r")).select("r.*")
 
 
+#: Constants of xxHash64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x, n: int):
+    return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+
+def _ended(h):
+    h = (h ^ h >> np.uint64(33)) * _P2
+    h = (h ^ h >> np.uint64(29)) * _P3
+    return h ^ h >> np.uint64(32)
+
+
+def hashed_again(x: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """xxhash64(seed, x) as Spark has it, of an int and a long, for all of both: one row for each seed."""
+    h = np.full(len(seeds), 42, np.uint64) + _P5 + np.uint64(4)
+    h = _ended(_turned(h ^ seeds.astype(np.uint64) * _P1, 23) * _P2 + _P3)
+    part = _turned(x.astype(np.uint64) * _P2, 31) * _P1
+    return _ended(_turned((h + _P5 + np.uint64(8))[:, None] ^ part, 27) * _P1 + _P4).view(np.int64)
+
+
 def minhash(text: Column, size: int = 3, hashes: int = HASHES) -> Column:
     """MinHash signature of word shingles: the least of xxhash64(seed, shingle's hash) per seed; empty without words."""
     def least(s: Column) -> Column:
@@ -46,6 +71,28 @@ def minhash(text: Column, size: int = 3, hashes: int = HASHES) -> Column:
     return let(shingles(text, size), least)
 
 
+def with_minhash(rows: DataFrame, text: str, into: str, size: int = 3, hashes: int = HASHES) -> DataFrame:
+    """rows without the text column and with its minhash() as the last one; numpy hashes the shingles' hashes in the task that reads the text."""
+    others = [c for c in rows.columns if c != text]
+    hashed = rows.select(*others, F.transform(shingles(F.col(text), size), lambda x: F.xxhash64(x)).alias(into))
+    seeds = np.arange(hashes)
+
+    def run(batches):
+        for b in batches:
+            found, parts = b.column(b.num_columns - 1), []
+            flat, ends = found.flatten().to_numpy(), np.cumsum(np.diff(found.offsets.to_numpy()))
+            for start, end in zip([0, *ends], ends):
+                if end > start:
+                    best = [hashed_again(flat[k : min(k + 4096, end)], seeds).min(1) for k in range(start, end, 4096)]
+                    parts.append(np.min(best, axis=0))
+            sizes = np.where(np.diff(ends, prepend=0) > 0, hashes, 0)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], names)
+
+    names = [*others, into]
+    return hashed.mapInArrow(run, T.StructType([*[T.StructField(c, rows.schema[c].dataType) for c in others], T.StructField(into, T.ArrayType(T.LongType()))]))
+
+
 def signature_similarity(a: Column, b: Column) -> Column:
     """Share of equal places of two signatures; 0 where either is empty."""
     equal = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
@@ -65,7 +112,8 @@ def bucket_report(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     Equal texts count once, so a group of copies is one text; buckets only carry counts.
     """
     keyed = docs.select(F.col(doc).alias("d"), text_key(F.col(text)).alias("key"), F.col(text).alias("t"))
-    texts = keyed.groupBy("key").agg(F.min(F.struct("d", "t")).alias("r")).select("key", F.explode(bands(minhash(F.col("r.t")))).alias("bucket"))
+    first = keyed.groupBy("key").agg(F.min(F.struct("d", "t")).alias("r")).select("key", F.col("r.t").alias("t"))
+    texts = with_minhash(first, "t", "x").select("key", F.explode(bands(F.col("x"))).alias("bucket"))
     shared = texts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counts = texts.join(shared, "bucket", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n_shared"))
     return keyed.select("d", "key").join(counts, "key", "left").select(F.col("d").alias(doc), F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
@@ -79,7 +127,7 @@ def greedy_dedup(df: DataFrame, scope: str, order: str, text: str, similarity: f
     share of equal places of those. Blank texts stay. A
     scope is one document's chunks, which bounds the group; order must be unique inside it.
     """
-    marked = df.select(F.col(scope).alias("s"), F.col(order).alias("o"), minhash(F.col(text), size).alias("x")).withColumn("b", F.when(F.size("x") > 0, bands(F.col("x"))).otherwise(F.array().cast("array<bigint>")))
+    marked = with_minhash(df.select(F.col(scope).alias("s"), F.col(order).alias("o"), F.col(text).alias("t")), "t", "x", size).withColumn("b", F.when(F.size("x") > 0, bands(F.col("x"))).otherwise(F.array().cast("array<bigint>")))
 
     def keep(rows: pd.DataFrame) -> pd.DataFrame:
         buckets, kept = {}, []
