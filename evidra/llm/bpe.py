@@ -3,8 +3,8 @@
 A text is cut into words by the tokenizer's pattern. The byte array of a word becomes an array of
 token ids, and a fold merges, again and again, the adjacent pair of the lowest rank.
 
-The fold is a Spark expression of higher-order functions (fold_word). The rank map is a literal in
-the plan: pairs (left id, right id) that form a token lie in one array by a perfect hash, so a
+The fold is a Spark expression of higher-order functions (fold_word). The rank map is the result of
+scalar subqueries: pairs (left id, right id) that form a token lie in one array by a perfect hash, so a
 pair's rank is in its cell if the cell names the pair.
 
 The commonest words of a bounded sample are folded first and broadcast, so that tasks don't fold
@@ -142,15 +142,26 @@ def rank_map(path: str) -> RankMap:
 
 
 @lru_cache
-def _tables(path: str) -> tuple[tuple[str, int], ...]:
-    """byte ids, shifts and cells as text for literals, with their numbers."""
+def _tables(path: str) -> tuple[list[int], ...]:
+    """byte ids, shifts and cells."""
     tables = rank_map(path)
-    return tuple((" ".join(map(str, t)), len(t)) for t in (tables.byte_ids, *(x.tolist() for x in tables.hashed())))
+    return (tables.byte_ids, *(x.tolist() for x in tables.hashed()))
 
 
-def _literal(values: str) -> Column:
+def _literal(values: list[int]) -> Column:
     """An array of integers in the plan; the optimizer folds the parsing away."""
-    return F.split(F.lit(values), " ").cast("array<bigint>")
+    return F.split(F.lit(" ".join(map(str, values))), " ").cast("array<bigint>")
+
+
+def _with_tables(df: DataFrame, names: list[str], ranks_path: str) -> DataFrame:
+    """df and the three tables as columns of these names, each the one row of a scalar subquery.
+
+    A plan names a subquery and doesn't hold its result, so that texts of plans stay short; the text of an
+    array as a literal stands in that of each expression around it and takes the driver hundreds of MB.
+    """
+    arrays = [pa.array([t], pa.list_(pa.int64())) for t in _tables(ranks_path)]
+    rows = df.sparkSession.createDataFrame(pa.Table.from_arrays(arrays, names=names))
+    return df.withColumns({c: rows.select(c).scalar() for c in names})
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -158,14 +169,17 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold_word(word: Column, ranks_path: str) -> Column:
+def fold_word(word: Column, ranks_path: str, names: list[str] | None = None) -> Column:
     """RankMap.fold() as a Spark expression over a column of words that aren't empty: array<int>.
 
+    names: the columns of _with_tables(); without them the tables are literals.
+
     A step merges the first pair of the lowest rank. Where none is left, the first id is turned to
     its bitwise complement, so that later steps have nothing to do; the end turns it back.
     """
-    (byte_ids, _), (shifts, n_shifts), (cells, n_cells) = _tables(ranks_path)
-    byte_ids, shifts, cells = _literal(byte_ids), _literal(shifts), _literal(cells)
+    tables = _tables(ranks_path)
+    n_shifts, n_cells = len(tables[1]), len(tables[2])
+    byte_ids, shifts, cells = map(F.col, names) if names else map(_literal, tables)
     # The word's bytes as characters U+0000 to U+00FF.
     start = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(byte_ids, F.ascii(c)))
 
@@ -262,8 +276,9 @@ def common_words(docs: DataFrame, ranks_path: str, pattern: str, text: str, samp
     drawn = docs.select(text).where(place < share).limit(2 * sample_docs)
     found = drawn.select(F.explode(F.regexp_extract_all(text, F.lit(_java(pattern)), F.lit(0))).alias("w"))
     counted = found.where((F.octet_length("w") <= LONG) & ~F.col("w").contains("\0")).groupBy("w").count().where("count > 1")
-    # Written first, so that no plan but one scan carries the literal tables.
+    # Written first, so that no plan but one scan carries the tables.
     written = materialize(counted)
+    settle(docs.sparkSession)
     sizes = written.groupBy("count").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("count")).collect()
     least, total = 0, 0
     for r in sizes:  # the least count whose words are all few enough
@@ -271,9 +286,10 @@ def common_words(docs: DataFrame, ranks_path: str, pattern: str, text: str, samp
         if total > most:
             break
         least = r["count"]
-    ids = F.array_join(fold_word(F.col("w"), ranks_path).cast("array<string>"), " ")
+    tables = ["byte_ids", "shifts", "cells"]
+    ids = F.array_join(fold_word(F.col("w"), ranks_path, tables).cast("array<string>"), " ")
     chosen = written.where(F.col("count") >= least) if least else written.orderBy(F.desc("count"), "w").limit(most)
-    rows = chosen.repartition(FOLDERS).select("w", ids.alias("ids")).toArrow()
+    rows = _with_tables(chosen.repartition(FOLDERS), tables, ranks_path).select("w", ids.alias("ids")).toArrow()
     discard(written)
     return packed_words(rows)
 
@@ -284,7 +300,7 @@ def _mapped(docs: DataFrame, ranks_path: str, pattern: str, text: str, row, fiel
     settle(docs.sparkSession)
     names = [c for c in docs.columns if c != text]
     optional = [T.StructField(c, docs.schema[c].dataType) for c in names]
-    new_words, from_anew, in_row, ids_of_words, long_words = fresh(docs, "bpe_words", "bpe_anew", "bpe_places", "bpe_ids", "bpe_long")
+    new_words, from_anew, in_row, ids_of_words, long_words, *tables = fresh(docs, "bpe_words", "bpe_anew", "bpe_places", "bpe_ids", "bpe_long", "bpe_byte_ids", "bpe_shifts", "bpe_cells")
     handed = [T.StructField(new_words, T.ArrayType(T.StringType())), T.StructField(from_anew, T.BooleanType()), T.StructField(in_row, T.BinaryType())]
 
     def cut(batches):
@@ -319,7 +335,7 @@ def _mapped(docs: DataFrame, ranks_path: str, pattern: str, text: str, row, fiel
                     size, anew = 0, True
 
     words = F.col(new_words)
-    folded = F.transform(words, lambda w: F.when(F.octet_length(w) <= LONG, fold_word(w, ranks_path)))
+    folded = F.transform(words, lambda w: F.when(F.octet_length(w) <= LONG, fold_word(w, ranks_path, tables)))
     left = F.filter(words, lambda w: F.octet_length(w) > LONG)
 
     def look_up(batches):
@@ -354,7 +370,7 @@ def _mapped(docs: DataFrame, ranks_path: str, pattern: str, text: str, row, fiel
                     s += len(rows)
 
     schema = T.StructType(optional + [f for f, _ in fields])
-    numbered = docs.mapInArrow(tidied(cut), T.StructType(handed + optional))
+    numbered = _with_tables(docs.mapInArrow(tidied(cut), T.StructType(handed + optional)), tables, ranks_path)
     return numbered.select(folded.alias(ids_of_words), left.alias(long_words), from_anew, in_row, *[F.col(f"`{c}`") for c in names]).mapInArrow(tidied(look_up), schema)
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm._common import bounded, discard, fresh, materialize, tidied
+from evidra.llm._common import bounded, discard, fresh, materialize, settle, tidied
 from evidra.llm.components import components
 
 RADIUS = 2
@@ -332,9 +332,12 @@ def verified_edges(nodes: np.ndarray, sets: list[np.ndarray], prints: np.ndarray
 
 
 def _verified(members: DataFrame, similarity: float) -> DataFrame:
-    """Edges (u, v) of verified links inside each candidate group. members: node, fp, cluster, hashes."""
-    weight = members.groupBy("cluster").agg(F.sum(F.size("hashes")).alias("weight"))
-    dealt = _dealt(members.join(weight.hint("shuffle_hash"), "cluster"), "cluster", F.ceil(F.col("weight") / CHUNK_HASHES)).select("node", "fp", "hashes", "own", "cluster", "a", "b")
+    """Edges (u, v) of verified links inside each candidate group. members: node, fp, cluster, hashes, size.
+
+    The groups' weights go to the sets, which are shuffled once only, by pairs of chunks.
+    """
+    weight = materialize(members.groupBy("cluster").agg(F.sum("size").alias("weight")))
+    dealt = _dealt(members.join(bounded(weight), "cluster"), "cluster", F.ceil(F.col("weight") / CHUNK_HASHES)).select("node", "fp", "hashes", "own", "cluster", "a", "b")
 
     def run(batches):
         for table in _groups(batches, 3):
@@ -393,10 +396,12 @@ def near_copy_components(docs: DataFrame, doc: str = "doc_id", text: str = "text
     least = wide.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("fp", *bands)])
     least = materialize(least.select("node", "least", "fp", F.array(*bands).alias("bands")))
     groups = components(links(least, F.col("bands"), NEAR_BITS))
+    settle(docs.sparkSession)
     members = materialize(groups.select(F.col("u").alias("node"), F.col("v").alias("cluster")).unionAll(groups.select("v", "v").distinct()))
     named = members.join(least.select("node", "least"), "node").withColumnRenamed("least", "doc_id")
-    sets = materialize(marked.select("doc_id", "node", "fp", "hashes").join(bounded(named), ["node", "doc_id"]).dropDuplicates(["node"]))
+    sets = materialize(marked.select("doc_id", "node", "fp", "hashes").join(bounded(named), ["node", "doc_id"]).dropDuplicates(["node"]).withColumn("size", F.size("hashes")))
     edges = components(_verified(sets, similarity)).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    settle(docs.sparkSession)
     rooted = least.select("node", "least").join(edges, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     found = materialize(marked.select("doc_id", "node").join(named, "node").select("doc_id", "component_id"))
