@@ -37,3 +37,20 @@ def test_minhash_is_the_expression_it_was(spark):
 @pytest.mark.parametrize("pattern", claims.FRONT_MATTER)
 def test_patterns_are_searched_where_they_can_match(pattern):
     assert needed(pattern) or pattern == r"\bet\s+al\.?\b"
+
+
+def test_co_occurring_deals_pairs_to_more_tasks(spark):
+    """A task's pairs grew with the tables; a chunk of all entities was one task's."""
+    from collections import Counter
+
+    from evidra.operators import graph
+
+    links = [(c, e) for c in range(30) for e in range(c % 7)] + [(99, e) for e in range(60)] + [(99, 3), (None, 1), (1, None)]
+    rows = spark.createDataFrame(links, "chunk long, e long")
+    df = graph.co_occurring(rows, rows, "chunk", "e", k=2, per_task=100)
+    n = Counter((a, b) for c, a in set(links) for d, b in set(links) if c == d and None not in (c, a, b) and a != b)
+    want = []
+    for seed in {a for a, _ in n}:
+        want += [(seed, b, -m, k + 1) for k, (m, b) in enumerate(sorted((-m, b) for (a, b), m in n.items() if a == seed)[:2])]
+    assert sorted(map(tuple, df.select("seed", "e", "n", "rank").collect())) == sorted(want)
+    assert df.rdd.getNumPartitions() >= 36
