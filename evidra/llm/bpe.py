@@ -42,6 +42,10 @@ LONG = 96
 MOST_IDS = (1 << 16) - 1
 #: What an empty cell holds; no pair has it.
 NO_PAIR = 1 << 62
+#: The rank of a pair that forms no token.
+NO_RANK = MOST_IDS + 1
+#: In the fold's elements a rank stands above so many bits, an index above an id's 16.
+RANK_BITS, INDEX = 40, 1 << 16
 #: Fixed factors of a pair's cell and bucket; products of ids and these fit 31 bits.
 FIRST, SECOND = (15731, 11149), (7919, 15013)
 #: Words of an array to fold.
@@ -165,8 +169,8 @@ def _with_tables(df: DataFrame, names: list[str], ranks_path: str) -> DataFrame:
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """body(value), with value computed once; an element of a transformed array would ask for body's type with each word."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, body)
 
 
 def fold_word(word: Column, ranks_path: str, names: list[str] | None = None) -> Column:
@@ -174,36 +178,42 @@ def fold_word(word: Column, ranks_path: str, names: list[str] | None = None) ->
 
     names: the columns of _with_tables(); without them the tables are literals.
 
-    A step merges the first pair of the lowest rank. Where none is left, the first id is turned to
-    its bitwise complement, so that later steps have nothing to do; the end turns it back.
+    An element holds the rank of the pair that begins there, its index and its id, from the high bits to
+    the low, so the least element is the first pair of the lowest rank and names its own index. A step
+    merges it and ranks only the two pairs that are new. Where none is left, a step finds the least and no more.
     """
     tables = _tables(ranks_path)
     n_shifts, n_cells = len(tables[1]), len(tables[2])
     byte_ids, shifts, cells = map(F.col, names) if names else map(_literal, tables)
     # The word's bytes as characters U+0000 to U+00FF.
     start = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(byte_ids, F.ascii(c)))
+    id_of = lambda x: x.bitwiseAND(F.lit(MOST_IDS))
 
-    def rank(left: Column, right: Column) -> Column:
-        """A pair's rank; over MOST_IDS for a pair that forms no token, as another pair's cell differs in its high bits."""
+    def element(left: Column, right: Column, index: Column) -> Column:
+        """left, the pair's rank and the index; rank NO_RANK for a pair that forms no token, as another pair's cell differs in its high bits."""
         shift = F.get(shifts, (left * SECOND[0] + right * SECOND[1]) % n_shifts)
         cell = F.get(cells, (left * FIRST[0] + right * FIRST[1] + shift) % n_cells)
-        return F.coalesce(cell.bitwiseXOR((left * (1 << 16) + right) * (1 << 16)), F.lit(NO_PAIR))
-
-    behind_first = lambda ids: F.slice(ids, F.lit(2), F.size(ids))
-
-    def merged(ids: Column, least: Column, p: Column) -> Column:
-        placed = F.transform(ids, lambda x, i: F.when(i == p - 1, least).otherwise(x))
-        return F.filter(placed, lambda x, i: i != p)
-
-    def merge(ids: Column) -> Column:
-        done = F.concat(F.array(F.bitwise_not(F.get(ids, F.lit(0)))), behind_first(ids))
-        at = lambda found, least: _let(F.array_position(found, least).cast("int"), lambda p: merged(ids, least, p))
-        lowest = lambda found: _let(F.array_min(found), lambda least: F.when(least <= MOST_IDS, at(found, least)).otherwise(done))
-        return _let(F.transform(ids, lambda x, i: rank(x, F.get(ids, i + 1))), lowest)
-
-    step = lambda ids, _: F.when(F.get(ids, F.lit(0)) < 0, ids).otherwise(merge(ids))
-    folded = _let(start, lambda ids: F.aggregate(behind_first(ids), ids, step))
-    return F.transform(folded, lambda x: F.greatest(x, F.bitwise_not(x)).cast("int"))
+        rank = F.least(cell.bitwiseXOR((left * (1 << 16) + right) * (1 << 16)), F.lit(NO_RANK))
+        return F.shiftleft(rank, RANK_BITS) + left + index * INDEX
+
+    def merged(now: Column, p: Column, new: Column) -> Column:
+        """now with the elements p and p + 1 as one of id new."""
+        placed = lambda x, i: (
+            F.when(i > p, x - INDEX)
+            .when(i < p - 1, x)
+            .when(i == p, element(new, id_of(F.get(now, p + 2)), i))
+            .otherwise(element(id_of(x), new, i))
+        )
+        return F.transform(_let(p + 1, lambda q: F.filter(now, lambda x, i: i != q)), placed)
+
+    def step(now: Column, _: Column) -> Column:
+        index = lambda least: F.shiftright(least, 16).bitwiseAND(F.lit((1 << RANK_BITS - 16) - 1)).cast("int")
+        merge = lambda least: _let(index(least), lambda p: _let(F.shiftright(least, RANK_BITS), lambda new: merged(now, p, new)))
+        return _let(F.array_min(now), lambda least: F.when(least < NO_RANK << RANK_BITS, merge(least)).otherwise(now))
+
+    ranked = lambda ids: F.transform(ids, lambda x, i: element(x, F.get(ids, i + 1), i))
+    folded = _let(start, lambda ids: F.aggregate(F.slice(ids, F.lit(2), F.size(ids)), ranked(ids), step))
+    return F.transform(folded, lambda x: id_of(x).cast("int"))
 
 
 def decode(ids: np.ndarray, tables: RankMap) -> bytes:
