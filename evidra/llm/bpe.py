@@ -182,9 +182,14 @@ def fold_word(word: Column, ranks_path: str, names: list[str] | None = None) ->
     the low, so the least element is the first pair of the lowest rank and names its own index. A step
     merges it and ranks only the two pairs that are new. Where none is left, a step finds the least and no more.
     """
-    tables = _tables(ranks_path)
-    n_shifts, n_cells = len(tables[1]), len(tables[2])
-    byte_ids, shifts, cells = map(F.col, names) if names else map(_literal, tables)
+    byte_ids, shifts, cells = map(F.col, names) if names else map(_literal, _tables(ranks_path))
+    # Named once each, the subqueries of _with_tables() move in here; a projection below would copy the tables into every row.
+    return _let(byte_ids, lambda b: _let(shifts, lambda s: _let(cells, lambda c: _folded(word, ranks_path, b, s, c))))
+
+
+def _folded(word: Column, ranks_path: str, byte_ids: Column, shifts: Column, cells: Column) -> Column:
+    """fold_word() with the tables as columns."""
+    _, n_shifts, n_cells = map(len, _tables(ranks_path))
     # The word's bytes as characters U+0000 to U+00FF.
     start = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(byte_ids, F.ascii(c)))
     id_of = lambda x: x.bitwiseAND(F.lit(MOST_IDS))
