@@ -10,18 +10,24 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidra.llm import bpe, decontaminate, langid, secrets, simhash
-from evidra.llm._common import discard, materialize, settle, table
+from evidra.llm._common import discard, materialize, settle, settle_executors, table
 from evidra.llm.queries import BPE_FILE, bpe_pattern, tokenizer_file
 from evidra.session import ship
 
 
+def _begin(spark):
+    """JVMs give back what the stage before left, so that they don't hold it beside this one's Python workers."""
+    settle(ship(spark))
+    settle_executors(spark)
+
+
 def identify_language(spark, docs, sf_dir):
     """Documents whose language is rejected go.
 
     Null texts and texts without a letter are rejected; short ones are judged like long ones but for
     the learned limits. Repeated rows are kept or go together.
     """
-    settle(ship(spark))
+    _begin(spark)
     return langid.keep_identified(docs)
 
 
@@ -31,7 +37,7 @@ def drop_near_duplicates(spark, docs, sf_dir):
     Texts of fewer words have one shingle, the whole; texts without words are alike. Repeated rows of
     an id are one document; rows with a null id stay.
     """
-    settle(ship(spark))
+    _begin(spark)
     return simhash.keep_one_per_component(docs)
 
 
@@ -40,7 +46,7 @@ def drop_contaminated(spark, docs, sf_dir):
 
     Null and empty texts cover nothing and stay; items and texts of any length are tiled whole.
     """
-    settle(ship(spark))
+    _begin(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -50,7 +56,7 @@ def redact_secrets(spark, docs, sf_dir):
     Null and empty texts stay as they are; equal texts are redacted alike; null sources and languages are
     owners and repositories of their own.
     """
-    settle(spark)
+    _begin(spark)
     return secrets.redact_secrets(docs, repo=F.concat_ws("/", "source", "lang"))
 
 
@@ -60,7 +66,7 @@ def encode_tokens(spark, docs, sf_dir):
     Fewer words are held than in op2, as workers of all stages share the executors' memory. Null and
     empty texts have no tokens; repeated rows have a row each.
     """
-    settle(ship(spark))
+    _begin(spark)
     return bpe.token_digests(docs, tokenizer_file(BPE_FILE), bpe_pattern(), common=30_000, most_words=120_000)
 
 
